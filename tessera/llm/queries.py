@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
-from . import op01_substring, op09_suffix
+from . import op01_substring, op02_licenses, op04_simhash, op05_lines, op09_suffix
 
 QUERIES = {
     "op1_substring_dedup": op01_substring.op1_substring_dedup,
+    "op2_license_scan": op02_licenses.op2_license_scan,
+    "op4_simhash": op04_simhash.op4_simhash,
+    "op5_line_dedup": op05_lines.op5_line_dedup,
     "op9_suffix_dedup": op09_suffix.op9_suffix_dedup,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op2_license_scan": op02_licenses.ORACLE,
+    "op5_line_dedup": op05_lines.ORACLE,
+}
