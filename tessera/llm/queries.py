@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import op01_substring, op02_licenses, op04_simhash, op05_lines, op09_suffix
+from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op08_sentencepiece, op09_suffix
 
 QUERIES = {
     "op1_substring_dedup": op01_substring.op1_substring_dedup,
     "op2_license_scan": op02_licenses.op2_license_scan,
+    "op3_packing": op03_packing.op3_packing,
     "op4_simhash": op04_simhash.op4_simhash,
     "op5_line_dedup": op05_lines.op5_line_dedup,
+    "op8_sentencepiece": op08_sentencepiece.op8_sentencepiece,
     "op9_suffix_dedup": op09_suffix.op9_suffix_dedup,
 }
 ORACLES = {
