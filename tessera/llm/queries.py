@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op08_sentencepiece, op09_suffix
+from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op07_quality, op08_sentencepiece, op09_suffix, op10_lm
 
 QUERIES = {
     "op1_substring_dedup": op01_substring.op1_substring_dedup,
@@ -10,8 +10,10 @@ QUERIES = {
     "op3_packing": op03_packing.op3_packing,
     "op4_simhash": op04_simhash.op4_simhash,
     "op5_line_dedup": op05_lines.op5_line_dedup,
+    "op7_quality_rules": op07_quality.op7_quality_rules,
     "op8_sentencepiece": op08_sentencepiece.op8_sentencepiece,
     "op9_suffix_dedup": op09_suffix.op9_suffix_dedup,
+    "op10_lm_score": op10_lm.op10_lm_score,
 }
 ORACLES = {
     "op2_license_scan": op02_licenses.ORACLE,
