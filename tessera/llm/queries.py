@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op07_quality, op08_sentencepiece, op09_suffix, op10_lm
+from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op06_topk, op07_quality, op08_sentencepiece, op09_suffix, op10_lm
 
 QUERIES = {
     "op1_substring_dedup": op01_substring.op1_substring_dedup,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_packing": op03_packing.op3_packing,
     "op4_simhash": op04_simhash.op4_simhash,
     "op5_line_dedup": op05_lines.op5_line_dedup,
+    "op6_exact_topk": op06_topk.op6_exact_topk,
     "op7_quality_rules": op07_quality.op7_quality_rules,
     "op8_sentencepiece": op08_sentencepiece.op8_sentencepiece,
     "op9_suffix_dedup": op09_suffix.op9_suffix_dedup,
@@ -18,4 +19,5 @@ QUERIES = {
 ORACLES = {
     "op2_license_scan": op02_licenses.ORACLE,
     "op5_line_dedup": op05_lines.ORACLE,
+    "op6_exact_topk": op06_topk.ORACLE,
 }
