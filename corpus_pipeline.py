@@ -1,10 +1,68 @@
-"""A training-data pipeline over documents, built from the operators of tessera.llm."""
+"""A training-data pipeline over documents, built from the operators of tessera.llm.
+
+Each stage takes (spark, docs, sf_dir) and returns the columns of documents, but for the
+last, which returns the packed pieces.  Rows without a doc_id pass the stages that compare
+documents.  Rows that share a doc_id stay or go together where one document of a group
+stays, and those of them with the same text become one row.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.llm.op01_substring import substring_dedup
+from tessera.llm.op03_packing import pack
+from tessera.llm.op04_simhash import simhash_components
+from tessera.llm.op05_lines import line_dedup
+from tessera.llm.op07_quality import quality_rules
+
+
+def _with_text(docs: DataFrame, columns: list[str], changed: Column, text: Column, row: str = "") -> DataFrame:
+    """The columns of documents, with the new text and its length where it changed."""
+    old = lambda c: F.col(f"{row}{c}")
+    new = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
+    return docs.select(*(F.when(changed, new[c]).otherwise(old(c)).alias(c) if c in new else old(c).alias(c) for c in columns))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 7: documents that the rules reject go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return quality_rules(docs, labels, carry=tuple(docs.columns)).filter("kept").select("extra.*")
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 5: lines that ten or more documents share go."""
+    return _with_text(line_dedup(docs), docs.columns, F.col("lines.n_dropped") > 0, F.col("lines.kept"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 4, on shingles of five words: the smallest document of each class stays."""
+    classes = simhash_components(docs, words=5)
+    first = classes.filter("doc_id = component_id").select("doc_id").distinct()
+    twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)
+    kept = docs.join(first, "doc_id", "left_semi").withColumn("twin", F.row_number().over(twins)).filter("twin = 1").select(*docs.columns)
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 1: words covered by windows that stand earlier go; white space stays."""
+    cut = substring_dedup(docs, layout=True, carry=tuple(docs.columns))
+    return _with_text(cut, docs.columns, F.col("n_removed") > 0, F.col("kept"), "extra.")
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Operator 3: the pieces of the packed sequences."""
+    return pack(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
 
-STAGES: list = []
+STAGES = [
+    ("quality rules", quality),
+    ("line dedup", lines),
+    ("SimHash near-dedup", near_duplicates),
+    ("substring dedup", substrings),
+    ("packing", packing),
+]
 ORACLE_SQL = None
 
 
