@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import aggregates, changes, graphs, ingest, joins, knames, scoring, search, streams, texts, windows  # noqa: F401
+from .base import ORACLES, QUERIES  # noqa: F401
