@@ -1,4 +1,4 @@
-"""Connected components by minimum labels and pointer jumping."""
+"""Connected components by contraction."""
 
 from __future__ import annotations
 
@@ -8,19 +8,33 @@ from pyspark.sql import functions as F
 from .checkpoints import checkpointed
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """Pointer jumping: each node's (node, label) last label on its way down."""
+    while True:
+        above = parents.select(F.col("node").alias("label"), F.col("label").alias("further"))
+        stepped = checkpointed(parents.join(above, "label", "left").select("node", "label", F.coalesce("further", "label").alias("next")))
+        parents = stepped.select("node", F.col("next").alias("label"))
+        if stepped.filter("next <> label").isEmpty():
+            return parents
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, label: for each end of an edge (columns a, b) the smallest node it reaches.
 
-    Each round takes the least label of a node's neighbours and then its label's label, so
-    the rounds grow with the logarithm of a component's width.  Every table is written in
-    between, and both sides of every join are scans, which lets skewed joins be split."""
-    both = checkpointed(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct().toDF("node", "next"))
-    labels = checkpointed(both.groupBy("node").agg(F.least("node", F.min("next")).alias("label")))
-    while True:
-        near = both.join(labels.toDF("next", "theirs"), "next").groupBy("node").agg(F.min("theirs").alias("theirs"))
-        hooked = checkpointed(labels.join(near, "node").select("node", F.col("label").alias("before"), F.least("label", "theirs").alias("label")))
-        jump = hooked.select(F.col("node").alias("label"), F.col("label").alias("theirs"))
-        jumped = checkpointed(hooked.join(jump, "label").select("node", "before", F.least("label", "theirs").alias("label")))
-        if jumped.filter("before <> label").isEmpty():
-            return jumped.select("node", "label")
-        labels = jumped.select("node", "label")
+    In each round every node points to the least of itself and its neighbours, pointers
+    are followed to their roots, and the edges are contracted to the roots, so that at
+    most half of the nodes and only edges between different roots go on.  Every table is
+    written in between, and both sides of the joins are scans, so skewed ones can be split."""
+    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    labels = None
+    while labels is None or not edges.isEmpty():
+        both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))
+        roots = _roots(checkpointed(both.groupBy("node").agg(F.least("node", F.min("next")).alias("label"))))
+        to_a, to_b = roots.toDF("a", "root_a"), roots.toDF("b", "root_b")
+        met = edges.join(to_a, "a").join(to_b, "b").filter("root_a <> root_b")
+        edges = checkpointed(met.select(F.least("root_a", "root_b").alias("a"), F.greatest("root_a", "root_b").alias("b")).distinct())
+        if labels is None:
+            labels = roots
+        else:
+            labels = checkpointed(labels.join(roots.toDF("label", "further"), "label", "left").select("node", F.coalesce("further", "label").alias("label")))
+    return labels
