@@ -83,7 +83,11 @@ def words(text: Column) -> Column:
 def language_of(text: Column, stop_words: Mapping[str, Sequence[str]] = STOP_WORDS) -> Column:
     """The language with the most stop words; ties to the first by name."""
     held = F.split(F.lower(text), r"[^\p{L}]+")
-    scores = [F.struct(F.size(F.filter(held, lambda w, s=s: w.isin(*s))).alias("n"), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, s) in enumerate(sorted(stop_words.items()))]
+
+    def count(names: Sequence[str]) -> Column:
+        return F.size(F.filter(held, lambda w: w.isin(*names))).alias("n")
+
+    scores = [F.struct(count(names), F.lit(-i).alias("order"), F.lit(k).alias("lang")) for i, (k, names) in enumerate(sorted(stop_words.items()))]
     return F.array_max(F.array(*scores))["lang"]
 
 
@@ -92,7 +96,7 @@ def slides(text: Column) -> Column:
     pattern = r"(?s)## Slide \d+: ([^\n]+)\n### Visual\n(.+?)\n### Narration\n(.+?)(?:\n### Duration\n(\d+))?(?=\n##|\n---|\z)"
     part = lambda i: F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(i)), lambda x: F.btrim(x, F.lit(" \n\t\r")))
     zipped = F.arrays_zip(part(1).alias("title"), part(2).alias("visual"), part(3).alias("narration"), part(4).alias("duration"))
-    return F.transform(zipped, lambda s: F.struct(s["0"].alias("title"), s["1"].alias("visual"), s["2"].alias("narration"), F.expr("1") * F.when(s["3"] != "", s["3"].cast("int")).alias("duration")))
+    return F.transform(zipped, lambda s: F.struct(s["title"].alias("title"), s["visual"].alias("visual"), s["narration"].alias("narration"), F.when(s["duration"] != "", s["duration"].cast("int")).alias("duration")))
 
 
 def chunk_text(text: str, size: int, overlap: int, separators: Sequence[str]) -> list[str]:
@@ -129,7 +133,15 @@ def recursive_chunks(rows: DataFrame, size: int = 1000, overlap: int = 200, sepa
 def embed_text(text: Column, dimensions: int = 64) -> Column:
     """A deterministic stand-in for an embedding model: hashed word counts, length one."""
     slots = F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    counts = F.aggregate(slots, F.array_repeat(F.lit(0.0), dimensions), lambda acc, i: F.transform(acc, lambda x, k: F.when(k == i, x + 1).otherwise(x)))
+    # Sorted slots with one more of each: the run lengths are the counts.
+    padded = F.array_sort(F.concat(slots, F.sequence(F.lit(0), F.lit(dimensions - 1))))
+    start = F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        same = i == acc["slot"]
+        return F.struct(i.alias("slot"), F.when(same, acc["n"] + 1).otherwise(0.0).alias("n"), F.when(same | (acc["slot"] < 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["n"]))).alias("out"))
+
+    counts = F.aggregate(padded, start, step, lambda acc: F.concat(acc["out"], F.array(acc["n"])))
     size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
     return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
 

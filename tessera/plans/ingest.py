@@ -1 +1,113 @@
-"""Queries of this group."""
+"""A: sources, sinks, incremental ingest.
+
+Queries of file formats first write files made from the given tables to the shared folder,
+then read them back through the source."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..operators.storage import shared_folder
+from ..sources import files as S
+from ..sources import sinks
+from .base import query, table
+
+
+@query("a1_mbox_scan", "SELECT conv_id || '-' || turn AS subject, role || '@example.org' AS from_email, CAST(2 AS BIGINT) AS recipients, md5(regexp_replace(replace(text, chr(10), ' '), '^ +', '')) AS h FROM conversations")
+def a1(spark, sf):
+    body = F.regexp_replace(F.translate("text", "\n", " "), "^ +", "")
+    c = table(spark, sf, "conversations").select(F.concat(F.lit("From x Thu Jan  4 00:00:00 2024\nSubject: "), "conv_id", F.lit("-"), "turn", F.lit("\nFrom: "), "role", F.lit("@example.org\nTo: a@x.org, B <b@x.org>\nDate: Thu, 04 Jan 2024 00:00:00 +0000\nContent-Type: text/plain; charset=utf-8\nContent-Transfer-Encoding: base64\n\n"), F.base64(F.encode(body, "utf-8"))).alias("value"))
+    c.write.text(path := shared_folder(spark))
+    m = S.mbox_scan(spark, path)
+    return m.select("subject", "from_email", F.size("recipients").cast("bigint").alias("recipients"), F.md5("body").alias("h"))
+
+
+def written(spark, sf):
+    d = table(spark, sf, "documents")
+    folder = shared_folder(spark)
+    d.select("lang", "text").repartition(2, "lang").write.partitionBy("lang").text(f"{folder}/texts")
+    d.select("doc_id", "lang", "source").write.option("header", True).csv(f"{folder}/rows")
+    return folder
+
+
+@query("a2_file_scan", "SELECT '.txt' AS extension, true AS some")
+def a2(spark, sf):
+    out = S.file_scan(spark, written(spark, sf), [".txt"])
+    return out.groupBy("extension").agg((F.sum("length") > 0).alias("some"))
+
+
+_RULES = [("", "*.org/es/*"), ("", "node_modules/"), ("http:", "**/en/1*")]
+
+
+@query("a3_exclude_paths", """SELECT page_id FROM pages WHERE NOT regexp_matches(p, '^[^/]*\\.org/es/[^/]*(/|$)') AND NOT regexp_matches(p, '^(.*/)?node_modules(/|$)') AND NOT regexp_matches(p, '^http\\:/.*/en/1[^/]*(/|$)') AND NOT regexp_matches(p, '(^|/)\\.[^/]+/') AND NOT regexp_matches(p, '(^|/)de/')
+  AND true""".replace("FROM pages", "FROM (SELECT page_id, regexp_replace(url, '^https?://', '') AS p FROM pages)"))
+def a3(spark, sf):
+    p = table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("p"))
+    return S.exclude_paths(p, F.col("p"), S.ignore_patterns(_RULES), ["de"]).select("page_id")
+
+
+@query("a4_wet_scan", "SELECT 'http://x/' || doc_id AS url, md5(trim(text, ' ' || chr(10) || chr(13))) AS h FROM documents WHERE length(trim(text, ' ' || chr(10) || chr(13))) >= 300 AND lang = 'en'")
+def a4(spark, sf):
+    """Archives made from documents; other kinds of record and languages do not pass."""
+    kind = F.when(F.col("lang") == "en", "conversion").otherwise("warcinfo")
+    d = table(spark, sf, "documents").select(F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Target-URI: http://x/"), "doc_id", F.lit("\r\nContent-Type: text/plain\r\n\r\n"), "text", F.lit("\r\n\r\n")).alias("value"))
+    d.write.option("compression", "gzip").option("lineSep", "\n").text(path := shared_folder(spark))
+    return S.wet_scan(spark, path).select("url", F.md5("text").alias("h"))
+
+
+@query("a5_manifest_minus_done", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def a5(spark, sf):
+    return S.manifest_minus_done(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
+
+
+@query("a6_html_or_text_load", "SELECT count(*) AS n FROM documents")
+def a6(spark, sf):
+    out = S.load_documents(spark, written(spark, sf))
+    return out.filter("kind = 'csv'").agg(F.count("*").alias("n"))
+
+
+@query("a7_notebook_cells", "SELECT doc_id, md5('print(' || doc_id || ')' || chr(10) || lang || chr(10) || 'x = 1') AS h FROM documents")
+def a7(spark, sf):
+    cell = lambda kind, *source: F.struct(F.lit(kind).alias("cell_type"), F.array(*source).alias("source"))
+    cells = F.array(cell("markdown", "text"), cell("code", F.concat(F.lit("print("), "doc_id", F.lit(")\n")), F.col("lang")), cell("code", F.lit("x = 1")))
+    return table(spark, sf, "documents").select("doc_id", F.md5(S.notebook_code(F.to_json(F.struct(cells.alias("cells"))))).alias("h"))
+
+
+@query("a8_jsonl_append_sink", "SELECT event_type, 2 * count(*) AS n FROM events GROUP BY 1")
+def a8(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    path = shared_folder(spark)
+    for _ in range(2):
+        sinks.append_jsonl(e, path)
+    return spark.read.schema(e.schema).json(path).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("a9_csv_json_export", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def a9(spark, sf):
+    e = table(spark, sf, "events").select("event_id", "event_type")
+    path = shared_folder(spark)
+    sinks.export(e, f"{path}/csv", "csv")
+    sinks.export(e, f"{path}/json", "json")
+    both = spark.read.schema(e.schema).csv(f"{path}/csv", header=True).join(spark.read.schema(e.schema).json(f"{path}/json"), ["event_id", "event_type"])
+    return both.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("a10_tuple_csv_gz_sink", "SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def a10(spark, sf):
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source")
+    sinks.append_tuples(d, path := shared_folder(spark))
+    return spark.read.schema(d.schema).csv(path, header=True).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("a11_table_snapshot", "SELECT 'orders' AS name, count(*) AS n FROM orders")
+def a11(spark, sf):
+    code = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") == 0, "spark.table('lineitem')").when(F.col("n_nationkey") < 3, "x = spark.table('orders').where(y)").otherwise("pass").alias("code"))
+    used = {r["name"]: r["n"] for r in S.table_references(code).collect()}
+    made = sinks.snapshot_tables(spark, {n: f"{sf}/{n}.parquet" for n in ("orders", "lineitem")}, used, shared_folder(spark), slow=3600)
+    return spark.read.parquet(made["orders"]).agg(F.lit("orders").alias("name"), F.count("*").alias("n")).select("name", "n")
+
+
+@query("a12_report_bundle", """SELECT CASE WHEN length(text) >= 200 THEN 'analysed' ELSE 'failed' END AS state, count(*) AS n, md5(string_agg(conv_id || '-' || turn || ':' || role, chr(10) ORDER BY conv_id || '-' || turn || ':' || role)) AS details FROM conversations GROUP BY 1""")
+def a12(spark, sf):
+    detail = F.concat("conv_id", F.lit("-"), "turn", F.lit(":"), "role")
+    return S.report_bundle(table(spark, sf, "conversations"), F.char_length("text") >= 200, detail)
