@@ -96,7 +96,7 @@ def streaks(rows: DataFrame, keys: list[str], order: list[str], grade: str) -> D
 
 
 def spaced_repetition(grades: Column) -> Column:
-    """ease and interval after an array of grades in order."""
+    """ease and interval (at most a century of days) after an array of grades in order."""
     start = F.struct(F.lit(2.5).alias("ease"), F.lit(0).cast("bigint").alias("interval"))
 
     def step(s: Column, g: Column) -> Column:
