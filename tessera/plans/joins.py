@@ -42,7 +42,7 @@ def c4(spark, sf):
     return e.join(d.toDF("user_id", "start_text"), "user_id").join(d.toDF("k", "end_text"), "k").orderBy("event_id").limit(30).select("event_id", "start_text", "end_text")
 
 
-LISTED = """SELECT o.o_orderkey, round(greatest(0.0, coalesce(avg(h.o_totalprice) - any_value(o.o_totalprice), 0.0)), 4) AS profit FROM orders o
+LISTED = """SELECT o.o_orderkey, greatest(0.0, coalesce(sum(h.o_totalprice::DECIMAL(18, 2))::DOUBLE / count(h.o_totalprice) - any_value(o.o_totalprice), 0.0)) AS profit FROM orders o
   LEFT JOIN orders h ON h.o_orderpriority = o.o_orderpriority AND h.o_orderstatus = o.o_orderstatus AND h.o_orderdate >= o.o_orderdate - INTERVAL 90 DAY AND h.o_orderdate < o.o_orderdate GROUP BY o.o_orderkey"""
 
 
@@ -50,7 +50,7 @@ def profits(orders):
     """Each order's profit against the mean of its sort in the 90 days before, zero without history."""
     day = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date"))
     priced = J.trailing_mean(orders, ["o_orderpriority", "o_orderstatus"], day, "o_totalprice", 90)
-    return priced.withColumn("profit", F.round(F.greatest(F.lit(0.0), F.coalesce(F.col("mean") - F.col("o_totalprice"), F.lit(0.0))), 4))
+    return priced.withColumn("profit", F.greatest(F.lit(0.0), F.coalesce(F.col("mean") - F.col("o_totalprice"), F.lit(0.0))))
 
 
 @query("c5_trailing_window_lookup", f"SELECT o_orderkey, profit FROM ({LISTED}) WHERE profit > 100")

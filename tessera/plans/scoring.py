@@ -169,9 +169,9 @@ def b16(spark, sf):
 
 
 @query("b17_human_bytes", """SELECT doc_id, CASE WHEN n < 1024 THEN format('{:.2f} B', n::DOUBLE) WHEN n < 1048576 THEN format('{:.2f} KB', n / 1024.0::DOUBLE) WHEN n < 1073741824 THEN format('{:.2f} MB', n / 1048576.0::DOUBLE)
-  ELSE format('{:.2f} GB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT doc_id, CAST(n_chars * n_chars + 7 AS BIGINT) AS n FROM documents)""")
+  ELSE format('{:.2f} GB', n / 1073741824.0::DOUBLE) END AS size FROM (SELECT doc_id, CAST(n_chars * n_chars + 3 AS BIGINT) AS n FROM documents)""")
 def b17(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", S.human_bytes((F.col("n_chars") * F.col("n_chars") + 7).cast("double")).alias("size"))
+    return table(spark, sf, "documents").select("doc_id", S.human_bytes((F.col("n_chars") * F.col("n_chars") + 3).cast("double")).alias("size"))
 
 
 @query("b18_sanitize_name", r"""WITH a AS (SELECT page_id, regexp_replace(regexp_replace(url, '[^\p{L}\p{N}_-]', '_', 'g'), '^[-_]+', '') AS c, url FROM pages),

@@ -53,8 +53,8 @@ def h3b(spark, sf):
     after all others, of a user that is none."""
     folder = shared_folder(spark)
     e = table(spark, sf, "events").select("user_id", "ts")
-    e.write.parquet(f"{folder}/in/part=1")
-    e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")).write.parquet(f"{folder}/in/part=2")
+    e.write.parquet(f"{folder}/in")
+    e.agg(F.max("ts").alias("ts")).select(F.lit(-1).cast("bigint").alias("user_id"), (F.col("ts") + F.expr("INTERVAL 3 HOURS")).alias("ts")).write.mode("append").parquet(f"{folder}/in")
     s = S.sessions(timed(S.read(spark, f"{folder}/in")))
     S.run(s, f"{folder}/state", S.append_to(f"{folder}/out"))
     return _shown(spark.read.parquet(f"{folder}/out").filter("user_id >= 0"))

@@ -32,7 +32,7 @@ def append_to(path: str) -> Callable[[DataFrame, int], None]:
 
 def daily_history(orders: DataFrame) -> DataFrame:
     day = F.to_date("o_orderdate").alias("day")
-    return orders.groupBy("o_orderpriority", "o_orderstatus", day).agg(F.sum("o_totalprice").alias("s"), F.count("*").alias("n"))
+    return orders.groupBy("o_orderpriority", "o_orderstatus", day).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count("*").alias("n"))
 
 
 def listing_alerts(stream: DataFrame, history: DataFrame, days: int = 90, least: float = 100.0) -> Callable[[DataFrame, int], DataFrame]:
@@ -42,8 +42,8 @@ def listing_alerts(stream: DataFrame, history: DataFrame, days: int = 90, least:
     def alerts(batch: DataFrame) -> DataFrame:
         b = batch.withColumn("at", F.to_date("o_orderdate"))
         on = (b.o_orderpriority == history.o_orderpriority) & (b.o_orderstatus == history.o_orderstatus) & (history.day < b["at"]) & (history.day >= F.date_sub(b["at"], days))
-        mean = b.join(history, on).groupBy(b.o_orderkey, b.o_totalprice).agg((F.sum("s") / F.sum("n")).alias("mean"))
-        return mean.select("o_orderkey", F.round(F.col("mean") - F.col("o_totalprice"), 4).alias("profit")).filter(F.col("profit") > least)
+        mean = b.join(history, on).groupBy(b.o_orderkey, b.o_totalprice).agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"))
+        return mean.select("o_orderkey", (F.col("mean") - F.col("o_totalprice")).alias("profit")).filter(F.col("profit") > least)
 
     return alerts
 
