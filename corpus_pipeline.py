@@ -37,8 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, on shingles of five words: the smallest document of each class stays."""
-    classes = simhash_components(docs, words=5)
+    """Operator 4, on shingles of five words and up to six differing bits (a similarity of
+    0.9 of the fingerprints): the smallest document of each class stays."""
+    classes = simhash_components(docs, words=5, max_bits=6)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
     twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)
     kept = docs.join(first, "doc_id", "left_semi").withColumn("twin", F.row_number().over(twins)).filter("twin = 1").select(*docs.columns)
