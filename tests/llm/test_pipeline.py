@@ -53,7 +53,7 @@ def test_stages_against_brute_force(spark, tmp_path):
                 new = "\n".join(left)
                 want.append((d, new, lang, source, len(new) if len(left) < len(lines) else n))
         elif name == "SimHash near-dedup":
-            first = {d for d, _, c in brute_components([(x[0], x[1]) for x in before if x[0] not in (None, 45)], 5, 4) if d == c}
+            first = {d for d, _, c in brute_components([(x[0], x[1]) for x in before if x[0] not in (None, 45)], 5, 6) if d == c}
             want = sorted({x for x in before if x[0] in first or x[0] in (None, 45)}, key=key)
             assert 21 not in first and 22 not in first and 20 in first and fingerprint(b"", 5) == 0
         elif name == "substring dedup":
