@@ -23,7 +23,7 @@ from . import rolling
 from .arrays import flat, new_groups, sections, within
 from .repeats import Spec, _answer, remove_repeats
 
-WIDTH, GRAM = 50, 16
+WIDTH, GRAM = 50, 20
 
 
 class Suffixes:
