@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -21,3 +22,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def small_side(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """df marked for broadcast if it has no more than rows rows, else as it is; the count
+    reads one row more than that at most."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as V
+from .storage import small_side
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -18,7 +19,7 @@ def nearest(rows: DataFrame, queries: DataFrame, score: Column, n: int) -> DataF
     """The n best rows for each of a few queries (broadcast): a rank limit in each task
     keeps n rows per query before the shuffle.  rows: vec_id, embedding; queries: query_id, q."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", "vec_id", score.alias("score")).filter("score is not null")
+    pairs = rows.crossJoin(small_side(queries, 10_000)).select("query_id", "vec_id", score.alias("score")).filter("score is not null")
     return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 

@@ -10,11 +10,11 @@ from .base import query, table
 DAY = "yyyy-MM-dd"
 
 
-@query("g1_upsert_replace", """WITH b AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS v_at FROM customer), n AS (SELECT o_custkey + 50 AS k, round(o_totalprice, 2) AS v, o_orderkey + 1 AS v_at FROM orders WHERE o_orderkey % 10 = 0)
+@query("g1_upsert_replace", """WITH b AS (SELECT c_custkey AS k, c_acctbal AS v, 0 AS v_at FROM customer), n AS (SELECT o_custkey + 50 AS k, round(o_totalprice, 2) AS v, o_orderkey + 1 AS v_at FROM orders WHERE o_orderstatus = 'P')
   SELECT k, v, CAST(v_at AS BIGINT) AS version FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY v_at DESC) AS place FROM (SELECT * FROM b UNION ALL SELECT * FROM n)) WHERE place = 1""")
 def g1(spark, sf):
     base = table(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit(0).cast("bigint").alias("version"))
-    new = table(spark, sf, "orders").filter("o_orderkey % 10 = 0").select((F.col("o_custkey") + 50).alias("k"), F.round("o_totalprice", 2).alias("v"), (F.col("o_orderkey") + 1).alias("version"))
+    new = table(spark, sf, "orders").filter("o_orderstatus = 'P'").select((F.col("o_custkey") + 50).alias("k"), F.round("o_totalprice", 2).alias("v"), (F.col("o_orderkey") + 1).alias("version"))
     return C.upsert(base, new, "k", "version")
 
 

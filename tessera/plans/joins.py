@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import joins as J
+from ..operators.storage import small_side
 from .base import query, table
 
 
@@ -107,7 +108,7 @@ def c7(spark, sf):
 def c8(spark, sf):
     """Each place of each term: offsets from the lengths of the parts between them."""
     terms = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
-    hit = table(spark, sf, "documents").select("doc_id", "text").join(F.broadcast(terms), F.contains(F.col("text"), F.col("term")))
+    hit = table(spark, sf, "documents").select("doc_id", "text").join(small_side(terms, 10_000), F.contains(F.col("text"), F.col("term")))
     quoted = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))
     o = hit.withColumn("parts", F.split("text", quoted)).select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
     start = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda a, p: a + F.char_length(p)) + (F.col("k") - 1) * F.char_length("term")
@@ -145,7 +146,7 @@ def c11(spark, sf):
     t = lambda n: table(spark, sf, n)
     topics = t("part").select(F.col("p_type").alias("topic")).distinct()
     done = t("orders").join(t("lineitem").filter("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("p_type").alias("topic")).distinct()
-    grid = t("customer").select("c_custkey").crossJoin(F.broadcast(topics))
+    grid = t("customer").select("c_custkey").crossJoin(small_side(topics, 10_000))
     return grid.join(done, ["c_custkey", "topic"], "left_anti").groupBy("c_custkey").agg(F.min("topic").alias("topic"))
 
 
