@@ -11,9 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.llm.near import similar_components
 from tessera.llm.op01_substring import substring_dedup
 from tessera.llm.op03_packing import pack
-from tessera.llm.op04_simhash import simhash_components
 from tessera.llm.op05_lines import line_dedup
 from tessera.llm.op07_quality import quality_rules
 
@@ -37,9 +37,9 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4, on shingles of five words and up to six differing bits (a similarity of
-    0.9 of the fingerprints): the smallest document of each class stays."""
-    classes = simhash_components(docs, words=5, max_bits=6)
+    """Operator 4, on shingles of five words, with every pair of an exact similarity of 0.8
+    or more linked: the smallest document of each class stays."""
+    classes = similar_components(docs, words=5)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
     twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)
     kept = docs.join(first, "doc_id", "left_semi").withColumn("twin", F.row_number().over(twins)).filter("twin = 1").select(*docs.columns)
