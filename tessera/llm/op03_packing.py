@@ -6,12 +6,13 @@ found by a segment tree over the remaining capacities.  Each task packs what it
 turns of at most ``TURN`` rests, so no rest crosses the network and memory stays bounded.
 
 The vocabulary of the given tokenizers file runs in tiktoken, which gives the same ids at
-several times the speed; a text that holds the string of one of the file's added tokens
-goes through the tokenizers library itself.
+several times the speed; a text that holds the string of one of the file's added tokens, or
+a run of ``LONG_RUN`` or more blanks or other characters (tiktoken's pattern overflows its
+stack on a million blanks), goes through the tokenizers library itself.
 
-Defined results: a null or empty text is the end id alone; rows are independent, so null
-or repeated ids need no rule; an empty table gives an empty result.  Other columns are
-ignored.
+Defined results: a null or empty text is the end id alone; a text of any length, and of
+white space or one letter only, has the library's ids; rows are independent, so null or
+repeated ids need no rule; an empty table gives an empty result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WINDOW, END, TURN = 1024, 0, 16_384
+LONG_RUN = 20_000
 
 
 def byte_letters() -> dict[str, int]:
@@ -53,10 +55,11 @@ class ByteTokenizer:
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
+        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit integers."""
-        if self.special and self.special.search(text):
+        if (self.special and self.special.search(text)) or (len(text) >= LONG_RUN and self.long_run.search(text)):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 

@@ -21,6 +21,13 @@ def test_ids_are_the_librarys(spark, sf):
         assert list(memoryview(ours.encode(t)).cast("I")) == theirs.encode(t, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("part", [" ", "\t", "\n", "x"])
+def test_very_long_runs(part):
+    ours, theirs = ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json")), library()
+    for text in (part * (2_000_000 // len(part)), "a word " + part * 19_999 + " end"):
+        assert ours.encode(text) == b"".join(i.to_bytes(4, "little") for i in theirs.encode(text, add_special_tokens=False).ids)
+
+
 def test_best_fit_takes_the_tightest_window():
     r = random.Random(2)
     lengths = [r.randrange(1, 101) for _ in range(700)]
