@@ -10,7 +10,8 @@ third of all documents hold is spread over ``SALTS`` parts.
 
 Defined results: a null or empty text is one empty line; a row without a doc_id counts as
 no document but loses the same lines; rows that share a doc_id count as one document and
-are each cut on their own; an empty table gives an empty result.
+are each cut on their own; an empty table gives an empty result; a text of any length is
+cut whole; the columns of docs come back in struct ``row``, so no name of theirs can clash.
 """
 
 from __future__ import annotations
@@ -30,8 +31,7 @@ def line_key(line: Column) -> Column:
 
 
 def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcast_hashes: int = BROADCAST_HASHES) -> DataFrame:
-    """All columns of docs and struct ``lines``: n_lines, n_dropped, kept (string)."""
-    name = "lines"
+    """Struct ``row``: all columns of docs; struct ``lines``: n_lines, n_dropped, kept (string)."""
     source = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), F.col("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     keyed = source.withColumn("text_hash", F.xxhash64("text"))
     lines = keyed.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("key", line_key(F.col("line")))
@@ -49,13 +49,13 @@ def line_dedup(docs: DataFrame, min_docs: int = 10, min_chars: int = 1, broadcas
     positions = F.array_except(F.sequence(F.lit(0), F.size(all_lines) - 1), F.col("drop"))
     kept = F.when(F.col("drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(positions, lambda i: F.get(all_lines, i)), "\n"))
     cut = F.struct(F.size(all_lines).cast("bigint").alias("n_lines"), F.coalesce(F.size("drop"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept"))
-    return joined.select("row.*", cut.alias(name)) if name not in docs.columns else joined.select("row", cut.alias(name))
+    return joined.select("row", cut.alias("lines"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     out = line_dedup(docs)
-    return out.select("doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
+    return out.select("row.doc_id", "lines.n_lines", "lines.n_dropped", F.sha2(F.col("lines.kept").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = """

@@ -34,5 +34,5 @@ def test_cases(spark, limit):
     rows += [(9, "same line", "x"), (9, "two\nsame line", "y"), (9, "same line", "x"), (None, "same line\nother", "n"), (10, None, None), (11, "", "e"), (12, "\n\n", "e"), (13, "same line\n" * 3000 + "end", "long")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, kept string")
     got = line_dedup(docs, min_docs=10, broadcast_hashes=limit).collect()
-    assert sorted(((r.doc_id, r.kept, r.lines.n_lines, r.lines.n_dropped, r.lines.kept) for r in got), key=str) == brute(rows, 10)
+    assert sorted(((r.row.doc_id, r.row.kept, r.lines.n_lines, r.lines.n_dropped, r.lines.kept) for r in got), key=str) == brute(rows, 10)
     assert line_dedup(docs.limit(0)).collect() == []
