@@ -18,9 +18,9 @@ from tessera.llm.op05_lines import line_dedup
 from tessera.llm.op07_quality import quality_rules
 
 
-def _with_text(docs: DataFrame, columns: list[str], changed: Column, text: Column, row: str = "") -> DataFrame:
-    """The columns of documents, with the new text and its length where it changed."""
-    old = lambda c: F.col(f"{row}{c}")
+def _with_text(docs: DataFrame, columns: list[str], changed: Column, text: Column, row: str) -> DataFrame:
+    """The columns of documents (of struct row), with the new text and its length where it changed."""
+    old = lambda c: F.col(f"{row}.`{c}`")
     new = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
     return docs.select(*(F.when(changed, new[c]).otherwise(old(c)).alias(c) if c in new else old(c).alias(c) for c in columns))
 
@@ -33,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that ten or more documents share go."""
-    return _with_text(line_dedup(docs), docs.columns, F.col("lines.n_dropped") > 0, F.col("lines.kept"))
+    return _with_text(line_dedup(docs), docs.columns, F.col("lines.n_dropped") > 0, F.col("lines.kept"), "row")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +41,17 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     or more linked: the smallest document of each class stays."""
     classes = similar_components(docs, words=5)
     first = classes.filter("doc_id = component_id").select("doc_id").distinct()
-    twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*docs.columns)
-    kept = docs.join(first, "doc_id", "left_semi").withColumn("twin", F.row_number().over(twins)).filter("twin = 1").select(*docs.columns)
+    ordered = [f"row.`{c}`" for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    twins = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(*ordered)
+    rows = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    kept = rows.join(first, "doc_id", "left_semi").withColumn("twin", F.row_number().over(twins)).filter("twin = 1").select("row.*")
     return kept.unionByName(docs.filter("doc_id is null"))
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: words covered by windows that stand earlier go; white space stays."""
     cut = substring_dedup(docs, layout=True, carry=tuple(docs.columns))
-    return _with_text(cut, docs.columns, F.col("n_removed") > 0, F.col("kept"), "extra.")
+    return _with_text(cut, docs.columns, F.col("n_removed") > 0, F.col("kept"), "extra")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
