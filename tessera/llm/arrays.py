@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 
@@ -42,3 +44,15 @@ def new_groups(*sorted_columns: np.ndarray) -> np.ndarray:
         for c in sorted_columns:
             out[1:] |= c[1:] != c[:-1]
     return out
+
+
+def parts(texts: list[bytes | None], size: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """Bounds of consecutive texts of about size bytes together."""
+    begin = 0
+    while begin < len(texts):
+        end, have = begin, 0
+        while end < len(texts) and (end == begin or have < size):
+            have += len(texts[end] or b"")
+            end += 1
+        yield begin, end
+        begin = end

@@ -4,7 +4,7 @@ Two texts are linked if their sets of word shingles have a Jaccard similarity of
 more; every link is verified on the sets.  Equal sets are one point (known by 64 bits of
 hash).  Candidates come in two passes:
 
-1. points whose fingerprints are within six bits (op04), and each point with one chosen
+1. points whose fingerprints are within four bits (op04), and each point with the least
    point of every posting list it is in, so that dense groups become few classes;
 2. all pairs of different classes that meet in a posting list.
 
@@ -12,8 +12,13 @@ The posting lists hold each set's prefix: its first n - ceil(SHARE * n) + 1 shin
 order of all shingles.  Sets as similar as SHARE meet in their prefixes whatever the order
 is, and the place of the first shingle they share bounds their overlap, so the second pass
 misses no pair.  Shingles that a sample finds common come last in the order, which keeps
-the lists short.  Before texts are compared, odd sketches (the parity of shingles in each of
+the lists short.  Before sets are compared, odd sketches (the parity of shingles in each of
 SKETCH bits) drop pairs: they differ in at most as many bits as the sets do in shingles.
+
+Defined results: null and empty texts are one (empty) set; rows without a doc_id have no
+class; rows that share a doc_id are points of their own; repeated rows are one point; a
+long text is one set like any other; an empty table gives an empty result.  Other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -24,13 +29,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import lists
 from .checkpoints import checkpointed
 from .components import components
-from .fingerprints import majority_bits, shingle_hashes
+from .fingerprints import majority_bits, polynomial_shingles
 from .op04_simhash import links
 
 SHARE = (4, 5)
@@ -42,21 +47,13 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets (sorted, without repeats) have a Jaccard similarity of SHARE or more."""
-    if not len(a) or not len(b):
-        return len(a) == len(b)
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return SHARE[1] * both >= SHARE[0] * (len(a) + len(b) - both)
-
-
 def common_shingles(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Of a sample's shingles that stand in three or more texts, the COMMON most frequent at
     most: hash (ascending) and count.  It gives the order only, so it need not be exact."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py() or b"", words)) for t in batch.column("text")]
+            sets = [np.unique(h) for h in polynomial_shingles(batch.column("text").to_pylist(), words)]
             found, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
 
@@ -82,8 +79,7 @@ def scanned(docs: DataFrame, words: int) -> DataFrame:
         known, counts = common.value
         for batch in batches:
             sid, fp, n, sketch, prefix = [], [], [], [], [np.zeros(0, np.uint64)]
-            for t in batch.column("text"):
-                hashes = shingle_hashes(t.as_py() or b"", words)
+            for hashes in polynomial_shingles(batch.column("text").to_pylist(), words):
                 h = np.unique(hashes)
                 rank = np.zeros(len(h), np.int64)
                 if len(known):
@@ -110,33 +106,38 @@ def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
         apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
         allowed = (SHARE[0] + SHARE[1]) * apart <= (SHARE[1] - SHARE[0]) * size
-        yield batch.select(["a", "b"]).filter(pa.array(allowed))
+        yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(allowed))
 
 
-def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b: sid, each pair once) whose sets are similar enough."""
+def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
+    """sid, shingles (their hashes, each once) of rows (sid, text)."""
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            last, left, ok = None, None, []
-            for a, x, y in zip(batch.column("a").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True):
-                if a != last:
-                    last, left = a, np.unique(shingle_hashes(x.as_py() or b"", words))
-                ok.append(similar(left, np.unique(shingle_hashes(y.as_py() or b"", words))))
-            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+            sets = [np.unique(h) for h in polynomial_shingles(batch.column("text").to_pylist(), words)]
+            sizes = np.array(list(map(len, sets)), dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("sid"), lists(np.concatenate([np.zeros(0, np.uint64), *sets]), sizes, pa.int64())], ["sid", "shingles"])
+
+    return docs.mapInArrow(scan, "sid bigint, shingles array<bigint>")
+
+
+def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """The pairs (a, b: sid, each pair once) whose sets are similar enough."""
 
     def sides(table: DataFrame, *columns: str) -> list[DataFrame]:
-        return [table.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)) for s in "ab"]
+        return [table.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)).hint("merge") for s in "ab"]
 
     a, b = sides(points, "n", "sketch")
-    sized = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b").filter(SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b"))
-    near = checkpointed(sized.mapInArrow(_sketches_allow, "a bigint, b bigint"))
+    sized = pairs.join(a, "a").join(b, "b").filter(SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b"))
+    near = checkpointed(sized.mapInArrow(_sketches_allow, "a bigint, b bigint, n_a bigint, n_b bigint"))
     asked = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
     asked = checkpointed(points.hint("merge").join(asked, "sid").select("sid", "first.doc_id", "first.version"))
     asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
-    texts = checkpointed(docs.join(asked, ["doc_id", "version"]).dropDuplicates(["sid"]).select("sid", "text"))
-    a, b = sides(texts, "text")
-    linked = checkpointed(near.join(a.hint("merge"), "a").join(b.hint("merge"), "b").mapInArrow(compare, "a bigint, b bigint"))
+    sets = checkpointed(shingle_sets(docs.join(asked, ["doc_id", "version"]).dropDuplicates(["sid"]).select("sid", "text"), words))
+    a, b = sides(sets, "shingles")
+    both = F.size(F.array_intersect("shingles_a", "shingles_b"))
+    enough = SHARE[1] * both >= SHARE[0] * (F.col("n_a") + F.col("n_b") - both)
+    linked = checkpointed(near.join(a, "a").join(b, "b").filter(enough).select("a", "b"))
     gc.collect()  # plans that Python still holds keep their broadcasts in the driver
     return linked
 
@@ -145,38 +146,36 @@ def _pair(x: str, y: str) -> list:
     return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
-def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 6) -> DataFrame:
+def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> DataFrame:
     """doc_id, component_id of each row with a doc_id: the smallest doc_id reachable through
     links of a shingle similarity of SHARE or more.  max_bits is that of the first pass and
     does not change the result."""
     docs = docs.filter("doc_id is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), F.xxhash64("text").alias("version"))
     rows = checkpointed(scanned(docs, words))
     first = F.min(F.struct("doc_id", "version")).alias("first")
-    points = checkpointed(rows.groupBy("sid").agg(first, F.first("fp").alias("fp"), F.first("n").alias("n"), F.first("sketch").alias("sketch")))
-    whole = points.select("sid", "first.doc_id", "first.version")
-    once = rows.join(whole, ["sid", "doc_id", "version"], "left_semi").dropDuplicates(["sid"])
-    postings = once.select("sid", "n", F.posexplode("prefix").alias("place", "h"))
-    met = postings.groupBy("h").agg(F.count("*").alias("size"), F.min(F.col("sid").bitwiseXOR(F.col("h"))).alias("chosen")).filter("size > 1").select("h", "chosen")
-    shared = checkpointed(postings.join(met, "h").withColumn("chosen", F.col("chosen").bitwiseXOR(F.col("h"))))
+    points = checkpointed(rows.groupBy("sid").agg(first, *(F.first(c).alias(c) for c in ("fp", "n", "sketch", "prefix"))))
+    lists_ = Window.partitionBy("h")
+    postings = points.select(F.posexplode("prefix").alias("place", "h"), "sid", "n")
+    shared = postings.withColumns({"chosen": F.min("sid").over(lists_), "last": F.max("sid").over(lists_)}).filter("chosen < last")
+    shared = checkpointed(shared.drop("last"))
+    points = points.drop("prefix")
 
     prints = checkpointed(points.groupBy("fp").agg(F.min("sid").alias("sid")))
-    one, other = prints.toDF("a", "sid_a"), prints.toDF("b", "sid_b")
-    by_bits = links(prints, max_bits).join(one.hint("merge"), "a").join(other.hint("merge"), "b").select(*_pair("sid_a", "sid_b"))
-    by_prints = points.join(prints.toDF("fp", "other").hint("merge"), "fp").filter("sid <> other").select(*_pair("sid", "other"))
-    by_lists = shared.filter("sid <> chosen").select(*_pair("sid", "chosen"))
+    one, other = prints.toDF("a", "sid_a").hint("merge"), prints.toDF("b", "sid_b").hint("merge")
+    by_bits = links(prints, max_bits).join(one, "a").join(other, "b").select(*_pair("sid_a", "sid_b"))
+    by_prints = points.select("fp", "sid").join(prints.toDF("fp", "other").hint("merge"), "fp").filter("sid <> other").select(*_pair("sid", "other"))
+    by_lists = shared.filter("sid <> chosen").select(F.col("chosen").alias("a"), F.col("sid").alias("b"))
     found = verified(checkpointed(by_bits.union(by_prints).union(by_lists).distinct()), points, docs, words)
 
     classes = components(found)
-    classes = checkpointed(points.join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", F.coalesce("class", "sid").alias("class")))
+    classes = checkpointed(points.select("sid").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", F.coalesce("class", "sid").alias("class")))
     gc.collect()
-    marked = shared.join(classes.hint("merge"), "sid").select("h", "sid", "n", "place", "class")
-    marked = checkpointed(marked)
-    mixed = marked.groupBy("h").agg(F.min("class").alias("x"), F.max("class").alias("y")).filter("x <> y").select("h")
-    open_ = checkpointed(marked.join(mixed, "h", "left_semi"))
+    marked = shared.drop("chosen").join(classes.hint("merge"), "sid").withColumns({"x": F.min("class").over(lists_), "y": F.max("class").over(lists_)})
+    open_ = checkpointed(marked.filter("x <> y").select("h", "sid", "n", "place", "class"))
     p, q = open_.toDF(*(f"{c}_p" for c in open_.columns)), open_.toDF(*(f"{c}_q" for c in open_.columns))
     rest = F.least(F.col("n_p") - F.col("place_p"), F.col("n_q") - F.col("place_q"))
     may = SHARE[0] * (F.col("n_p") + F.col("n_q")) <= (SHARE[0] + SHARE[1]) * rest
-    pairs = p.join(q, (F.col("h_p") == F.col("h_q")) & (F.col("sid_p") < F.col("sid_q")) & (F.col("class_p") != F.col("class_q")) & may)
+    pairs = p.join(q.hint("merge"), (F.col("h_p") == F.col("h_q")) & (F.col("sid_p") < F.col("sid_q")) & (F.col("class_p") != F.col("class_q")) & may)
     more = verified(checkpointed(pairs.select(F.col("sid_p").alias("a"), F.col("sid_q").alias("b")).distinct()), points, docs, words)
 
     from_, to = classes.toDF("a", "class_a").hint("merge"), classes.toDF("b", "class_b").hint("merge")
