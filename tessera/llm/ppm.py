@@ -1,100 +1,95 @@
-"""Prediction by partial matching over bytes: contexts of up to two bytes, pretrained.
-
-The trie's nodes are contexts (none, one byte, two bytes); the symbols are the 256 bytes
-and an end.  The counts of a node give its symbols' chances and, with as many escapes as
-it has distinct symbols, the chance of going on to the next shorter context, where the
-symbols already refused are excluded.  Below the empty context all symbols not seen there
-are equally likely.  A context of two bytes bounds the trie: at most 257 * (1 + 256 +
-65536) counts whatever the corpus, which is what makes a broadcast of it safe.
+"""Prediction by partial matching over bytes: contexts of up to ``order`` bytes.
+
+The nodes of the trie are contexts; its symbols are the 256 bytes and an end.  In front of
+each text stand start marks, so that every byte has a context of full length.  A byte or
+end in its longest context is one integer, its *event*: digits in base ``BASE``, the oldest
+byte first and the symbol last.  Shorter contexts' events are remainders of it, so counts
+of events hold the whole trie.
+
+A node's counts give its symbols' chances and, with as many escapes as it has distinct
+symbols, the chance of going on to the next shorter context, where the symbols already
+refused are excluded.  Below the empty context all symbols not seen there are equally
+likely.  Events that share the last two bytes of their contexts can be worked out
+together, apart from all others, with the counts of contexts of one byte and none at hand
+(``Short``: BASE ** 2 numbers whatever the corpus).
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-SYMBOLS, END = 257, 256
-SPACE = SYMBOLS * (1 + 256 + 65536)
+from .arrays import new_groups, sections, within
 
+END, START, BASE = 256, 257, 258
+SYMBOLS = 257
 
-def keys_of(data: np.ndarray, ends: np.ndarray, orders: bool) -> tuple[np.ndarray, np.ndarray]:
-    """context * 257 + symbol of each byte and end of the joined texts, in its longest
-    context; with orders, in all its contexts.  Also the text of each key (longest only)."""
-    begins = np.concatenate([[0], ends[:-1]])
-    size = ends - begins + 1
-    place = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-    text = np.repeat(np.arange(len(ends)), size)
+
+def events(data: np.ndarray, ends: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The event of each byte and each end of the joined texts; how many each text has."""
+    sizes = np.diff(np.concatenate([[0], ends])) + 1
+    place, text = within(sizes), sections(sizes)
     symbol = np.full(len(place), END, dtype=np.int64)
-    inside = place < (size - 1)[text]
-    symbol[inside] = data
-    one = np.zeros(len(place), dtype=np.int64)
-    one[1:] = symbol[:-1]
-    two = np.zeros(len(place), dtype=np.int64)
-    two[2:] = symbol[:-2]
-    longer = place >= 2
-    first = 1 + one
-    second = 257 + 256 * np.where(longer, two, 0) + one
-    if not orders:
-        context = np.where(longer, second, np.where(place == 1, first, 0))
-        return context * SYMBOLS + symbol, text
-    return np.concatenate([symbol, (first * SYMBOLS + symbol)[place >= 1], (second * SYMBOLS + symbol)[longer]]), text
-
-
-class Model:
-    """Base-10 log probabilities, worked out for the keys that are asked for."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys, self.counts = keys, counts.astype(np.float64)
-        context = keys // SYMBOLS
-        size = 1 + 256 + 65536
-        self.total = np.bincount(context, weights=self.counts, minlength=size)
-        self.distinct = np.bincount(context, minlength=size).astype(np.float64)
-        # Of the next shorter context: the counts of the symbols seen in the longer one.
-        self.refused = np.zeros(size)
-        if len(keys):
-            parent = self.parent(context)
-            held = self.count(parent * SYMBOLS + keys % SYMBOLS)
-            deeper = context > 0
-            self.refused += np.bincount(context[deeper], weights=held[deeper], minlength=size)
-        self.table = np.full(SPACE, np.nan, dtype=np.float32)
-
-    @staticmethod
-    def parent(context: np.ndarray) -> np.ndarray:
-        return np.where(context >= 257, 1 + (context - 257) % 256, 0)
-
-    def count(self, keys: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(keys))
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.counts[at], 0.0)
-
-    def work_out(self, keys: np.ndarray) -> np.ndarray:
-        context, symbol = keys // SYMBOLS, keys % SYMBOLS
-        out = np.zeros(len(keys))
-        open_ = np.arange(len(keys))
-        excluded_sum, excluded = np.zeros(len(keys)), np.zeros(len(keys))
-        while len(open_):
-            c = context[open_]
-            n = self.total[c] - excluded_sum[open_]
-            d = self.distinct[c] - excluded[open_]
-            seen = self.count(c * SYMBOLS + symbol[open_])
-            use = d > 0  # else every symbol here is refused, or none was ever seen
-            whole = np.where(use, n + d, 1.0)
-            with np.errstate(divide="ignore"):
-                out[open_] += np.where(use, np.log10(np.where(seen > 0, seen, d) / whole), 0.0)
-            go = open_[seen == 0]
-            last = context[go] == 0
-            end = go[last]
-            out[end] -= np.log10(SYMBOLS - self.distinct[0])
-            open_ = go[~last]
-            c = context[open_]
-            excluded_sum[open_], excluded[open_] = self.refused[c], self.distinct[c]
-            context[open_] = self.parent(c)
-        return out
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        found = self.table[keys]
-        missing = np.unique(keys[np.isnan(found)])
-        if len(missing):
-            self.table[missing] = self.work_out(missing)
-            found = self.table[keys]
-        return found.astype(np.float64)
+    symbol[place < (sizes - 1)[text]] = data
+    out = symbol.copy()
+    for k in range(1, order + 1):
+        before = np.full(len(symbol), START, dtype=np.int64)
+        before[k:] = symbol[:-k]
+        before[place < k] = START
+        out += before * BASE**k
+    return out, sizes
+
+
+def suffix(event: np.ndarray) -> np.ndarray:
+    """The last two bytes of the context."""
+    return event // BASE % BASE**2
+
+
+class Level:
+    """The nodes of one context length: counts of events (n), each event's node, and of
+    each node the sum and number of its symbols and, of the next shorter node, the sum of
+    the counts of the symbols seen in it (refused)."""
+
+    def __init__(self, n: np.ndarray, node: np.ndarray, shorter: np.ndarray) -> None:
+        size = int(node[-1]) + 1 if len(node) else 0
+        self.n, self.node = n, node
+        self.total = np.bincount(node, weights=n, minlength=size)
+        self.distinct = np.bincount(node, weights=n > 0, minlength=size)
+        self.refused = np.bincount(node, weights=np.where(n > 0, shorter, 0), minlength=size)
+
+
+class Short:
+    """Contexts of one byte and of none; counts: of each event of one byte of context."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        one = counts.astype(np.float64)
+        none = one.reshape(BASE, BASE).sum(axis=0)
+        every = np.arange(BASE**2)
+        self.one = Level(one, every // BASE, none[every % BASE])
+        self.none = Level(none, np.zeros(BASE, dtype=np.int64), np.zeros(BASE))
+
+
+def log10(keys: np.ndarray, counts: np.ndarray, order: int, short: Short) -> np.ndarray:
+    """Base-10 log probabilities of distinct events (ascending), with their counts in the
+    training texts.  All training events whose contexts share the last two bytes with one
+    of them must be among them."""
+    found = []
+    n, at = short.one.n, keys % BASE**2
+    for k in range(2, order + 1):
+        event, first, of = np.unique(keys % BASE ** (k + 1), return_index=True, return_inverse=True)
+        here = np.bincount(of, weights=counts, minlength=len(event))
+        found.append((Level(here, np.cumsum(new_groups(event // BASE)) - 1, n[at[first]]), of))
+        n, at = here, of
+    out, open_ = np.zeros(len(keys)), np.arange(len(keys))
+    out_n, out_d = np.zeros(len(keys)), np.zeros(len(keys))
+    for level, of in [*reversed(found), (short.one, keys % BASE**2), (short.none, keys % BASE)]:
+        event = of[open_]
+        node, seen = level.node[event], level.n[event]
+        free = level.distinct[node] - out_d
+        whole = level.total[node] - out_n + free
+        use = free > 0  # else every symbol here is refused, or none was ever seen
+        out[open_] += np.where(use, np.log10(np.where(seen > 0, seen, np.maximum(free, 1)) / np.where(use, whole, 1)), 0.0)
+        go = seen == 0
+        open_, node = open_[go], node[go]
+        out_n, out_d = level.refused[node], level.distinct[node]
+    out[open_] -= np.log10(SYMBOLS - short.none.distinct[0]) if len(open_) else 0
+    return out

@@ -18,21 +18,26 @@ def out(d):
     return d is not None and zlib.crc32(str(d).encode()) % 5 == 1
 
 
-def brute_ppm(train):
-    """Counts by context tuple, and the log10 probability of a text by walking the trie."""
+def brute_ppm(train, order=op10_lm.ORDER):
+    """Counts by context tuple (start marks in front of a text), and the log10 probability
+    of a text by walking the trie."""
     nodes = collections.defaultdict(collections.Counter)
+
+    def placed(text):
+        b = [257] * order + [*(text or "").encode(), 256]
+        return [(b[i - order : i], b[i]) for i in range(order, len(b))]
+
     for t in train:
-        b = [*(t or "").encode(), 256]
-        for i, s in enumerate(b):
-            for k in range(min(2, i) + 1):
-                nodes[tuple(b[i - k : i])][s] += 1
+        for before, s in placed(t):
+            for k in range(order + 1):
+                nodes[tuple(before[len(before) - k :])][s] += 1
 
     def score(text):
-        b, total = [*(text or "").encode(), 256], 0.0
-        for i, s in enumerate(b):
+        total = 0.0
+        for before, s in placed(text):
             refused = set()
-            for k in range(min(2, i), -1, -1):
-                here = {x: n for x, n in nodes.get(tuple(b[i - k : i]), {}).items() if x not in refused}
+            for k in range(order, -1, -1):
+                here = {x: n for x, n in nodes.get(tuple(before[len(before) - k :]), {}).items() if x not in refused}
                 if not here:
                     continue
                 whole = sum(here.values()) + len(here)
@@ -68,12 +73,13 @@ def compare(got, want):
 
 
 def test_cases(spark, monkeypatch):
-    texts = [None, "", " ", "The the THE cat", "a\tb\n\nc", "éÉ ü", "日本 🙂", "word " * 2000, "unseen zzz qq"] * 2
+    texts = [None, "", " ", "The the THE cat", "a\tb\n\nc", "éÉ ü", "日本 🙂", "word " * 2000, "long text " * 30_000, "unseen zzz qq"] * 2
     rows = [(i, t) for i, t in enumerate(texts)] + [(None, "no id the"), (3, "again the cat"), (3, "again the cat")]
     docs = spark.createDataFrame([(d, t, 1.0) for d, t in rows], "doc_id long, text string, score double")
     compare(lm_scores(docs).collect(), brute(rows))
     monkeypatch.setattr(op10_lm, "BLOCK_BYTES", 100)
     monkeypatch.setattr(op10_lm, "BUCKET_WORDS", 1)
+    monkeypatch.setattr(op10_lm, "SALT_BLOCKS", 3)
     compare(lm_scores(docs).collect(), brute(rows))
     assert lm_scores(docs.limit(0)).collect() == []
     held = [(d, t) for d, t in rows if out(d)]
@@ -88,7 +94,21 @@ def test_query(spark, sf):
 
 def test_chances_sum_to_one():
     text = np.frombuffer(b"abracadabra abc", dtype=np.uint8)
-    keys, counts = np.unique(ppm.keys_of(text, np.array([len(text)]), True)[0], return_counts=True)
-    model = ppm.Model(keys, counts)
-    for context in (0, 1 + 97, 257 + 97 * 256 + 98, 257 + 120 * 256 + 121, 1 + 122):
-        assert np.isclose((10 ** model.work_out(context * ppm.SYMBOLS + np.arange(ppm.SYMBOLS))).sum(), 1)
+    keys, counts = np.unique(ppm.events(text, np.array([len(text)]), 4)[0], return_counts=True)
+    short = ppm.Short(np.bincount(ppm.events(text, np.array([len(text)]), 1)[0], minlength=ppm.BASE**2))
+    for context in (b"abra", b"zbra", b"zzra", b"zzzz", b"zzza", b"  ab"):
+        node = 0
+        for c in context:
+            node = node * ppm.BASE + c
+        asked = np.setdiff1d(node * ppm.BASE + np.arange(ppm.SYMBOLS), keys)
+        both = np.concatenate([keys, asked])
+        order = np.argsort(both)
+        chances = ppm.log10(both[order], np.concatenate([counts, 0 * asked])[order], 4, short)
+        assert np.isclose((10 ** chances[both[order] // ppm.BASE == node]).sum(), 1)
+
+
+def test_longer_contexts_beat_the_base(spark):
+    """On held-out documents, which the model has not seen."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    r = lm_scores(docs).filter("held_out").groupBy().sum("score", "base_score").first()
+    assert r[0] > r[1]
