@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from . import rolling
 from .repeats import Spec, remove_repeats
 
-WIDTH, GRAM = 20, 6
+WIDTH, GRAM, BLOCK_BYTES = 20, 6, 1 << 20
 
 
 def word_bounds(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -41,26 +41,24 @@ def tokenize(texts: list[bytes | None]) -> tuple:
     tokens = rolling.spans(rolling.prefix(rolling.byte_tokens(data)), start, stop)
     bounds = np.cumsum([len(t or b"") + 1 for t in texts])
     ends = np.searchsorted(start, bounds)
-    return tokens, ends, (texts, joined, start, stop, ends)
+    return tokens, ends, (texts, joined, start, stop)
 
 
-def cut_words(source: tuple, begin: int, end: int, gone: np.ndarray) -> tuple:
+def cut_words(source: tuple, number: int, begin: int, end: int, gone: np.ndarray) -> tuple:
     """(words, words removed, the kept words joined by one space)."""
-    _, joined, start, stop, _ = source
+    _, joined, start, stop = source
     words = joined[start[begin] : stop[end - 1]].split() if end > begin else []
     if gone.any():
         words = compress(words, ~gone)
     return end - begin, int(gone.sum()), b" ".join(words)
 
 
-def cut_text(source: tuple, begin: int, end: int, gone: np.ndarray) -> tuple:
-    """As cut_words, but the text keeps its own white space around the kept words."""
-    texts, joined, start, stop, ends = source
-    number = int(np.searchsorted(ends, end)) if end > begin else 0
+def cut_text(source: tuple, number: int, begin: int, end: int, gone: np.ndarray) -> tuple:
+    """As cut_words, but the text keeps its own white space around the kept words, and a
+    text from which nothing goes is returned as it is."""
+    texts, joined, start, stop = source
     if not gone.any():
-        if end > begin:
-            return end - begin, 0, texts[number]
-        return 0, 0, b""
+        return end - begin, 0, texts[number]
     offset = sum(len(t or b"") + 1 for t in texts[:number])
     edge = np.diff(np.concatenate([[0], gone.astype(np.int8), [0]]))
     out, at = [], offset
@@ -75,9 +73,9 @@ def substring_dedup(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, layou
     """doc_id, n_words, n_removed, kept (string), and carry's columns as struct ``extra``.
 
     layout: keep the white space around kept words instead of joining them by one space;
-    a text from which nothing goes is then returned as it is (without words: empty)."""
+    a text from which nothing goes, null and empty ones too, is then returned as it is."""
     columns = (("n_words", "bigint", pa.int64()), ("n_removed", "bigint", pa.int64()), ("kept", "binary", pa.binary()))
-    spec = Spec(width=width, gram=min(gram, width), within_doc=True, texts=False, tokenize=tokenize, cut=cut_text if layout else cut_words, columns=columns)
+    spec = Spec(width=width, gram=min(gram, width), within_doc=True, texts=False, tokenize=tokenize, cut=cut_text if layout else cut_words, columns=columns, block_bytes=BLOCK_BYTES)
     return remove_repeats(docs, spec, carry=carry).withColumn("kept", F.col("kept").cast("string"))
 
 

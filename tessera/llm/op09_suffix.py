@@ -135,7 +135,7 @@ def tokenize(texts: list[bytes | None]) -> tuple:
     return rolling.byte_tokens(data), np.cumsum([len(t or b"") for t in texts]), data
 
 
-def cut(source: np.ndarray, begin: int, end: int, gone: np.ndarray) -> tuple:
+def cut(source: np.ndarray, number: int, begin: int, end: int, gone: np.ndarray) -> tuple:
     data = source[begin:end]
     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
     return end - begin, int(gone.sum()), spans, data[~gone].tobytes() if spans else data.tobytes()

@@ -53,7 +53,8 @@ class Spec:
     earlier place in the same document counts; texts: whether runs that may overlap in
     part send their bytes (for a suffix sort) rather than the hashes of their windows;
     tokenize: joins texts, giving (tokens uint64, ends, source), source for ``cut``;
-    cut: (source, document, its kept token mask) to the document's result columns."""
+    cut: (source, number of the document in source, its first token and end, mask of its
+    removed tokens) to the document's result columns; block_bytes: of text in a block."""
 
     width: int
     gram: int
@@ -63,6 +64,7 @@ class Spec:
     cut: Callable
     columns: tuple = ()
     buckets: int = 1
+    block_bytes: int = 0
 
 
 @dataclass
@@ -307,7 +309,7 @@ def remove_repeats(docs: DataFrame, spec: Spec, meet_parts: Callable | None = No
     for each row of docs.  meet_parts answers buckets of texts.  Rows without a doc_id take
     no part: their texts are neither cut nor matched."""
     size = docs.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
+    blocks = max(1, math.ceil(size / (spec.block_bytes or BLOCK_BYTES)))
     density = spec.width - spec.gram + 2
     buckets = max(1, math.ceil(2 * size / (density if spec.texts else 6 * density) / BUCKET_RUNS))
     spec = Spec(**{**spec.__dict__, "buckets": max(buckets, 4)})
@@ -341,7 +343,7 @@ def remove_repeats(docs: DataFrame, spec: Spec, meet_parts: Callable | None = No
             texts = batch.column("text").to_pylist()
             tokens, ends, source = spec.tokenize(texts)
             bounds = zip(np.concatenate([[0], ends[:-1]]), ends, strict=True) if texts else ()
-            rows = [(None, *spec.cut(source, int(a), int(b), np.zeros(int(b - a), bool))) for a, b in bounds]
+            rows = [(None, *spec.cut(source, k, int(a), int(b), np.zeros(int(b - a), bool))) for k, (a, b) in enumerate(bounds)]
             made = [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)] if rows else [pa.array([], f.type) for f in out]
             names = out.names + (["extra"] if carry else [])
             yield pa.RecordBatch.from_arrays(made + ([batch.column("extra")] if carry else []), names=names)
@@ -355,7 +357,7 @@ def remove_repeats(docs: DataFrame, spec: Spec, meet_parts: Callable | None = No
         for (begin, _, ends, source, _), mask in zip(block.chunks, masks, strict=True):
             start = 0
             for k, end in enumerate(ends):
-                rows.append((int(block.docs[begin + k]), *spec.cut(source, start, int(end), mask[start:end])))
+                rows.append((int(block.docs[begin + k]), *spec.cut(source, k, start, int(end), mask[start:end])))
                 start = int(end)
         made = pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
         return made.append_column(table.schema.field("extra"), table.column("extra").take(pa.array(block.order))) if carry else made

@@ -68,6 +68,7 @@ def sizes(request, monkeypatch):
     if request.param == "small":  # many blocks and buckets, every key hot
         for name, value in {"BLOCK_BYTES": 3000, "BUCKET_RUNS": 50, "CHUNK_TOKENS": 400, "FEW": 1, "MANY": 3}.items():
             monkeypatch.setattr(repeats, name, value)
+        monkeypatch.setattr(op01_substring, "BLOCK_BYTES", 3000)
     return request.param
 
 
@@ -80,9 +81,9 @@ def test_words(spark, sizes):
 
 
 def test_words_keep_layout(spark):
-    docs = spark.createDataFrame([(1, BASE), (2, f" a\n b {BASE}\n\nend  "), (3, " clean\n\ttext "), (4, BASE)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, BASE), (2, f" a\n b {BASE}\n\nend  "), (3, " clean\n\ttext "), (4, BASE), (5, None), (6, ""), (7, " \n")], "doc_id long, text string")
     got = {r.doc_id: r.kept for r in op01_substring.substring_dedup(docs, layout=True).collect()}
-    assert got == {1: BASE, 2: " a\n b end  ", 3: " clean\n\ttext ", 4: ""}
+    assert got == {1: BASE, 2: " a\n b end  ", 3: " clean\n\ttext ", 4: "", 5: None, 6: "", 7: " \n"}
 
 
 def test_bytes(spark, sizes):
