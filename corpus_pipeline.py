@@ -18,11 +18,12 @@ from tessera.llm.op05_lines import line_dedup
 from tessera.llm.op07_quality import quality_rules
 
 
-def _with_text(docs: DataFrame, columns: list[str], changed: Column, text: Column, row: str) -> DataFrame:
-    """The columns of documents (of struct row), with the new text and its length where it changed."""
+def _with_text(docs: DataFrame, columns: list[str], row: str, changed: Column, text: Column) -> DataFrame:
+    """The columns of documents from struct row, with the new text and its length where it changed."""
     old = lambda c: F.col(f"{row}.`{c}`")
-    new = {"text": text, "n_chars": F.char_length(text).cast("bigint")}
-    return docs.select(*(F.when(changed, new[c]).otherwise(old(c)).alias(c) if c in new else old(c).alias(c) for c in columns))
+    length = F.when(changed, F.char_length(text).cast("bigint")).otherwise(old("n_chars"))
+    new = {"text": text, "n_chars": length}
+    return docs.select(*(new[c].alias(c) if c in new else old(c).alias(c) for c in columns))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +34,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 5: lines that ten or more documents share go."""
-    return _with_text(line_dedup(docs), docs.columns, F.col("lines.n_dropped") > 0, F.col("lines.kept"), "row")
+    changed = F.col("lines.n_dropped") > 0
+    return _with_text(line_dedup(docs), docs.columns, "row", changed, F.when(changed, F.col("lines.kept")).otherwise(F.col("row.text")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +52,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: words covered by windows that stand earlier go; white space stays."""
-    cut = substring_dedup(docs, layout=True, carry=tuple(docs.columns))
-    return _with_text(cut, docs.columns, F.col("n_removed") > 0, F.col("kept"), "extra")
+    cut = substring_dedup(docs, layout=True, carry=tuple(c for c in docs.columns if c != "text"))
+    return _with_text(cut, docs.columns, "extra", F.col("n_removed") > 0, F.col("kept"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
