@@ -35,12 +35,11 @@ from pyspark.sql import functions as F
 
 from . import ppm, rolling
 from .arrays import flat, lists, parts, sections
-from .checkpoints import checkpointed
 from .op01_substring import word_bounds
 
 FOLDS, HELD_OUT = 5, 1
 ORDER = 5
-BLOCK_BYTES, BUCKET_WORDS, SALT_BLOCKS, MOST_SUFFIX_BUCKETS = 4 << 20, 400_000, 64, 4096
+BLOCK_BYTES, LEAST_BLOCKS, BUCKET_WORDS, SALT_BLOCKS, MOST_SUFFIX_BUCKETS = 16 << 20, 24, 400_000, 64, 4096
 WORDS, EVENTS = 0, 1
 _LOWER = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], dtype=np.uint8)
 _END_WORD = np.uint64(0x656E64)
@@ -48,7 +47,7 @@ _END_WORD = np.uint64(0x656E64)
 _SENT = "kind int, bucket int, salt int, block int, k array<bigint>, n array<int>"
 _SUMS = "kind int, bucket int, salt int, k array<bigint>, n array<bigint>"
 _BUILT = "kind int, bucket int, salt int, value array<double>, total bigint, distinct bigint"
-_TOLD = "kind int, bucket int, block int, value array<double>"
+_TOLD = "kind int, bucket int, block int, value array<double>, total bigint, distinct bigint"
 _OUT = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, logs double, score double"
 
 
@@ -115,8 +114,8 @@ def lm_scores(docs: DataFrame, context: int = ORDER) -> DataFrame:
     source = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("binary").alias("text"), held_out(F.col("doc_id")).alias("held_out"))
     short = spark.sparkContext.broadcast(short_counts(source))
     size = source.select(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
-    blocks = max(1, math.ceil(size / BLOCK_BYTES))
-    buckets = {WORDS: max(4, math.ceil(size / 32 / BUCKET_WORDS)), EVENTS: min(MOST_SUFFIX_BUCKETS, max(16, blocks // 4))}
+    blocks = max(1, math.ceil(size / BLOCK_BYTES), min(LEAST_BLOCKS, size >> 20))
+    buckets = {WORDS: max(4, math.ceil(size / 32 / BUCKET_WORDS)), EVENTS: min(MOST_SUFFIX_BUCKETS, max(32, blocks))}
     salts = max(1, math.ceil(blocks / SALT_BLOCKS))
     # Rows that share an id, or have none, are spread by their text.
     dealt = source.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int"))
@@ -157,7 +156,9 @@ def lm_scores(docs: DataFrame, context: int = ORDER) -> DataFrame:
     def answer(key: tuple, table: pa.Table, built: pa.Table) -> pa.Table:
         given, sizes = flat(table.column("k"))
         value = flat(built.column("value"))[0][np.searchsorted(np.unique(given), given)] if len(given) else np.zeros(0)
-        return pa.table([*(table.column(c) for c in ("kind", "bucket", "block")), lists(value, sizes, pa.float64())], names=["kind", "bucket", "block", "value"])
+        only = np.arange(table.num_rows) == 0
+        sums = [pa.array(np.where(only, built.column(c)[0].as_py(), 0), pa.int64()) for c in ("total", "distinct")]
+        return pa.table([*(table.column(c) for c in ("kind", "bucket", "block")), lists(value, sizes, pa.float64()), *sums], names=["kind", "bucket", "block", "value", "total", "distinct"])
 
     def score(key: tuple, table: pa.Table, told: pa.Table) -> pa.Table:
         texts, sums, sizes = table.column("text").to_pylist(), {}, {}
@@ -179,10 +180,10 @@ def lm_scores(docs: DataFrame, context: int = ORDER) -> DataFrame:
 
     by_block = dealt.groupBy("block")
     sent = by_block.applyInArrow(send, _SENT).groupBy("kind", "bucket", "salt")
-    built = checkpointed(sent.applyInArrow(add, _SUMS).groupBy("kind", "bucket").applyInArrow(build, _BUILT))
+    built = sent.applyInArrow(add, _SUMS).groupBy("kind", "bucket").applyInArrow(build, _BUILT)
     told = sent.cogroup(built.groupBy("kind", "bucket", "salt")).applyInArrow(answer, _TOLD)
     scored = by_block.cogroup(told.groupBy("block")).applyInArrow(score, _OUT)
-    all_ = built.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"))
+    all_ = told.filter(F.col("kind") == WORDS).agg(F.coalesce(F.sum("total"), F.lit(0)).alias("train_tokens"), F.coalesce(F.sum("distinct"), F.lit(0)).alias("v"))
     base = F.col("logs") - F.col("n_tokens") * F.log10(F.col("train_tokens") + 0.5 * (F.col("v") + 1))
     return scored.join(F.broadcast(all_)).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", base.alias("base_score"), "score")
 

@@ -80,6 +80,7 @@ def test_cases(spark, monkeypatch):
     monkeypatch.setattr(op10_lm, "BLOCK_BYTES", 100)
     monkeypatch.setattr(op10_lm, "BUCKET_WORDS", 1)
     monkeypatch.setattr(op10_lm, "SALT_BLOCKS", 3)
+    monkeypatch.setattr(op10_lm, "LEAST_BLOCKS", 1)
     compare(lm_scores(docs).collect(), brute(rows))
     assert lm_scores(docs.limit(0)).collect() == []
     held = [(d, t) for d, t in rows if out(d)]
