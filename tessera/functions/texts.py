@@ -67,7 +67,7 @@ def sections(rows: DataFrame, labels: Sequence[str]) -> DataFrame:
     marked = lines.withColumn("label", label).withColumn("section", F.last("label", ignorenulls=True).over(w)).filter("label is null and section is not null and line <> ''")
     ordered = F.array_sort(F.collect_list(F.struct("pos", "line")))
     grouped = marked.groupBy("id", "section").agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
-    bullets = F.transform(F.filter("lines", lambda x: x.startswith("-")), lambda x: F.btrim(F.substring(x, 2, 100000), F.lit(" \t")))
+    bullets = F.transform(F.filter("lines", lambda x: x.startswith("-")), lambda x: F.btrim(F.substr(x, F.lit(2)), F.lit(" \t")))
     return grouped.select("id", "section", F.array_join("lines", " ").alias("text"), bullets.alias("bullets"))
 
 

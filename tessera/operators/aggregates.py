@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .joins import jaccard_pairs
+from .storage import checkpointed
 from .vectors import dot
 
 
@@ -67,7 +68,8 @@ def similar_pair_ratio(rows: DataFrame, shingles: Column, least: float) -> DataF
     """similar, pairs and percent; copies count by the sizes of their classes."""
     hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
     sets = rows.select("id", hashed.alias("t")).filter(F.size("t") > 0)
-    classes = sets.groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("m"))
+    digest = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")]
+    classes = checkpointed(sets.select("*", *digest).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("t").alias("t")))
     sizes = classes.select("id", "m")
     pairs = jaccard_pairs(classes, F.col("t"), least).join(sizes.toDF("a", "ma"), "a").join(sizes.toDF("b", "mb"), "b").agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("between"))
     inside = sizes.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("inside"), F.sum("m").alias("n"))

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as V
-from .storage import small_side
+
+BLOCK = 8192
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -15,29 +16,95 @@ def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def nearest(rows: DataFrame, queries: DataFrame, score: Column, n: int) -> DataFrame:
-    """The n best rows for each of a few queries (broadcast): a rank limit in each task
-    keeps n rows per query before the shuffle.  rows: vec_id, embedding; queries: query_id, q."""
+def _matrix(column, width: int):
+    import numpy as np
+
+    return np.array(column.to_pylist(), dtype=np.float64).reshape(-1, width)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, group: str | None = None) -> DataFrame:
+    """query_id, vec_id, score, place: the n best rows for each query, by cosine or by
+    1 / (1 + distance); with group, of the best row of each group the n best, and the group.
+    Scores are rounded to nine places, ties go to the smaller vec_id; a zero or null vector
+    has no cosine.  rows: vec_id, embedding; queries: query_id, q.
+
+    Rows meet queries in blocks: each block of rows and portion of queries is one matrix
+    product, of which a query's n best (or the best of each group) go on."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = rows.filter("embedding is not null").select("vec_id", "embedding", *([F.col(group).alias("grp")] if group else []))
+    asked = queries.filter("q is not null")
+    about = held.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
+    blocks, portions, width = max(1, -(-about["n"] // BLOCK)), max(1, -(-asked.count() // BLOCK)), about["width"] or 0
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    part = lambda c, k, name: F.pmod(F.xxhash64(c), F.lit(k)).cast("int").alias(name)
+    names = ["query_id", "vec_id", "score"] + (["grp"] if group else [])
+
+    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
+        kinds = [b.schema.field("query_id").type, a.schema.field("vec_id").type, pa.float64()] + ([a.schema.field("grp").type] if group else [])
+        made = [pa.table([pa.array([], k) for k in kinds], names=names)]
+        if a.num_rows and b.num_rows:
+            a = a.sort_by("vec_id")
+            x = _matrix(a.column("embedding"), width)
+            size = np.sqrt((x * x).sum(1))
+            of = np.array(a.column("grp").dictionary_encode().combine_chunks().indices.fill_null(-1)) if group else None
+            for begin in range(0, b.num_rows, 512):
+                some = b.slice(begin, 512)
+                q = _matrix(some.column("q"), width)
+                own = np.sqrt((q * q).sum(1))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    if kind == "cosine":
+                        s = q @ x.T / (own[:, None] * size[None])
+                    else:
+                        s = np.stack([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q])
+                s = np.where(np.isnan(s), -np.inf, np.round(s, 9))
+                if group:
+                    chosen = [np.arange(len(x))[of == g] for g in np.unique(of)]
+                    picks = [np.stack([c[s[:, c].argmax(1)] for c in chosen], axis=1)]
+                else:
+                    picks = [np.argsort(-s, axis=1, kind="stable")[:, :n]]
+                at = picks[0]
+                row = np.repeat(np.arange(len(q)), at.shape[1])
+                at = at.ravel()
+                fine = s[row, at] > -np.inf
+                row, at = row[fine], at[fine]
+                columns = [some.column("query_id").take(pa.array(row)), a.column("vec_id").take(pa.array(at)), pa.array(s[row, at])]
+                made.append(pa.table(columns + ([a.column("grp").take(pa.array(at))] if group else []), names=names))
+        return pa.concat_tables(made).combine_chunks()
+
+    kinds = dict(rows.dtypes)
+    schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {kinds['vec_id']}, score double" + (f", grp {kinds[group]}" if group else "")
+    left = held.select("*", part("vec_id", blocks, "block")).select("*", every(portions, "portion"))
+    right = asked.select("query_id", "q", part("query_id", portions, "portion")).select("*", every(blocks, "block"))
+    found = left.groupBy("block", "portion").cogroup(right.groupBy("block", "portion")).applyInArrow(meet, schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    pairs = rows.crossJoin(small_side(queries, 10_000)).select("query_id", "vec_id", score.alias("score")).filter("score is not null")
-    return pairs.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    if group:
+        best = Window.partitionBy("query_id", "grp").orderBy(F.desc("score"), "vec_id")
+        found = found.withColumn("place", F.row_number().over(best)).filter("place = 1").drop("place").withColumnRenamed("grp", group)
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
 def cosine_topk(rows: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
-    return nearest(rows, queries, V.cosine(F.col("embedding"), F.col("q")), n)
+    return nearest(rows, queries, "cosine", n)
 
 
 def l2_topk(rows: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     """By similarity 1 / (1 + distance)."""
-    return nearest(rows, queries, 1 / (1 + V.l2(F.col("embedding"), F.col("q"))), n)
+    return nearest(rows, queries, "l2", n)
 
 
-def pair_similarities(rows: DataFrame, group: str, vector: Column) -> DataFrame:
-    """i, j, score: cosines of all pairs of a group, for small groups."""
-    held = rows.select(F.col(group).alias("g"), "vec_id", vector.alias("v"))
+def pair_similarities(rows: DataFrame, group: str, most: int = 20_000, **vectors: Column) -> DataFrame:
+    """g, i, j and a cosine for each named vector, of all pairs of a group.  This is for
+    small groups only: it fails if one has more than most rows."""
+    largest = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
+    if largest > most:
+        raise ValueError(f"a group has {largest} rows; all pairs are made of {most} at most")
+    held = rows.select(F.col(group).alias("g"), "vec_id", *(v.alias(k) for k, v in vectors.items()))
     a, b = held.alias("a"), held.alias("b")
     on = (F.col("a.g") == F.col("b.g")) & (F.col("a.vec_id") < F.col("b.vec_id"))
-    return a.join(b, on).select(F.col("a.g").alias("g"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), V.cosine(F.col("a.v"), F.col("b.v")).alias("score"))
+    scores = [V.cosine(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in vectors]
+    return a.join(b, on).select(F.col("a.g").alias("g"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), *scores)
 
 
 def gram_sums(rows: DataFrame, a: Column, b: Column) -> DataFrame:

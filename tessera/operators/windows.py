@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,36 +53,77 @@ def kalman(values: Column, q: float = 1e-4, r: float = 1e-2) -> Column:
     return F.aggregate(values, start, step, lambda acc: acc["out"])
 
 
-def kalman_series(rows: DataFrame, series: str, order: str, value: str) -> DataFrame:
-    """series, order, smooth: one sorted pass per series in Arrow batches.  A fold over a
-    collected array would copy the growing result at each step; this keeps two numbers."""
+def kalman_series(rows: DataFrame, series: str, order: str, value: str, q: float = 1e-4, r: float = 1e-2) -> DataFrame:
+    """series, order, smooth: the filtered series.  Rows are sorted within their series by
+    Spark and pass as Arrow batches; two numbers are carried from one to the next, so a
+    series may be longer than memory.  The gain does not depend on the values: after some
+    steps it is constant and the filter is a weighted sum, worked out for many rows at once."""
     import numpy as np
     import pyarrow as pa
 
-    def scan(t: pa.Table) -> pa.Table:
-        t = t.sort_by(order)
-        z, x, p = t.column(value).to_numpy(), 0.0, 1.0
-        out = np.empty(len(z))
-        for i, v in enumerate(z):
-            p += 1e-4
-            k = p / (p + 1e-2)
-            x += k * (v - x)
-            p *= 1 - k
-            out[i] = x
-        return pa.table([t.column(series), t.column(order), pa.array(out)], names=[series, order, "smooth"])
-
     kinds = dict(rows.dtypes)
-    chosen = rows.select(series, order, F.col(value).cast("double").alias(value))
-    return chosen.groupBy(series).applyInArrow(scan, f"{series} {kinds[series]}, {order} {kinds[order]}, smooth double")
-
-
-def lag_correlation(left: DataFrame, right: DataFrame, most: int) -> DataFrame:
-    """lag, corr: sums of products of two mean-free series (t long, v) at each lag of up to
-    most steps; the lag with the greatest is the offset."""
+    step = 128
+    steady = 400  # by then the gain has settled to all digits of a double
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p, last = 1.0, None
+        for _ in range(10 * steady):
+            p = (1 - (p + q) / (p + q + r)) * (p + q)
+        gain = (p + q) / (p + q + r)
+        fade = (1 - gain) ** np.arange(1, step + 1)
+        lower = np.tril(gain * (1 - gain) ** (np.arange(step)[:, None] - np.arange(step)[None]).clip(0))
+
+        def smooth(z: np.ndarray, x: float, p: float, n: int) -> tuple[np.ndarray, float, float, int]:
+            out, i = np.empty(len(z)), 0
+            while i < len(z) and n < steady:
+                p += q
+                k = p / (p + r)
+                x += k * (z[i] - x)
+                p *= 1 - k
+                out[i] = x
+                i, n = i + 1, n + 1
+            while i < len(z):
+                part = z[i : i + step]
+                out[i : i + len(part)] = lower[: len(part), : len(part)] @ part + fade[: len(part)] * x
+                x, i, n = out[i + len(part) - 1], i + len(part), n + len(part)
+            return out, x, p, n
+
+        state = (0.0, 1.0, 0)
+        for batch in batches:
+            names = batch.column(series).to_pylist()
+            z = batch.column(value).to_numpy(zero_copy_only=False)
+            edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
+            made = []
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if last is None or names[a] != last[0]:
+                    state, last = (0.0, 1.0, 0), (names[a],)
+                out, *rest = smooth(z[a:b], *state)
+                state = tuple(rest)
+                made.append(out)
+            yield pa.RecordBatch.from_arrays([batch.column(series), batch.column(order), pa.array(np.concatenate(made) if made else z)], [series, order, "smooth"])
+
+    chosen = rows.select(series, order, F.col(value).cast("double").alias(value)).repartition(series).sortWithinPartitions(series, order)
+    return chosen.mapInArrow(scan, f"{series} {kinds[series]}, {order} {kinds[order]}, smooth double")
+
+
+def lag_correlation(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+    """lag, corr, offset: sums of products of two mean-free series (t long, v) at each lag at
+    which they meet (of up to most steps, if given), and whether the lag is the offset, the
+    one with the greatest sum (ties: the least).  Both series are sums per step, so their
+    lengths are those of the time span, not of the events."""
     a = left.crossJoin(F.broadcast(left.agg(F.avg("v").alias("m")))).select("t", (F.col("v") - F.col("m")).alias("a"))
     b = right.crossJoin(F.broadcast(right.agg(F.avg("v").alias("m")))).select(F.col("t").alias("u"), (F.col("v") - F.col("m")).alias("b"))
-    shifted = a.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).withColumn("u", F.col("t") - F.col("lag"))
-    return shifted.join(b, "u").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("corr"))
+    if most is None:
+        span = b.agg(F.min("u").alias("from"), F.max("u").alias("to"))
+        lags = F.sequence(F.col("t") - F.col("to"), F.col("t") - F.col("from"))
+        shifted = a.crossJoin(F.broadcast(span)).filter("`from` is not null").select("t", "a", F.explode(lags).alias("lag"))
+    else:
+        shifted = a.withColumn("lag", F.explode(F.sequence(F.lit(-most).cast("bigint"), F.lit(most).cast("bigint"))))
+    sums = shifted.withColumn("u", F.col("t") - F.col("lag")).join(b, "u").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("corr"))
+    best = sums.agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("best"))
+    return sums.crossJoin(F.broadcast(best)).select("lag", "corr", (F.col("lag") == F.col("best")).alias("offset"))
 
 
 def streaks(rows: DataFrame, keys: list[str], order: list[str], grade: str) -> DataFrame:
@@ -96,13 +139,14 @@ def streaks(rows: DataFrame, keys: list[str], order: list[str], grade: str) -> D
 
 
 def spaced_repetition(grades: Column) -> Column:
-    """ease and interval (at most a century of days) after an array of grades in order."""
-    start = F.struct(F.lit(2.5).alias("ease"), F.lit(0).cast("bigint").alias("interval"))
+    """ease and interval (in days, a double since it grows without bound) after an array of
+    grades in order."""
+    start = F.struct(F.lit(2.5).alias("ease"), F.lit(0.0).alias("interval"))
 
     def step(s: Column, g: Column) -> Column:
         ease = F.least(F.greatest(s["ease"] + (0.1 - (5 - g) * (0.08 + (5 - g) * 0.02)), F.lit(1.3)), F.lit(2.5))
-        nxt = F.when(s["interval"] == 0, F.lit(1).cast("bigint")).when(s["interval"] == 1, F.lit(6).cast("bigint")).otherwise(F.bround(s["interval"] * s["ease"]).cast("bigint"))
-        return F.when(g >= 3, F.struct(ease.alias("ease"), F.least(nxt, F.lit(36500).cast("bigint")).alias("interval"))).otherwise(F.struct(s["ease"].alias("ease"), F.lit(1).cast("bigint").alias("interval")))
+        nxt = F.when(s["interval"] == 0, 1.0).when(s["interval"] == 1, 6.0).otherwise(F.bround(s["interval"] * s["ease"]))
+        return F.when(g >= 3, F.struct(ease.alias("ease"), nxt.alias("interval"))).otherwise(F.struct(s["ease"].alias("ease"), F.lit(1.0).alias("interval")))
 
     return F.aggregate(grades, start, step)
 

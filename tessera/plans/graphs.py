@@ -49,12 +49,12 @@ def j4(spark, sf):
     return P.family_edges(families(spark, sf))[1]
 
 
-@query("j5_trade_path", """WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_size * 20 + p_partkey % 13)::DOUBLE AS value FROM part), s AS (SELECT p_brand AS "user", id, value FROM (SELECT p_brand, p.*, row_number() OVER (PARTITION BY p_brand ORDER BY value, id) AS n FROM part JOIN p ON id = p_partkey) WHERE n = 1),
-  r AS (SELECT "user", id, value, 0 AS step FROM s UNION ALL SELECT "user", id, value, step FROM (SELECT r."user", p.id, p.value, r.step + 1 AS step, row_number() OVER (PARTITION BY r."user" ORDER BY p.value DESC, p.id) AS n FROM r JOIN p ON p.value >= r.value * 1.05 AND p.value <= r.value * 1.5 AND p.id <> r.id WHERE r.value < 600 AND r.step < 6) WHERE n = 1)
+@query("j5_trade_path", """WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_size * 20 + p_partkey % 13)::DOUBLE AS value FROM part), s AS (SELECT p_size AS "user", id, value FROM (SELECT p_size, p.*, row_number() OVER (PARTITION BY p_size ORDER BY value DESC, id) AS n FROM part JOIN p ON id = p_partkey) WHERE n = 1),
+  r AS (SELECT "user", id, value, 0 AS step FROM s UNION ALL SELECT "user", id, value, step FROM (SELECT r."user", p.id, p.value, r.step + 1 AS step, row_number() OVER (PARTITION BY r."user" ORDER BY p.value DESC, p.id) AS n FROM r JOIN p ON p.value >= r.value * 1.05 AND p.value <= r.value * 1.5 AND p.id <> r.id WHERE r.value < 900 AND r.step < 20) WHERE n = 1)
   SELECT "user", step, id, value FROM r""")
 def j5(spark, sf):
     from pyspark.sql import Window
 
-    items = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 20 + F.col("p_partkey") % 13).cast("double").alias("value"), F.col("p_brand").alias("user"))
-    starts = items.withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy("value", "id"))).filter("n = 1")
-    return G.trade_paths(starts, items, 600.0, 1.05, 1.5, 6).select("user", "step", "id", "value")
+    items = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 20 + F.col("p_partkey") % 13).cast("double").alias("value"), F.col("p_size").alias("user"))
+    starts = items.withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("value"), "id"))).filter("n = 1")
+    return G.trade_paths(starts, items, 900.0, 1.05, 1.5).select("user", "step", "id", "value")

@@ -12,13 +12,14 @@ from .aggregates import MAIL, mails
 from .base import query, table
 
 
-def asked(spark, sf, n=3):
-    return table(spark, sf, "embeddings").filter(f"vec_id < {n}").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+def asked(spark, sf):
+    """The queries: every hundredth vector."""
+    return table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
 
 
 def _nearest(score, n):
     return f"""SELECT query_id, vec_id, round(score, 4) + 0.0 AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (
-  SELECT q.vec_id AS query_id, e.vec_id, {score} AS score FROM embeddings e, embeddings q WHERE q.vec_id < 3)) WHERE place <= {n}"""
+  SELECT q.vec_id AS query_id, e.vec_id, round({score}, 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE place <= {n}"""
 
 
 @query("f1_cosine_topk", _nearest("list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[])", 20))
@@ -53,11 +54,12 @@ FOUND = """WITH p AS (SELECT p_partkey AS id, (p_size * 20 + p_partkey % 13)::DO
 
 
 def opportunities(spark, sf, n):
+    """The value of every offer found is 1.05 to 1.5 times the item's, so its score depends
+    on the offer alone."""
     o = offers(spark, sf)
-    pairs = J.within_ratio(o, o, 1.05, 1.5).filter("left_type <> right_type")
-    score = S.listing_score(F.col("left_value"), F.col("right_value"), F.col("right_p_size") % 7, F.lit("eBay")).cast("int")
-    w = Window.partitionBy("item").orderBy(F.desc("score"), "listing")
-    return pairs.select(F.col("left_id").alias("item"), F.col("right_id").alias("listing"), score.alias("score")).withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+    score = S.listing_score(F.lit(1.0), F.lit(1.2), F.col("p_size") % 7, F.lit("eBay")).cast("int")
+    found = J.range_topk(o, o, 1.05, 1.5, score, n)
+    return found.select(F.col("left_id").alias("item"), F.col("right_id").alias("listing"), "score", "place")
 
 
 @query("f4_opportunity_search", FOUND + "10")
@@ -70,9 +72,11 @@ def f5(spark, sf):
     return opportunities(spark, sf, 3)
 
 
-@query("f6_latest_items", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_custkey = 7 ORDER BY o_orderdate DESC, o_orderkey DESC")
+@query("f6_latest_items", "SELECT o_custkey, o_orderkey, o_totalprice, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS INTEGER) AS place FROM orders")
 def f6(spark, sf):
-    return table(spark, sf, "orders").filter("o_custkey = 7").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).select("o_orderkey", "o_totalprice")
+    """Every user's items, newest first."""
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
+    return table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice", F.row_number().over(w).alias("place"))
 
 
 _PAIRS = "embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id"
@@ -80,7 +84,7 @@ _PAIRS = "embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.v
 
 @query("f7_pairwise_cosine", f"SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS score FROM {_PAIRS}")
 def f7(spark, sf):
-    return K.pair_similarities(table(spark, sf, "embeddings"), "label", F.col("embedding")).withColumn("score", F.round("score", 4) + F.lit(0.0))
+    return K.pair_similarities(table(spark, sf, "embeddings"), "label", score=F.col("embedding")).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
 def spaces(spark, sf):
@@ -90,8 +94,7 @@ def spaces(spark, sf):
 
 def agreement(rows, one, two):
     """Correlation of the pair similarities of two spaces over the same rows."""
-    a, b = K.pair_similarities(rows, "label", one), K.pair_similarities(rows, "label", two).withColumnRenamed("score", "other")
-    return a.join(b, ["g", "i", "j"]).groupBy("g").agg(F.round(F.corr("score", "other"), 4).alias("agreement"))
+    return K.pair_similarities(rows, "label", score=one, other=two).groupBy("g").agg(F.round(F.corr("score", "other"), 4).alias("agreement"))
 
 
 @query("f8_space_agreement", f"""SELECT a.label AS g, round(corr(list_cosine_similarity(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), list_cosine_similarity(a.embedding[33:64]::DOUBLE[], b.embedding[33:64]::DOUBLE[])), 4) AS agreement FROM {_PAIRS} GROUP BY 1""")

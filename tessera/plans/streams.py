@@ -72,7 +72,7 @@ def h4(spark, sf):
 def h5(spark, sf):
     folder = shared_folder(spark)
     known = table(spark, sf, "pages").filter("page_id % 5 <> 0").select("page_id", F.md5("html").alias("digest"))
-    known.write.parquet(f"{folder}/digests/batch=-1")
+    known.write.parquet(f"{folder}/digests/kind=whole/batch=-1")
     second_snapshot(spark, sf).select("page_id", "html").write.parquet(f"{folder}/in")
     S.run(S.read(spark, f"{folder}/in"), f"{folder}/state", S.change_stream(f"{folder}/digests", f"{folder}/changes", "page_id"))
     return spark.read.parquet(f"{folder}/changes").select("page_id", "digest", "change")

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import topk as K
-from ..operators import vectors as V
 from ..operators import windows as W
 from .base import query, table
 
@@ -16,19 +15,14 @@ def attempts(spark, sf):
     return table(spark, sf, "events").withColumn("grade", F.floor("value") % 6)
 
 
-def scored(spark, sf):
-    """Every vector's cosine with the first one."""
-    e = table(spark, sf, "embeddings")
-    q = e.filter("vec_id = 0").select(F.col("embedding").alias("q"))
-    return e.crossJoin(F.broadcast(q)).select("vec_id", "label", (F.round(V.cosine(F.col("embedding"), F.col("q")), 4) + F.lit(0.0)).alias("score"))
-
-
-SCORED = "SELECT e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 4) + 0.0 AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q"
-
-
-@query("e1_best_per_group", f"SELECT vec_id, label, score FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, vec_id) AS place FROM ({SCORED})) WHERE place = 1 ORDER BY score DESC, vec_id LIMIT 5")
+@query("e1_best_per_group", """SELECT query_id, vec_id, label, round(score, 4) + 0.0 AS score, CAST(place AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, label ORDER BY score DESC, vec_id) AS p FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, e.label, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 9) AS score FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE p = 1) WHERE place <= 5""")
 def e1(spark, sf):
-    return W.best_per_group(scored(spark, sf), "label", "score", "vec_id", 5)
+    """For every hundredth vector the best row of each label, and of these the five best."""
+    from .search import asked
+
+    out = K.nearest(table(spark, sf, "embeddings"), asked(spark, sf), "cosine", 5, group="label")
+    return out.select("query_id", "vec_id", "label", (F.round("score", 4) + F.lit(0.0)).alias("score"), "place")
 
 
 @query("e2_chunk_sequence", """SELECT doc_id, CAST(k AS INTEGER) AS chunk, length(substr(text, k * 800 + 1, 1000)) AS size FROM (SELECT doc_id, text, unnest(range(0, greatest(1, CAST(ceil(length(text) / 800.0) AS BIGINT)))) AS k FROM documents)""")
@@ -60,9 +54,12 @@ def hourly(spark, sf, kind):
 
 
 @query("e5_lag_correlate", """WITH h AS (SELECT event_type, CAST(floor(epoch(ts) / 3600) AS BIGINT) AS t, sum(value) AS v FROM events WHERE event_type IN ('view', 'click') GROUP BY 1, 2), m AS (SELECT event_type, t, v - avg(v) OVER (PARTITION BY event_type) AS v FROM h)
-  SELECT CAST(a.t - b.t AS INTEGER) AS lag, round(sum(a.v * b.v), 1) AS corr FROM m a JOIN m b ON a.event_type = 'view' AND b.event_type = 'click' AND abs(a.t - b.t) <= 24 GROUP BY 1""")
+, c AS (
+  SELECT a.t - b.t AS lag, sum(a.v * b.v) AS corr FROM m a JOIN m b ON a.event_type = 'view' AND b.event_type = 'click' GROUP BY 1)
+  SELECT lag, round(corr, 1) AS corr, lag = (SELECT arg_max(lag, (corr, -lag)) FROM c) AS "offset" FROM c""")
 def e5(spark, sf):
-    return W.lag_correlation(hourly(spark, sf, "view"), hourly(spark, sf, "click"), 24).select("lag", F.round("corr", 1).alias("corr"))
+    """Every lag of the two hourly series, and which is the offset."""
+    return W.lag_correlation(hourly(spark, sf, "view"), hourly(spark, sf, "click")).select("lag", F.round("corr", 1).alias("corr"), "offset")
 
 
 STREAK = f"""WITH e AS ({E_SQL}), g AS (SELECT *, sum(CASE WHEN grade >= 4 THEN 0 ELSE 1 END) OVER w AS i, sum(CASE WHEN grade < 3 THEN 0 ELSE 1 END) OVER w AS j FROM e WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id)),
@@ -81,9 +78,9 @@ def e7(spark, sf):
 
 
 @query("e8_sm2_fold", f"""WITH RECURSIVE s AS (SELECT user_id, event_type, grade, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS i FROM ({E_SQL})),
-  f AS (SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS i, 2.5::DOUBLE AS ease, CAST(0 AS BIGINT) AS iv FROM s
+  f AS (SELECT DISTINCT user_id, event_type, CAST(0 AS BIGINT) AS i, 2.5::DOUBLE AS ease, 0::DOUBLE AS iv FROM s
     UNION ALL SELECT s.user_id, s.event_type, s.i, CASE WHEN grade >= 3 THEN least(greatest(f.ease + (0.1::DOUBLE - (5 - grade) * (0.08::DOUBLE + (5 - grade) * 0.02::DOUBLE)), 1.3::DOUBLE), 2.5::DOUBLE) ELSE f.ease END,
-      CASE WHEN grade < 3 THEN 1 WHEN f.iv = 0 THEN 1 WHEN f.iv = 1 THEN 6 ELSE least(36500, CAST(round_even(f.iv * f.ease, 0) AS BIGINT)) END FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.i = f.i + 1)
+      CASE WHEN grade < 3 THEN 1 WHEN f.iv = 0 THEN 1 WHEN f.iv = 1 THEN 6 ELSE round_even(f.iv * f.ease, 0) END FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.i = f.i + 1)
   SELECT user_id, event_type, round(arg_max(ease, i), 4) AS ease, arg_max(iv, i) AS "interval" FROM f GROUP BY 1, 2""")
 def e8(spark, sf):
     """The grades of one learner and topic fold in order; they are one row's array."""

@@ -5,6 +5,7 @@ checkpoint, so a second run over the same folder takes only what is new."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -69,23 +70,24 @@ def fatigue(s: DataFrame, minutes: int = 25) -> Column:
 def mastery(events: DataFrame) -> DataFrame:
     """user_id, event_type, ease, interval after each batch: the spaced-repetition state of
     each learner and topic (columns user_id, event_type, ts, event_id, grade)."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ease, interval = state.get if state.exists else (2.5, 0)
+        ease, interval = state.get if state.exists else (2.5, 0.0)
         held = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         for g in held["grade"].tolist():
             if g >= 3:
-                interval = 1 if interval == 0 else 6 if interval == 1 else min(36500, round(interval * ease))
+                interval = 1.0 if interval == 0 else 6.0 if interval == 1 else float(np.round(interval * ease))
                 ease = min(max(ease + (0.1 - (5 - g) * (0.08 + (5 - g) * 0.02)), 1.3), 2.5)
             else:
-                interval = 1
-        state.update((float(ease), int(interval)))
+                interval = 1.0
+        state.update((float(ease), interval))
         yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "ease": [ease], "interval": [interval]})
 
-    out = "user_id bigint, event_type string, ease double, interval bigint"
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(step, out, "ease double, interval bigint", "update", GroupStateTimeout.NoTimeout)
+    out = "user_id bigint, event_type string, ease double, interval double"
+    return events.groupBy("user_id", "event_type").applyInPandasWithState(step, out, "ease double, interval double", "update", GroupStateTimeout.NoTimeout)
 
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
@@ -94,15 +96,36 @@ def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     return spark.read.option("basePath", path).parquet(path).withColumn("_p", F.row_number().over(w)).filter("_p = 1").drop("_p", "batch")
 
 
-def change_stream(state_path: str, changes_path: str, key: str) -> Callable[[DataFrame, int], None]:
-    """For each batch of pages (key, html): changes against the digests kept so far, and the
-    new state beside the old one."""
+def kept_state(spark: SparkSession, path: str, key: str, before: int) -> tuple[DataFrame, int]:
+    """key, digest as they were before a batch: the newest whole state and, over it, the
+    parts of the batches after it.  Also how many parts those are."""
+    held = spark.read.option("basePath", path).parquet(path).filter(F.col("batch") < before)
+    numbers = {(kind, int(n)) for f in held.inputFiles() for kind, n in re.findall(r"kind=(\w+)/batch=(-?\d+)", f)}
+    whole = max((n for kind, n in numbers if kind == "whole"), default=None)
+    later = [n for kind, n in numbers if kind == "part" and (whole is None or n > whole)]
+    first = (F.col("kind") == "whole") & (F.col("batch") == F.lit(whole))
+    held = held.filter(((F.col("kind") == "part") & F.col("batch").isin(later)) | F.coalesce(first, F.lit(False)))
+    return held.groupBy(key).agg(F.max_by("digest", "batch").alias("digest")), len(later)
+
+
+def change_stream(state_path: str, changes_path: str, key: str, compact: int = 16) -> Callable[[DataFrame, int], None]:
+    """For each batch of pages (key, html): changes against the digests kept before it, and
+    its part of the new state beside the old one.
+
+    A batch reads what earlier ones left and nothing of its own, so it may be run again; of
+    a key that a batch holds twice the last text by order counts.  After compact parts the
+    whole state is written anew, so a read stays as large as the state and those parts."""
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        states = latest_per_key(spark, state_path, [key]).select(key, "digest")
-        diff = C.snapshot_diff(states, batch, key, F.col("html"))
-        diff.write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
-        spark.read.parquet(f"{changes_path}/batch={number}").select(key, "digest").write.mode("overwrite").parquet(f"{state_path}/batch={number}")
+        states, parts = kept_state(spark, state_path, key, number)
+        once = batch.groupBy(key).agg(F.max("html").alias("html"))
+        C.snapshot_diff(states, once, key, F.col("html")).write.mode("overwrite").parquet(f"{changes_path}/batch={number}")
+        found = spark.read.parquet(f"{changes_path}/batch={number}").select(key, "digest")
+        if parts + 1 >= compact:
+            new = states.join(found.select(key), key, "left_anti").unionByName(found)
+            new.write.mode("overwrite").parquet(f"{state_path}/kind=whole/batch={number}")
+        else:
+            found.write.mode("overwrite").parquet(f"{state_path}/kind=part/batch={number}")
 
     return each
