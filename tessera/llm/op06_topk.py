@@ -4,19 +4,24 @@ Method: a pivot-distance index.  Each vector is keyed by its nearest pivot and b
 annulus of its distance to it; a small directory holds each annulus' least and greatest
 distance and greatest norm.  By the triangle inequality a vector x of an annulus is at
 least lb = max(0, least - d, d - greatest) from a query at distance d from the pivot, so
-its score is at most (|q|^2 + |x|^2 - lb^2) / 2.  A query first visits annuli in order of
-that bound until it has enough candidates; its k-th score then stops the expansion: only
-annuli whose bound reaches it are visited.  The result is exact.
+its score is at most (|q|^2 + |x|^2 - lb^2) / 2.  A query visits annuli in order of that
+bound, in rounds: first until it has enough candidates, then the next ``STEP`` annuli, then
+the others, in each round only those whose bound reaches its k-th score so far.  The result
+is exact.
 
 Pivots are fitted on at most ``SAMPLE`` vectors of least hash; the directory has at most
-``CELLS`` rows.  Crowded annuli are split by a hash of vec_id into blocks, and the queries
-of a block into portions, so a vector that a third of the rows share fills many blocks.
+``CELLS`` rows and one for the vectors with large components.  Crowded annuli are split by
+a hash of vec_id into blocks, so a vector that a third of the rows share fills many blocks.
+Visits are counted for each block: blocks that no query visits go no further, and a block is
+copied once for each ``PORTION`` of the queries that do visit it.
 
 Defined results: null vectors and vectors holding null or non-finite components take no
 part, nor do rows without a vec_id; shorter vectors count as filled up with zeros; rows
 that share the query's vec_id are its own; a vec_id repeated among the queries is one
 query (its least vector); an empty table gives an empty result.  Other columns are
-ignored.  Components must be below 2**20 in size for exact arithmetic, else an error says so.
+ignored.  Vectors with a component of 2**20 or more in size are visited by every query, and
+as queries visit every block, with 64-bit integers in place of doubles; a score must fit a
+long, and a component of 2**55 or more is an error.
 """
 
 from __future__ import annotations
@@ -29,7 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-SAMPLE, CELLS, CELL_ROWS, BLOCK_ROWS, PORTION = 4096, 4096, 4096, 8192, 4096
+from .checkpoints import checkpointed
+
+SAMPLE, CELLS, CELL_ROWS, BLOCK_ROWS, PORTION, STEP = 4096, 4096, 4096, 8192, 4096, 16
+LARGE = 1 << 20
 
 
 def quantized(vectors: Column, scale: int) -> Column:
@@ -39,21 +47,27 @@ def quantized(vectors: Column, scale: int) -> Column:
 def prepared(rows: DataFrame, scale: int) -> DataFrame:
     """vec_id, v: the vectors that take part, as integers."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    whole = F.when(F.forall("v", lambda x: F.abs(x) < 1 << 20), F.col("v")).otherwise(F.raise_error(F.lit("a component is too large for exact scores")))
+    fits = F.forall("embedding", lambda x: F.abs(x.cast("double")) * scale < F.lit(float(1 << 55)))
+    embedding = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.lit("a component is too large for a score in 64 bits")))
     held = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine)
-    return held.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v")).select("vec_id", whole.alias("v"))
+    return held.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(embedding, scale).alias("v"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(rows, pa.ChunkedArray):
         rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
     counts = np.diff(rows.offsets.to_numpy())
-    out = np.zeros((len(rows), width))
+    out = np.zeros((len(rows), width), dtype=kind)
     out[np.arange(width) < counts[:, None]] = rows.flatten().to_numpy()
     return out
 
 
+def large(v: np.ndarray) -> np.ndarray:
+    """Rows that doubles cannot score exactly."""
+    return (np.abs(v) >= LARGE).any(axis=1)
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of integer rows, without rounding."""
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
@@ -84,23 +98,26 @@ class Directory:
         d = np.sqrt(squared(queries, self.pivots))[:, self.pivot]
         apart = np.maximum(0, np.maximum(self.least - d, d - self.greatest) * (1 - 1e-9) - 1e-6)
         own = (queries * queries).sum(1)[:, None]
-        return np.minimum((own + self.norm - apart**2) / 2, np.sqrt(own * self.norm)) + 1e-3
+        with np.errstate(invalid="ignore"):
+            most = np.minimum((own + self.norm - apart**2) / 2, np.sqrt(own * self.norm)) + 1e-3
+        return np.where(np.isinf(self.norm)[None] | large(queries)[:, None], np.inf, most)
 
 
 def best(scores: np.ndarray, ids: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
     """Row numbers, ids and scores of the k highest of each row, ties to smaller ids."""
     order = np.argsort(ids, kind="stable")
     scores, ids = scores[:, order], ids[order]
-    scores = np.where(ids[None] == own[:, None], -np.inf, scores)
+    none = -np.inf if scores.dtype.kind == "f" else np.iinfo(np.int64).min
+    scores = np.where(ids[None] == own[:, None], none, scores)
     if scores.shape[1] > k:
-        floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+        floor = np.partition(scores, scores.shape[1] - k, axis=1)[:, scores.shape[1] - k][:, None]
         over = scores > floor
         room = k - over.sum(1, keepdims=True)
         level = scores == floor
         keep = over | (level & (np.cumsum(level, axis=1) <= room))
     else:
         keep = np.ones(scores.shape, dtype=bool)
-    row, column = np.nonzero(keep & (scores > -np.inf))
+    row, column = np.nonzero(keep & (scores > none))
     return row, ids[column], scores[row, column]
 
 
@@ -114,7 +131,9 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
     if not about["n"]:
         return empty
     width, cells = max(1, about["width"]), min(CELLS, max(32, about["n"] // CELL_ROWS))
-    sample = matrix(vectors.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow().column("v"), width)
+    usual = vectors.filter(F.forall("v", lambda x: F.abs(x) < LARGE))
+    sample = matrix(usual.orderBy(F.xxhash64("vec_id"), "vec_id", "v").limit(SAMPLE).select("v").toArrow().column("v"), width)
+    sample = sample if len(sample) else np.zeros((1, width))
     pivots = fit_pivots(sample, max(4, int(math.sqrt(2 * cells))))
     step = cells // len(pivots)
     near = np.sqrt(squared(sample, pivots).min(1))
@@ -128,7 +147,9 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
             d = squared(v, pivots)
             p = d.argmin(1) if len(v) else np.zeros(0, np.int64)
             d = np.sqrt(d[np.arange(len(v)), p])
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(p.astype(np.int32)), pa.array(np.searchsorted(edges, d).astype(np.int32)), pa.array(d), pa.array((v * v).sum(1))], ["vec_id", "v", "pivot", "annulus", "distance", "norm"])
+            huge = large(v)
+            p, d, norm = np.where(huge, -1, p), np.where(huge, 0.0, d), np.where(huge, np.inf, (v * v).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(p.astype(np.int32)), pa.array(np.searchsorted(edges, d).astype(np.int32)), pa.array(d), pa.array(norm)], ["vec_id", "v", "pivot", "annulus", "distance", "norm"])
 
     placed = vectors.mapInArrow(place, "vec_id bigint, v array<bigint>, pivot int, annulus int, distance double, norm double")
     held = placed.groupBy("pivot", "annulus").agg(F.min("distance"), F.max("distance"), F.max("norm"), F.count("*"))
@@ -140,61 +161,87 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
     indexed = placed.join(F.broadcast(names), ["pivot", "annulus"]).select(block.alias("block"), "vec_id", "v")
     queries = vectors.filter(is_query).groupBy("vec_id").agg(F.min("v").alias("v"))
 
-    def visits(first: bool):
-        """The (query, block) pairs of the first round, or of the rest under the bound."""
+    def visited(part: pa.RecordBatch, turn: int) -> tuple[np.ndarray, np.ndarray]:
+        """The queries (rows of part) and the annuli that they visit in a round."""
+        d = shared.value
+        bound = d.bounds(matrix(part.column("v"), width))
+        order = np.argsort(-bound, axis=1, kind="stable")
+        before = np.cumsum(d.rows[order], axis=1) - d.rows[order]
+        round_ = np.zeros(bound.shape, dtype=np.int8)
+        np.put_along_axis(round_, order, np.where(before <= k, 0, np.where(np.arange(bound.shape[1]) < STEP, 1, 2)).astype(np.int8), axis=1)
+        go = round_ == turn
+        if turn:
+            floor = part.column("floor").to_numpy(zero_copy_only=False)[:, None]
+            go &= (bound >= floor - np.abs(floor) * 1e-12) | np.isnan(floor)
+        return np.nonzero(go)
+
+    def in_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from (batch.slice(begin, 1024) for begin in range(0, batch.num_rows, 1024))
+
+    def crowds(turn: int):
+        """How many queries visit each block."""
+
+        def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            d = shared.value
+            for part in in_parts(batches):
+                n = np.bincount(visited(part, turn)[1], minlength=len(d.rows))
+                c = np.flatnonzero(n)
+                many = d.blocks[c]
+                number = np.repeat(d.first[c], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+                yield pa.RecordBatch.from_arrays([pa.array(number), pa.array(np.repeat(n[c], many))], ["block", "n"])
+
+        return scan
+
+    def visits(turn: int):
+        """The (query, block) pairs of a round."""
 
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d = shared.value
-            for batch in batches:
-                for begin in range(0, batch.num_rows, 1024):
-                    part = batch.slice(begin, 1024)
-                    bound = d.bounds(matrix(part.column("v"), width))
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    before = np.cumsum(d.rows[order], axis=1) - d.rows[order]
-                    early = np.zeros(bound.shape, dtype=bool)
-                    np.put_along_axis(early, order, before <= k, axis=1)
-                    if first:
-                        go = early
-                    else:
-                        floor = part.column("floor").to_numpy(zero_copy_only=False)
-                        go = ~early & ((bound >= floor[:, None]) | np.isnan(floor)[:, None])
-                    q, c = np.nonzero(go)
-                    many = d.blocks[c]
-                    q, c = np.repeat(q, many), np.repeat(c, many)
-                    number = d.first[c] + np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many)
-                    for at in range(0, len(q), 4096):
-                        some = pa.array(q[at : at + 4096])
-                        yield pa.RecordBatch.from_arrays([pa.array(number[at : at + 4096]), part.column("vec_id").take(some), part.column("v").take(some)], ["block", "query_id", "v"])
+            for part in in_parts(batches):
+                q, c = visited(part, turn)
+                many = d.blocks[c]
+                q, c = np.repeat(q, many), np.repeat(c, many)
+                number = d.first[c] + np.arange(len(c)) - np.repeat(np.cumsum(many) - many, many)
+                for at in range(0, len(q), 4096):
+                    some = pa.array(q[at : at + 4096])
+                    yield pa.RecordBatch.from_arrays([pa.array(number[at : at + 4096]), part.column("vec_id").take(some), part.column("v").take(some)], ["block", "query_id", "v"])
 
         return scan
 
     def score(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if held.num_rows and asked.num_rows:
-            x, ids = matrix(held.column("v"), width), held.column("vec_id").to_numpy()
+            x, ids = matrix(held.column("v"), width, np.int64), held.column("vec_id").to_numpy()
+            huge, plain = large(x).any(), x.astype(np.float64)
             for begin in range(0, asked.num_rows, 512):
                 part = asked.slice(begin, 512)
                 own = part.column("query_id").to_numpy()
-                row, found, value = best(matrix(part.column("v"), width) @ x.T, ids, own, k)
+                q = matrix(part.column("v"), width, np.int64)
+                scores = q @ x.T if huge or large(q).any() else q.astype(np.float64) @ plain.T
+                row, found, value = best(scores, ids, own, k)
                 out.append(pa.table([pa.array(own[row]), pa.array(found), pa.array(value.astype(np.int64))], names=["query_id", "vec_id", "score"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
-    # A block meets its queries in portions, by a hash of the query.
-    portions = max(1, math.ceil(about["n"] / 50 / PORTION))
-    portion = F.pmod(F.xxhash64("query_id"), F.lit(portions)).alias("portion")
-    blocks = indexed.select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(portions - 1).cast("bigint"))).alias("portion"), "vec_id", "v").groupBy("block", "portion")
+    pair, count = "block bigint, query_id bigint, v array<bigint>", "block bigint, n bigint"
 
-    def found(pairs: DataFrame) -> DataFrame:
-        asked = pairs.select("block", portion, "query_id", "v").groupBy("block", "portion")
-        return blocks.cogroup(asked).applyInArrow(score, "query_id bigint, vec_id bigint, score bigint")
+    def found(asked: DataFrame, turn: int) -> DataFrame:
+        """A round's scores: each block that queries visit meets them in portions."""
+        crowd = asked.mapInArrow(crowds(turn), count).groupBy("block").agg(F.ceil(F.sum("n") / PORTION).alias("portions"))
+        copies = indexed.join(crowd, "block").select("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("portions") - 1)).alias("portion"), "vec_id", "v")
+        pairs = asked.mapInArrow(visits(turn), pair).join(crowd, "block").select("block", F.pmod(F.xxhash64("query_id"), F.col("portions")).alias("portion"), "query_id", "v")
+        return copies.groupBy("block", "portion").cogroup(pairs.groupBy("block", "portion")).applyInArrow(score, "query_id bigint, vec_id bigint, score bigint")
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = lambda df: df.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
-    pair = "block bigint, query_id bigint, v array<bigint>"
-    early = ranked(found(queries.mapInArrow(visits(True), pair)))
-    floors = early.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
-    rest = found(queries.join(floors, "vec_id", "left").mapInArrow(visits(False), pair))
-    return ranked(early.drop("rank").unionByName(rest)).select("query_id", "rank", "vec_id", "score")
+    queries = checkpointed(queries)
+    have = checkpointed(ranked(found(queries, 0)))
+    for turn in (1, 2):
+        floors = have.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").cast("double").alias("floor"))
+        more = found(queries.join(floors, "vec_id", "left"), turn)
+        have = ranked(have.drop("rank").unionByName(more))
+        have = checkpointed(have) if turn == 1 else have
+    return have.select("query_id", "rank", "vec_id", "score")
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessera.llm import op06_topk
@@ -22,6 +23,23 @@ def brute(rows, k):
     return out
 
 
+def test_bounds_leave_clusters_out():
+    """Of clustered vectors most are under the bound; of unclustered ones few."""
+    r = np.random.default_rng(2)
+    centers = r.normal(size=(40, 64)) * 200
+    rows = np.rint(centers[r.integers(0, 40, 20_000)] + r.normal(size=(20_000, 64)) * 20)
+    pivots = op06_topk.fit_pivots(rows[:4096], 40)
+    near = op06_topk.squared(rows, pivots)
+    p = near.argmin(1)
+    d = np.sqrt(near[np.arange(len(rows)), p])
+    cells = [(i, 0, d[p == i].min(), d[p == i].max(), (rows[p == i] ** 2).sum(1).max(), int((p == i).sum())) for i in range(40) if (p == i).any()]
+    directory = op06_topk.Directory(pivots, cells)
+    queries = rows[:200]
+    kth = np.sort(queries @ rows.T, axis=1)[:, -6]
+    visited = ((directory.bounds(queries) >= kth[:, None]) * directory.rows[None]).sum(1) / len(rows)
+    assert visited.mean() < 0.3
+
+
 def test_cases(spark, monkeypatch):
     r = random.Random(4)
     center = [[r.gauss(0, 1) for _ in range(8)] for _ in range(5)]
@@ -36,5 +54,8 @@ def test_cases(spark, monkeypatch):
         got = exact_topk(docs, F.col("vec_id") % 50 == 0).collect()
         assert len(got) == len(want) and {tuple(x) for x in got} == want
     assert exact_topk(docs.limit(0), F.col("vec_id") % 50 == 0).collect() == []
+    huge = [(i, [float(i % 7), 5000.0 * (i % 3), -1e9 if i == 40 else 0.25]) for i in range(120)] + [(150, [0.0, 0.0, 0.0]), (200, [1e10, 1.0, 1.0])]
+    got = {tuple(x) for x in exact_topk(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
+    assert got == brute(huge, 5) and (0, 1, 200, 0) not in got
     few = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in exact_topk(few, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 3, 131072)]
