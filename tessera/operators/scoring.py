@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Bands, multipliers and points that results depend on.
@@ -125,3 +125,49 @@ def redact_secrets(text: Column, keys: Sequence[str]) -> Column:
 
 def count_secrets(text: Column, keys: Sequence[str]) -> Column:
     return F.regexp_count(text, F.lit(rf"(?m)^({'|'.join(keys)})="))
+
+
+def vector_fault(stored: Column, dimensions: int) -> Column:
+    """Why a vector kept as JSON text cannot be used: undecodable, empty or dimension; null
+    if it can."""
+    v = F.from_json(stored, "array<double>", {"mode": "PERMISSIVE"})
+    return F.when(v.isNull(), "undecodable").when(F.size(v) == 0, "empty").when(F.size(v) != dimensions, "dimension")
+
+
+def in_value_range(rows: DataFrame, value: str, least: float | None = None, most: float | None = None) -> DataFrame:
+    """Rows with a value from least to most, both inclusive; None: no limit."""
+    if least is not None:
+        rows = rows.filter(F.col(value) >= least)
+    return rows if most is None else rows.filter(F.col(value) <= most)
+
+
+def other_category(items: DataFrame, others: DataFrame, on: list[str], category: str) -> DataFrame:
+    """Pairs of an item and another (columns prefixed item_ and other_) that agree on some
+    columns and differ in category."""
+    a, b = (df.select(*(F.col(c).alias(f"{name}_{c}") for c in df.columns)) for name, df in (("item", items), ("other", others)))
+    same = F.col(f"item_{category}") != F.col(f"other_{category}")
+    for c in on:
+        same &= F.col(f"item_{c}") == F.col(f"other_{c}")
+    return a.join(b, same)
+
+
+def listings(rows: DataFrame, category: Column, profit: str, key: str, wanted: str | None = None, least: float | None = None) -> DataFrame:
+    """Listings of one category, or all, from a profit on, best first."""
+    if wanted is not None:
+        rows = rows.filter(category == wanted)
+    if least is not None:
+        rows = rows.filter(F.col(profit) >= least)
+    return rows.orderBy(F.desc(profit), key)
+
+
+def due(entities: DataFrame, checks: DataFrame, key: str, next_check: str, as_of: Column) -> DataFrame:
+    """Entities never checked, or whose next check is not after as_of."""
+    return entities.join(checks, key, "left").filter(F.col(next_check).isNull() | (F.col(next_check) <= as_of)).select(*entities.columns)
+
+
+def unique_key_check(batch: DataFrame, existing: DataFrame, key: str, order: str) -> DataFrame:
+    """The batch with a verdict: exists (the key is taken), repeated (a row before it in the
+    batch has the key) or new."""
+    there = existing.select(key).distinct().withColumn("_there", F.lit(True))
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(order))
+    return batch.join(there, key, "left").withColumn("verdict", F.when(F.col("_there"), "exists").when(nth > 1, "repeated").otherwise("new")).drop("_there")

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder under spark.checkpoint.dir, which all machines share; without that
-    setting (one machine, as in tests) a temporary one."""
+    setting a temporary one on a single machine, and an error on a cluster."""
     import uuid
 
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tessera-")
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
+    base = base or tempfile.mkdtemp(prefix="tessera-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 

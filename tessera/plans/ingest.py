@@ -11,6 +11,7 @@ from ..operators.storage import shared_folder
 from ..sources import files as S
 from ..sources import sinks
 from .base import query, table
+from .texts import LANGUAGE_SQL
 
 
 @query("a1_mbox_scan", "SELECT conv_id || '-' || turn AS subject, role || '@example.org' AS from_email, CAST(2 AS BIGINT) AS recipients, md5(regexp_replace(replace(text, chr(10), ' '), '^ +', '')) AS h FROM conversations")
@@ -30,10 +31,13 @@ def written(spark, sf):
     return folder
 
 
-@query("a2_file_scan", "SELECT '.txt' AS extension, true AS some")
+@query("a2_file_scan", "SELECT lang, '.txt' AS extension, true AS named, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_ends FROM documents GROUP BY 1")
 def a2(spark, sf):
+    """The text files of each folder: their bytes, and the line ends in their content."""
     out = S.file_scan(spark, written(spark, sf), [".txt"])
-    return out.groupBy("extension").agg((F.sum("length") > 0).alias("some"))
+    ends = F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1
+    lang = F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("lang")
+    return out.groupBy(lang, "extension").agg(F.bool_and(F.col("filename").rlike("^part-.*[.]txt$")).alias("named"), F.sum("length").alias("bytes"), F.sum(ends.cast("bigint")).alias("line_ends"))
 
 
 _RULES = [("", "*.org/es/*"), ("", "node_modules/"), ("http:", "**/en/1*")]
@@ -46,10 +50,12 @@ def a3(spark, sf):
     return S.exclude_paths(p, F.col("p"), S.ignore_patterns(_RULES), ["de"]).select("page_id")
 
 
-@query("a4_wet_scan", "SELECT 'http://x/' || doc_id AS url, md5(trim(text, ' ' || chr(10) || chr(13))) AS h FROM documents WHERE length(trim(text, ' ' || chr(10) || chr(13))) >= 300 AND lang = 'en'")
+@query("a4_wet_scan", f"""SELECT 'http://x/' || doc_id AS url, md5(t) AS h FROM (SELECT doc_id, t, string_split_regex(lower(t), '[^\\p{{L}}]+') AS w FROM (SELECT doc_id, trim(text, ' ' || chr(10) || chr(13)) AS t FROM documents WHERE source <> 'src1'))
+  WHERE length(t) >= 300 AND list_max([{LANGUAGE_SQL}]).lang = 'en'""")
 def a4(spark, sf):
-    """Archives made from documents; other kinds of record and languages do not pass."""
-    kind = F.when(F.col("lang") == "en", "conversion").otherwise("warcinfo")
+    """Archives made from documents; records of another kind, short texts and texts in
+    other languages do not pass."""
+    kind = F.when(F.col("source") != "src1", "conversion").otherwise("warcinfo")
     d = table(spark, sf, "documents").select(F.concat(F.lit("WARC/1.0\r\nWARC-Type: "), kind, F.lit("\r\nWARC-Target-URI: http://x/"), "doc_id", F.lit("\r\nContent-Type: text/plain\r\n\r\n"), "text", F.lit("\r\n\r\n")).alias("value"))
     d.write.option("compression", "gzip").option("lineSep", "\n").text(path := shared_folder(spark))
     return S.wet_scan(spark, path).select("url", F.md5("text").alias("h"))
@@ -60,10 +66,12 @@ def a5(spark, sf):
     return S.manifest_minus_done(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")
 
 
-@query("a6_html_or_text_load", "SELECT count(*) AS n FROM documents")
+@query("a6_html_or_text_load", """SELECT 'csv' AS kind, count(*) AS n, CAST(sum(length('{"doc_id":"' || doc_id || '","lang":"' || lang || '","source":"' || source || '"}')) AS BIGINT) AS chars FROM documents
+  UNION ALL SELECT 'text', count(DISTINCT lang), CAST(sum(length(text) + 1) AS BIGINT) FROM documents""")
 def a6(spark, sf):
+    """A row per text file and per csv record, with all their characters."""
     out = S.load_documents(spark, written(spark, sf))
-    return out.filter("kind = 'csv'").agg(F.count("*").alias("n"))
+    return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
 
 
 @query("a7_notebook_cells", "SELECT doc_id, md5('print(' || doc_id || ')' || chr(10) || lang || chr(10) || 'x = 1') AS h FROM documents")
@@ -107,7 +115,8 @@ def a11(spark, sf):
     return spark.read.parquet(made["orders"]).agg(F.lit("orders").alias("name"), F.count("*").alias("n")).select("name", "n")
 
 
-@query("a12_report_bundle", """SELECT CASE WHEN length(text) >= 200 THEN 'analysed' ELSE 'failed' END AS state, count(*) AS n, md5(string_agg(conv_id || '-' || turn || ':' || role, chr(10) ORDER BY conv_id || '-' || turn || ':' || role)) AS details FROM conversations GROUP BY 1""")
+@query("a12_report_bundle", """WITH e AS (SELECT CASE WHEN length(text) >= 200 THEN 'analysed' ELSE 'failed' END AS state, conv_id || '-' || turn || ':' || role AS detail FROM conversations)
+  SELECT 'summary' AS part, state, count(*) AS n, NULL AS detail FROM e GROUP BY state UNION ALL SELECT 'result', state, 1, detail FROM e""")
 def a12(spark, sf):
     detail = F.concat("conv_id", F.lit("-"), "turn", F.lit(":"), "role")
     return S.report_bundle(table(spark, sf, "conversations"), F.char_length("text") >= 200, detail)

@@ -50,11 +50,13 @@ def k3b(spark, sf):
     return table(spark, sf, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("k4_self_manager_join", "SELECT n.n_name AS name, m.n_name AS manager FROM nation n JOIN (SELECT n_regionkey, min(n_nationkey) AS k FROM nation GROUP BY 1) r USING (n_regionkey) JOIN nation m ON m.n_nationkey = r.k")
+@query("k4_self_manager_join", "SELECT c.c_custkey, c.c_name AS name, m.c_name AS manager FROM customer c JOIN (SELECT c_nationkey, min(c_custkey) AS k FROM customer GROUP BY 1) r USING (c_nationkey) JOIN customer m ON m.c_custkey = r.k")
 def k4(spark, sf):
-    n = table(spark, sf, "nation").withColumn("manager_key", F.min("n_nationkey").over(Window.partitionBy("n_regionkey")))
-    m = n.select(F.col("n_nationkey").alias("manager_key"), F.col("n_name").alias("manager"))
-    return n.join(m, "manager_key").select(F.col("n_name").alias("name"), "manager")
+    """The first customer of each nation manages the others."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_name", "c_nationkey")
+    first = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("manager_key"))
+    m = c.select(F.col("c_custkey").alias("manager_key"), F.col("c_name").alias("manager"))
+    return c.join(first, "c_nationkey").join(m, "manager_key").select("c_custkey", F.col("c_name").alias("name"), "manager")
 
 
 @query("k5_date_spine", """SELECT strftime(d, '%Y-%m-%d') AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(min(o_orderdate), max(o_orderdate), INTERVAL 1 DAY)) AS d FROM orders) LEFT JOIN (SELECT o_orderdate AS d, count(*) AS n FROM orders GROUP BY 1) USING (d)""")
@@ -104,10 +106,11 @@ def k8(spark, sf):
     return g.select("o_orderpriority", "o_orderstatus", share(Window.partitionBy(F.lit(1))).alias("of_all"), share(Window.partitionBy("o_orderpriority")).alias("of_priority"))
 
 
-@query("k9_string_agg", "SELECT n_regionkey, string_agg(n_name, ', ' ORDER BY n_name) AS names FROM nation GROUP BY 1")
+@query("k9_string_agg", "SELECT l_orderkey, string_agg(CAST(l_partkey AS VARCHAR), ', ' ORDER BY CAST(l_partkey AS VARCHAR)) AS parts FROM lineitem GROUP BY 1")
 def k9(spark, sf):
-    table(spark, sf, "nation").createOrReplaceTempView("_nation")
-    return spark.sql("SELECT n_regionkey, listagg(n_name, ', ') WITHIN GROUP (ORDER BY n_name) AS names FROM _nation GROUP BY n_regionkey")
+    """The parts of each order in one string; an order has few lines."""
+    part = F.col("l_partkey").cast("string")
+    return table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.array_sort(F.collect_list(part)), ", ").alias("parts"))
 
 
 @query("k10_top_per_group", """SELECT o_orderpriority, o_orderkey, CAST(place AS INTEGER) AS place FROM (SELECT *, dense_rank() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS place FROM orders) WHERE place <= 3""")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import scoring as S
@@ -22,10 +21,8 @@ def b2(spark, sf):
     """Vectors kept as JSON text, with the reason for which a row is dropped."""
     v, n = F.col("embedding"), F.col("vec_id") % 7
     stored = F.when(n == 0, F.lit("{broken")).when(n == 1, F.lit("[]")).when(n == 2, F.to_json("embedding")).otherwise(F.to_json(F.slice(v, 1, 63)))
-    decoded = F.from_json(F.col("stored"), "array<double>", {"mode": "PERMISSIVE"})
-    rows = table(spark, sf, "embeddings").select(stored.alias("stored")).select(decoded.alias("e"))
-    reason = F.when(F.col("e").isNull(), "undecodable").when(F.size("e") == 0, "empty").when(F.size("e") != 63, "dimension").otherwise("valid")
-    return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    reason = F.coalesce(S.vector_fault(F.col("stored"), 63), F.lit("valid"))
+    return table(spark, sf, "embeddings").select(stored.alias("stored")).groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
 @query("b3_quality_band", "SELECT event_id, CASE WHEN value / 300 >= 0.75 THEN 'high' WHEN value / 300 >= 0.60 THEN 'medium' ELSE 'low' END AS band FROM events")
@@ -35,30 +32,18 @@ def b3(spark, sf):
 
 @query("b4_value_range_filter", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 905 AND 910.5")
 def b4(spark, sf):
-    return table(spark, sf, "part").filter(F.col("p_retailprice").between(905, 910.5)).select("p_partkey", "p_retailprice")
+    return S.in_value_range(table(spark, sf, "part"), "p_retailprice", 905, 910.5).select("p_partkey", "p_retailprice")
 
 
 @query("b5_category_exclude", "SELECT a.p_partkey AS item, b.p_partkey AS other FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_size = b.p_size AND a.p_type <> b.p_type")
 def b5(spark, sf):
-    p = table(spark, sf, "part")
-    a, b = p.alias("a"), p.alias("b")
-    on = (F.col("a.p_brand") == F.col("b.p_brand")) & (F.col("a.p_size") == F.col("b.p_size")) & (F.col("a.p_type") != F.col("b.p_type"))
-    return a.join(b, on).select(F.col("a.p_partkey").alias("item"), F.col("b.p_partkey").alias("other"))
-
-
-def listings(orders, category=None, least_profit=None):
-    """Listings of one category, or all, above a profit, best first."""
-    out = orders
-    if category is not None:
-        out = out.filter(F.col("o_orderpriority") == category)
-    if least_profit is not None:
-        out = out.filter(F.col("o_totalprice") >= least_profit)
-    return out.orderBy(F.desc("o_totalprice"), "o_orderkey")
+    p = table(spark, sf, "part").select("p_partkey", "p_brand", "p_size", "p_type")
+    return S.other_category(p, p, ["p_brand", "p_size"], "p_type").select(F.col("item_p_partkey").alias("item"), F.col("other_p_partkey").alias("other"))
 
 
 @query("b6_listing_query", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderpriority = '1-URGENT' AND o_totalprice >= 100000 ORDER BY o_totalprice DESC, o_orderkey")
 def b6(spark, sf):
-    return listings(table(spark, sf, "orders"), "1-URGENT", 100000).select("o_orderkey", "o_totalprice")
+    return S.listings(table(spark, sf, "orders"), F.col("o_orderpriority"), "o_totalprice", "o_orderkey", "1-URGENT", 100000).select("o_orderkey", "o_totalprice")
 
 
 @query("b7_due_filter", """SELECT c_custkey FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) + INTERVAL 30 DAY AS next FROM orders GROUP BY 1) ON o_custkey = c_custkey
@@ -66,7 +51,7 @@ def b6(spark, sf):
 def b7(spark, sf):
     last = table(spark, sf, "orders").groupBy("o_custkey").agg((F.max("o_orderdate") + F.expr("INTERVAL 30 DAYS")).alias("next"))
     c = table(spark, sf, "customer").select("c_custkey")
-    return c.join(last, c.c_custkey == last.o_custkey, "left").filter(F.col("next").isNull() | (F.col("next") <= F.lit(AS_OF).cast("timestamp_ntz"))).select("c_custkey")
+    return S.due(c, last.withColumnRenamed("o_custkey", "c_custkey"), "c_custkey", "next", F.lit(AS_OF).cast("timestamp_ntz"))
 
 
 @query("b8_rule_validate", """SELECT coalesce(CASE WHEN NOT coalesce(length(trim(p_name)) > 0, false) THEN 'name is required' END,
@@ -82,9 +67,8 @@ def b8(spark, sf):
 def b9(spark, sf):
     c = table(spark, sf, "customer")
     batch = c.select((F.col("c_custkey") % 97 + 100).alias("k"), F.col("c_custkey").alias("place"))
-    there = c.filter("c_nationkey < 12").select(F.col("c_custkey").alias("k"), F.lit(True).alias("there"))
-    nth = F.row_number().over(Window.partitionBy("k").orderBy("place"))
-    return batch.join(there, "k", "left").select("k", "place", F.when(F.col("there"), "exists").when(nth > 1, "repeated").otherwise("new").alias("verdict"))
+    there = c.filter("c_nationkey < 12").select(F.col("c_custkey").alias("k"))
+    return S.unique_key_check(batch, there, "k", "place").select("k", "place", "verdict")
 
 
 def _case(value, names, other):

@@ -140,10 +140,10 @@ def i15(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(X.words(F.col("text"))).cast("bigint").alias("n"))
 
 
-_SCORES = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in words)}))), 'o': {-i}, 'lang': '{k}'}}" for i, (k, words) in enumerate(sorted(X.STOP_WORDS.items())))
+LANGUAGE_SQL = ", ".join(f"{{'n': len(list_filter(w, lambda x: x IN ({', '.join(repr(s) for s in words)}))), 'o': {-i}, 'lang': '{k}'}}" for i, (k, words) in enumerate(sorted(X.STOP_WORDS.items())))
 
 
-@query("i16_language_gate", rf"SELECT doc_id, list_max([{_SCORES}]).lang AS found, list_max([{_SCORES}]).lang = lang AS agrees FROM (SELECT doc_id, lang, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents)")
+@query("i16_language_gate", rf"SELECT doc_id, list_max([{LANGUAGE_SQL}]).lang AS found, list_max([{LANGUAGE_SQL}]).lang = lang AS agrees FROM (SELECT doc_id, lang, string_split_regex(lower(text), '[^\p{{L}}]+') AS w FROM documents)")
 def i16(spark, sf):
     found = X.language_of(F.col("text"))
     return table(spark, sf, "documents").select("doc_id", "lang", found.alias("found")).select("doc_id", "found", (F.col("found") == F.col("lang")).alias("agrees"))
@@ -156,19 +156,31 @@ def i17(spark, sf):
     return X.digest(e, 20).withColumn("digest", F.md5("digest"))
 
 
-@query("i18_graph_text_export", """SELECT r_regionkey AS graph, 'graph TD' || chr(10) || string_agg('    n' || n_nationkey || '["' || n_name || '"]', chr(10) ORDER BY n_nationkey) || chr(10) || string_agg('    r' || r_regionkey || ' --> n' || n_nationkey, chr(10) ORDER BY n_nationkey) AS mermaid,
-  '@startuml' || chr(10) || string_agg('rectangle "' || n_name || '" as n' || n_nationkey, chr(10) ORDER BY n_nationkey) || chr(10) || string_agg('r' || r_regionkey || ' --> n' || n_nationkey, chr(10) ORDER BY n_nationkey) || chr(10) || '@enduml' AS plantuml FROM nation JOIN region ON r_regionkey = n_regionkey GROUP BY 1""")
+_GRAPH = """(SELECT l_orderkey AS graph, 'o' || l_orderkey AS s, 'n' || l_linenumber AS e, 'part ' || l_partkey AS label, l_linenumber AS pos FROM lineitem)"""
+
+
+def order_graphs(spark, sf):
+    """A small graph per order: an edge from it to each of its lines."""
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("graph"), F.concat(F.lit("n"), "l_linenumber").alias("id"), F.concat(F.lit("part "), "l_partkey").alias("label"), F.col("l_linenumber").alias("pos"))
+    return P.graph_texts(lines, lines.select("graph", F.concat(F.lit("o"), "graph").alias("start"), F.col("id").alias("end"), "pos"))
+
+
+def _joined(line, sep="chr(10)"):
+    return f"string_agg({line}, {sep} ORDER BY pos)"
+
+
+@query("i18_graph_text_export", f"""SELECT graph, 'graph TD' || chr(10) || {_joined("'    ' || e || '[\"' || label || '\"]'")} || chr(10) || {_joined("'    ' || s || ' --> ' || e")} AS mermaid,
+  '@startuml' || chr(10) || {_joined("'rectangle \"' || label || '\" as ' || e")} || chr(10) || {_joined("s || ' --> ' || e")} || chr(10) || '@enduml' AS plantuml FROM {_GRAPH} GROUP BY 1""")
 def i18(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("pos"))
-    e = table(spark, sf, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("r"), "n_regionkey").alias("start"), F.concat(F.lit("n"), "n_nationkey").alias("end"), F.col("n_nationkey").alias("pos"))
-    return P.graph_texts(n, e).select("graph", "mermaid", "plantuml")
+    return order_graphs(spark, sf).select("graph", "mermaid", "plantuml")
 
 
-@query("i18_graph_text_other_formats")
+@query("i18_graph_text_other_formats", f"""SELECT graph, md5('<XMI>' || chr(10) || {_joined("'    <uml:Class id=\"' || e || '\" name=\"' || label || '\"/>'")} || chr(10) || {_joined("'    <uml:Association from=\"' || s || '\" to=\"' || e || '\"/>'")} || chr(10) || '</XMI>') AS xmi,
+  md5({_joined("'class ' || e || ': ' || label")} || chr(10) || {_joined("s || ' -> ' || e")}) AS types,
+  md5('{{"nodes": [' || {_joined("'{\"$id\":\"' || e || '\",\"title\":\"' || label || '\"}'", "','")} || '], "edges": [' || {_joined("'{\"from\":\"' || s || '\",\"to\":\"' || e || '\"}'", "','")} || ']}}') AS json_schema,
+  md5('nodes:' || chr(10) || {_joined("'  - id: ' || e || chr(10) || '    label: ' || label")} || chr(10) || 'edges:' || chr(10) || {_joined("'  - from: ' || s || chr(10) || '    to: ' || e")}) AS yaml FROM {_GRAPH} GROUP BY 1""")
 def i18b(spark, sf):
-    n = table(spark, sf, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("n"), "n_nationkey").alias("id"), F.col("n_name").alias("label"), F.col("n_nationkey").alias("pos"))
-    e = table(spark, sf, "nation").select(F.col("n_regionkey").alias("graph"), F.concat(F.lit("r"), "n_regionkey").alias("start"), F.concat(F.lit("n"), "n_nationkey").alias("end"), F.col("n_nationkey").alias("pos"))
-    return P.graph_texts(n, e).select("graph", *(F.md5(c).alias(c) for c in ("xmi", "types", "json_schema", "yaml")))
+    return order_graphs(spark, sf).select("graph", *(F.md5(c).alias(c) for c in ("xmi", "types", "json_schema", "yaml")))
 
 
 @query("i19_slide_parse")

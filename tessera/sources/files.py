@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.texts import language_of
+
 MAIL = "id string, subject string, from_email string, to_email string, date timestamp, recipients array<string>, body string"
 
 
@@ -51,8 +53,11 @@ def mbox_scan(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_scan(spark: SparkSession, folder: str, extensions: Sequence[str]) -> DataFrame:
-    """path, filename, extension, length, content of allowed files below a folder."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(folder)
+    """path, filename, extension, length, content of files below a folder whose extension, in
+    any case of letters, is allowed; others are not opened."""
+    either = lambda e: "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in e)
+    allowed = "*{" + ",".join(map(either, extensions)) + "}"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", allowed).option("ignoreCorruptFiles", "true").load(folder)
     name = F.regexp_extract("path", r"([^/]+)$", 1)
     extension = F.lower(F.regexp_extract(name, r"(\.[^.]+)$", 1))
     return files.select("path", name.alias("filename"), extension.alias("extension"), "length", "content").filter(F.col("extension").isin(*extensions))
@@ -95,14 +100,17 @@ def exclude_paths(rows: DataFrame, path: Column, patterns: Sequence[str], folder
     return rows.filter(keep)
 
 
-def wet_scan(spark: SparkSession, path: str, least: int = 300) -> DataFrame:
-    """url, text, source of the converted records of crawl text archives, from a length on.
-    A gzip file is one task."""
+def wet_scan(spark: SparkSession, path: str, least: int = 300, language: str | None = "en") -> DataFrame:
+    """url, text, source of the converted records of crawl text archives, from a length on
+    and in one language (by stop words; None: in any).  A gzip file is one task."""
     records = spark.read.option("lineSep", "WARC/1.0\r\n").text(path).select("value", F.col("_metadata.file_path").alias("source"))
     head, body = F.substring_index("value", "\r\n\r\n", 1), F.expr("substring(value, instr(value, '\r\n\r\n') + 4)")
     field = lambda name: F.regexp_extract(head, rf"(?im)^{name}:[ \t]*([^\r\n]*)", 1)
     rows = records.select(field("WARC-Type").alias("kind"), field("WARC-Target-URI").alias("url"), F.btrim(body, F.lit(" \r\n")).alias("text"), "source")
-    return rows.filter((F.col("kind") == "conversion") & (F.char_length("text") >= least)).select("url", "text", "source")
+    kept = rows.filter((F.col("kind") == "conversion") & (F.char_length("text") >= least))
+    if language is not None:
+        kept = kept.filter(language_of(F.col("text")) == language)
+    return kept.select("url", "text", "source")
 
 
 def manifest_minus_done(manifest: DataFrame, done: DataFrame, key: str) -> DataFrame:
@@ -123,5 +131,8 @@ def table_references(sources: DataFrame) -> DataFrame:
 
 
 def report_bundle(rows: DataFrame, ok: Column, detail: Column) -> DataFrame:
-    """total, analysed, failed and the results as JSON lines per state."""
-    return rows.groupBy(F.when(ok, "analysed").otherwise("failed").alias("state")).agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(detail)), "\n")).alias("details"))
+    """part, state, n, detail: a summary row per state (analysed, failed) with its count, and
+    a row for each result, so that nothing is gathered into one value."""
+    each = rows.select(F.when(ok, "analysed").otherwise("failed").alias("state"), detail.alias("detail"))
+    summary = each.groupBy("state").agg(F.count("*").alias("n")).select(F.lit("summary").alias("part"), "state", "n", F.lit(None).cast("string").alias("detail"))
+    return summary.unionByName(each.select(F.lit("result").alias("part"), "state", F.lit(1).cast("bigint").alias("n"), "detail"))
