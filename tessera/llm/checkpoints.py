@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -17,3 +18,10 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that all machines share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
+
+
+def release(spark: SparkSession) -> None:
+    """Lets go of what finished plans hold in the driver: broadcasts, the state of shuffles,
+    generated classes.  For operators of dozens of jobs, whose driver has little memory."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
