@@ -166,7 +166,7 @@ def order_graphs(spark, sf):
 
 
 def _joined(line, sep="chr(10)"):
-    return f"string_agg({line}, {sep} ORDER BY pos)"
+    return f"string_agg({line}, {sep} ORDER BY pos, {line})"
 
 
 @query("i18_graph_text_export", f"""SELECT graph, 'graph TD' || chr(10) || {_joined("'    ' || e || '[\"' || label || '\"]'")} || chr(10) || {_joined("'    ' || s || ' --> ' || e")} AS mermaid,
