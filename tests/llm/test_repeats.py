@@ -87,13 +87,22 @@ def test_words_keep_layout(spark):
 
 
 def test_bytes(spark, sizes):
-    data = [r for r in rows() if r[0] != 62]
-    got = op09_suffix.op9_suffix_dedup
+    data = [r for r in rows() if r[0] != 62] + [(62, "big " * 3000), (63, "big " * 2000)]
     docs = spark.createDataFrame(data, "doc_id long, text string")
     got = op09_suffix.suffix_dedup(docs).collect()
     assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(bytes(r.kept)).hexdigest()) for r in got), key=str) == brute_bytes(data, 50)
 
 
+def test_queries(spark, sf):
+    """The contract's columns and digests over a whole table."""
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    got = op01_substring.op1_substring_dedup(spark, sf).collect()
+    want = [(d, n, gone, hashlib.sha256(kept.encode()).hexdigest()) for d, n, gone, kept in brute_words(data, 20)]
+    assert sorted(((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got), key=str) == sorted(want, key=str)
+    got = op09_suffix.op9_suffix_dedup(spark, sf).collect()
+    assert sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got), key=str) == brute_bytes(data, 50)
+
+
 def test_collisions_are_sorted_by_bytes(spark, monkeypatch):
     monkeypatch.setattr(op09_suffix.Suffixes, "same", lambda self, a, b, n: self.data[a] == self.data[b])
     data = [r for r in rows() if r[0] != 62]

@@ -41,6 +41,13 @@ def test_components_on_documents(spark, sf):
     assert got == brute_components(rows, 4, 4)
 
 
+def test_query(spark, sf):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    out = op04_simhash.op4_simhash(spark, sf)
+    assert out.columns == ["doc_id", "fingerprint", "component_id"]
+    assert {tuple(r) for r in out.collect()} == brute_components(rows, 4, 4)
+
+
 def test_links_are_whole(spark):
     import random
 
