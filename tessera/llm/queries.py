@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op06_topk, op07_quality, op08_sentencepiece, op09_suffix, op10_lm, op11_trie, op13_shards
+from . import op01_substring, op02_licenses, op03_packing, op04_simhash, op05_lines, op06_topk, op07_quality, op08_sentencepiece, op09_suffix, op10_lm, op11_trie, op12_negatives, op13_shards
 
 QUERIES = {
     "op1_substring_dedup": op01_substring.op1_substring_dedup,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_suffix_dedup": op09_suffix.op9_suffix_dedup,
     "op10_lm_score": op10_lm.op10_lm_score,
     "op11_prefix_trie": op11_trie.op11_prefix_trie,
+    "op12_hard_negatives": op12_negatives.op12_hard_negatives,
     "op13_shards": op13_shards.op13_shards,
 }
 ORACLES = {
@@ -23,4 +24,5 @@ ORACLES = {
     "op5_line_dedup": op05_lines.ORACLE,
     "op6_exact_topk": op06_topk.ORACLE,
     "op11_prefix_trie": op11_trie.ORACLE,
+    "op12_hard_negatives": op12_negatives.ORACLE,
 }
