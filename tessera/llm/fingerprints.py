@@ -37,7 +37,7 @@ def polynomial_shingles(texts: list[bytes | None], words: int) -> Iterator[np.nd
         some = [t or b"" for t in texts[a:b]]
         data = np.frombuffer(b"\n".join(some).translate(_LOWER), dtype=np.uint8)
         start, stop = word_bounds(data)
-        tokens = rolling.spans(rolling.prefix(rolling.byte_tokens(data)), start, stop)
+        tokens = rolling.word_tokens(data, start, stop)
         ends = np.searchsorted(start, np.cumsum([len(t) + 1 for t in some]))
         begins = np.concatenate([[0], ends[:-1]])
         n = ends - begins

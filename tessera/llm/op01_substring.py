@@ -38,7 +38,7 @@ def tokenize(texts: list[bytes | None]) -> tuple:
     joined = b"\n".join(t or b"" for t in texts)
     data = np.frombuffer(joined, dtype=np.uint8)
     start, stop = word_bounds(data)
-    tokens = rolling.spans(rolling.prefix(rolling.byte_tokens(data)), start, stop)
+    tokens = rolling.word_tokens(data, start, stop)
     bounds = np.cumsum([len(t or b"") + 1 for t in texts])
     ends = np.searchsorted(start, bounds)
     return tokens, ends, (texts, joined, start, stop)

@@ -66,7 +66,7 @@ def statistics(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     inside = (data != 0x20) & ((data < 0x09) | (data > 0x0D))
     chars = total(points & inside)
     symbols = total(_SYMBOL[data])
-    words = rolling.spans(rolling.prefix(rolling.byte_tokens(data)), start, stop)
+    words = rolling.word_tokens(data, start, stop)
     doc = np.repeat(np.arange(len(texts)), n)
     own = rolling.mix(doc.astype(np.uint64) + np.uint64(1))
     # Three-word windows of one document, those found twice or more, and the words they hold.

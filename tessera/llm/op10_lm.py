@@ -83,7 +83,7 @@ def tokens_of(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """The hash of every word of each text and of its end; how many tokens each has."""
     data = _LOWER[np.frombuffer(b"\n".join(t or b"" for t in texts), dtype=np.uint8)]
     start, stop = word_bounds(data)
-    words = rolling.spans(rolling.prefix(rolling.byte_tokens(data)), start, stop)
+    words = rolling.word_tokens(data, start, stop)
     ends = np.searchsorted(start, np.cumsum([len(t or b"") + 1 for t in texts]))
     return np.insert(words, ends, rolling.mix(np.array([_END_WORD]))[0]).view(np.int64), np.diff(np.concatenate([[0], ends])) + 1
 

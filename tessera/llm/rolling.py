@@ -1,7 +1,9 @@
 """Rolling polynomial hashes and winnowed runs of windows, vectorised with numpy.
 
 Arithmetic is modulo 2**64 with an odd base, so that a prefix sum gives the hash of any
-span: ``(S[i + n] - S[i]) * base**-i``.  Texts are joined into one token array with the
+span: ``(S[i + n] - S[i]) * base**-i``.  A polynomial modulo 2**64 confuses certain sequences
+of 2**10 tokens and more (Thue-Morse), so spans are those of runs, some dozens of tokens long;
+words, which may be of any length, have hashes of another kind (``word_tokens``).  Texts are joined into one token array with the
 bounds of each document, and no span crosses a bound.
 
 A window of ``width`` tokens is represented by the smallest gram hash inside it (ties:
@@ -13,10 +15,12 @@ only be found in runs with the same gram: runs, not windows, need to be shuffled
 from __future__ import annotations
 
 import numpy as np
+import xxhash
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 _BYTE = np.random.Generator(np.random.PCG64(20240229)).integers(1, 2**63, 256, dtype=np.uint64)
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -55,6 +59,20 @@ def byte_tokens(data: np.ndarray) -> np.ndarray:
     return _BYTE[data]
 
 
+def word_tokens(data: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """A hash of each word data[start:stop], without the structure of a polynomial: the mixed
+    first and second eight bytes with the length, and XXH64 for words of more than 16."""
+    n = stop - start
+    padded = np.concatenate([data, np.zeros(24, np.uint8)])
+    eight = np.ndarray((len(data) + 16,), dtype=np.uint64, buffer=padded, strides=(1,))
+    low, high = (eight[start + at] & _MASK[np.clip(n - at, 0, 8)] for at in (0, 8))
+    out = mix(mix(low + BASE) ^ (mix(high ^ BASE) + n.astype(np.uint64)))
+    if len(long := np.flatnonzero(n > 16)):
+        view, digest = memoryview(np.ascontiguousarray(data)), xxhash.xxh64_intdigest
+        out[long] = np.fromiter((digest(view[a:b], 7) for a, b in zip(start[long].tolist(), stop[long].tolist(), strict=True)), np.uint64, len(long))
+    return out
+
+
 def spans(sums: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """Hashes of tokens[start:stop] for arrays of bounds; equal spans of equal length agree."""
     inverse = powers(len(sums), inverse=True)
