@@ -55,11 +55,11 @@ class ByteTokenizer:
         self.fast = tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole = Tokenizer.from_file(path)
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.long_run = re.compile(rf"\s{{{LONG_RUN}}}|\S{{{LONG_RUN}}}")
+        self.runs = re.compile(r"\s+|\S+")
 
     def encode(self, text: str) -> bytes:
         """Unsigned 32-bit integers."""
-        if (self.special and self.special.search(text)) or (len(text) >= LONG_RUN and self.long_run.search(text)):
+        if (self.special and self.special.search(text)) or (len(text) >= LONG_RUN and max(map(len, self.runs.findall(text))) >= LONG_RUN):
             return array("I", self.whole.encode(text, add_special_tokens=False).ids).tobytes()
         return array("I", self.fast.encode_ordinary(text)).tobytes()
 

@@ -28,6 +28,17 @@ def test_very_long_runs(part):
         assert ours.encode(text) == b"".join(i.to_bytes(4, "little") for i in theirs.encode(text, add_special_tokens=False).ids)
 
 
+def test_runs_just_below_the_switch_take_no_longer():
+    import time
+
+    ours, theirs = ByteTokenizer(public_tokenizers.path("byte_bpe_50k.json")), library()
+    for unit in (" " * 19_999 + "x", "a" * 19_999 + " "):
+        text, began = unit * 60, time.time()
+        got = ours.encode(text)
+        assert time.time() - began < 5
+        assert got == b"".join(i.to_bytes(4, "little") for i in theirs.encode(text, add_special_tokens=False).ids)
+
+
 def test_best_fit_takes_the_tightest_window():
     r = random.Random(2)
     lengths = [r.randrange(1, 101) for _ in range(700)]
