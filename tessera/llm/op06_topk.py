@@ -19,9 +19,10 @@ Defined results: null vectors and vectors holding null or non-finite components
 part, nor do rows without a vec_id; shorter vectors count as filled up with zeros; rows
 that share the query's vec_id are its own; a vec_id repeated among the queries is one
 query (its least vector); an empty table gives an empty result.  Other columns are
-ignored.  Vectors with a component of 2**20 or more in size are visited by every query, and
-as queries visit every block, with 64-bit integers in place of doubles; a score must fit a
-long, and a component of 2**55 or more is an error.
+ignored.  Vectors with a component of 2**20 or more in size (of the integers) are visited by every
+query, and as queries visit every block, with 64-bit integers in place of doubles, or with Python's
+where a product could leave 63 bits; a score of 2**63 - 1 or more in size is an error if it is one of
+those returned.
 """
 
 from __future__ import annotations
@@ -38,27 +39,33 @@ from .checkpoints import checkpointed
 
 SAMPLE, CELLS, CELL_ROWS, BLOCK_ROWS, PORTION, STEP = 4096, 4096, 4096, 8192, 4096, 16
 LARGE = 1 << 20
+TOP = 2**63 - 1
 
 
 def quantized(vectors: Column, scale: int) -> Column:
-    return F.transform(vectors, lambda x: F.floor(F.lit(scale) * x.cast("double")).cast("bigint"))
+    """floor(scale * x) as doubles: those of 2**53 and more are whole numbers already."""
+
+    def whole(x: Column) -> Column:
+        scaled = F.lit(float(scale)) * x.cast("double")
+        fits = F.when(F.abs(scaled) < F.lit(float("inf")), scaled).otherwise(F.raise_error(F.lit("a component does not fit a double")).cast("double"))
+        return F.when(F.abs(scaled) < F.lit(float(1 << 53)), F.floor(scaled).cast("double")).otherwise(fits)
+
+    return F.transform(vectors, whole)
 
 
 def prepared(rows: DataFrame, scale: int) -> DataFrame:
     """vec_id, v: the vectors that take part, as integers."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    fits = F.forall("embedding", lambda x: F.abs(x.cast("double")) * scale < F.lit(float(1 << 55)))
-    embedding = F.when(fits, F.col("embedding")).otherwise(F.raise_error(F.lit("a component is too large for a score in 64 bits")))
     held = rows.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull()).filter(fine)
-    return held.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(embedding, scale).alias("v"))
+    return held.select(F.col("vec_id").cast("bigint").alias("vec_id"), quantized(F.col("embedding"), scale).alias("v"))
 
 
-def matrix(column: pa.Array | pa.ChunkedArray, width: int, kind: type = np.float64) -> np.ndarray:
+def matrix(column: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     rows = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     if isinstance(rows, pa.ChunkedArray):
         rows = pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], rows.type)
     counts = np.diff(rows.offsets.to_numpy())
-    out = np.zeros((len(rows), width), dtype=kind)
+    out = np.zeros((len(rows), width))
     out[np.arange(width) < counts[:, None]] = rows.flatten().to_numpy()
     return out
 
@@ -68,6 +75,17 @@ def large(v: np.ndarray) -> np.ndarray:
     return (np.abs(v) >= LARGE).any(axis=1)
 
 
+def integer_scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Inner products of whole numbers given as doubles, exact up to TOP in size and cut there."""
+    if not large(q).any() and not large(x).any() and x.shape[1] <= 4096:
+        return q @ x.T
+    most = float(np.abs(q).sum(axis=1).max(initial=0)) * float(np.abs(x).max(initial=0))
+    if most < 2.0**62:
+        return q.astype(np.int64) @ x.astype(np.int64).T
+    whole = lambda m: np.array([[int(c) for c in row] for row in m.tolist()], dtype=object).reshape(m.shape)
+    return np.clip(whole(q) @ whole(x).T, -TOP, TOP).astype(np.int64)
+
+
 def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Squared distances of integer rows, without rounding."""
     return (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T
@@ -151,7 +169,7 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
             p, d, norm = np.where(huge, -1, p), np.where(huge, 0.0, d), np.where(huge, np.inf, (v * v).sum(1))
             yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("v"), pa.array(p.astype(np.int32)), pa.array(np.searchsorted(edges, d).astype(np.int32)), pa.array(d), pa.array(norm)], ["vec_id", "v", "pivot", "annulus", "distance", "norm"])
 
-    placed = vectors.mapInArrow(place, "vec_id bigint, v array<bigint>, pivot int, annulus int, distance double, norm double")
+    placed = vectors.mapInArrow(place, "vec_id bigint, v array<double>, pivot int, annulus int, distance double, norm double")
     held = placed.groupBy("pivot", "annulus").agg(F.min("distance"), F.max("distance"), F.max("norm"), F.count("*"))
     cells_held = sorted(tuple(r) for r in held.collect())
     directory = Directory(pivots, cells_held)
@@ -212,18 +230,18 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
     def score(key: tuple, held: pa.Table, asked: pa.Table) -> pa.Table:
         out = []
         if held.num_rows and asked.num_rows:
-            x, ids = matrix(held.column("v"), width, np.int64), held.column("vec_id").to_numpy()
-            huge, plain = large(x).any(), x.astype(np.float64)
+            x, ids = matrix(held.column("v"), width), held.column("vec_id").to_numpy()
             for begin in range(0, asked.num_rows, 512):
                 part = asked.slice(begin, 512)
-                own = part.column("query_id").to_numpy()
-                q = matrix(part.column("v"), width, np.int64)
-                scores = q @ x.T if huge or large(q).any() else q.astype(np.float64) @ plain.T
-                row, found, value = best(scores, ids, own, k)
-                out.append(pa.table([pa.array(own[row]), pa.array(found), pa.array(value.astype(np.int64))], names=["query_id", "vec_id", "score"]))
+                whose, vectors = part.column("query_id").to_numpy(), matrix(part.column("v"), width)
+                huge = large(vectors)
+                for some in (np.flatnonzero(~huge), np.flatnonzero(huge)):
+                    if len(some):
+                        row, found, value = best(integer_scores(vectors[some], x), ids, whose[some], k)
+                        out.append(pa.table([pa.array(whose[some][row]), pa.array(found), pa.array(value.astype(np.int64))], names=["query_id", "vec_id", "score"]))
         return pa.concat_tables(out) if out else pa.table([pa.array([], pa.int64())] * 3, names=["query_id", "vec_id", "score"])
 
-    pair, count = "block bigint, query_id bigint, v array<bigint>", "block bigint, n bigint"
+    pair, count = "block bigint, query_id bigint, v array<double>", "block bigint, n bigint"
 
     def found(asked: DataFrame, turn: int) -> DataFrame:
         """A round's scores: each block that queries visit meets them in portions."""
@@ -241,7 +259,8 @@ def exact_topk(rows: DataFrame, is_query: Column, k: int = 5, scale: int = 256)
         more = found(queries.join(floors, "vec_id", "left"), turn)
         have = ranked(have.drop("rank").unionByName(more))
         have = checkpointed(have) if turn == 1 else have
-    return have.select("query_id", "rank", "vec_id", "score")
+    fits = F.when(F.abs("score") < TOP, F.col("score")).otherwise(F.raise_error(F.lit("a score does not fit a long")).cast("bigint"))
+    return have.select("query_id", "rank", "vec_id", fits.alias("score"))
 
 
 def op6_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

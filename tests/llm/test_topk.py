@@ -2,6 +2,7 @@ import math
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import op06_topk
@@ -57,5 +58,14 @@ def test_cases(spark, monkeypatch):
     huge = [(i, [float(i % 7), 5000.0 * (i % 3), -1e9 if i == 40 else 0.25]) for i in range(120)] + [(150, [0.0, 0.0, 0.0]), (200, [1e10, 1.0, 1.0])]
     got = {tuple(x) for x in exact_topk(spark.createDataFrame(huge, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0).collect()}
     assert got == brute(huge, 5) and (0, 1, 200, 0) not in got
+    wide = [(0, [2.0**22, 0.0]), (1, [2.0**22, 1.0]), (2, [2.0**-8, 3.0]), (3, [5.0, 1.0]), (4, [-(2.0**22), 1.0]), (50, [0.0, 2.0**47])]
+    with pytest.raises(Exception, match="does not fit a long"):  # 0 and 1 score 2**60 in units of 256 * 256, 2**76 in all
+        exact_topk(spark.createDataFrame([(0, [2.0**22]), (1, [2.0**30])], "vec_id long, embedding array<double>"), F.col("vec_id") == 0).collect()
+    got = {tuple(x) for x in exact_topk(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()}
+    assert got == {x for x in brute(wide, 3) if x[0] == 0} and max(s for *_, s in got) == 2**60
+    # products past 64 bits that are not returned stop nothing, and never rank as small
+    far = [(0, [2.0**47]), (1, [0.0]), (2, [2.0**-8]), (3, [-(2.0**60)]), (4, [2.0**-7])]
+    got = {tuple(x) for x in exact_topk(spark.createDataFrame(far, "vec_id long, embedding array<double>"), F.col("vec_id") == 0, k=3).collect()}
+    assert got == {x for x in brute(far, 3) if x[0] == 0}
     few = spark.createDataFrame([(0, [1.0]), (3, [2.0])], "vec_id long, embedding array<float>")
     assert [tuple(x) for x in exact_topk(few, F.col("vec_id") % 50 == 0).collect()] == [(0, 1, 3, 131072)]
