@@ -298,10 +298,11 @@ def hard_negatives(rows: DataFrame, is_anchor: Column, positives: int = 5, negat
     asked = anchors.join(lists_, "anchor_id").select("*", F.transform("p", lambda p: p["positive_id"]).alias("positives"), F.transform("p", lambda p: p["score"]).alias("scores")).drop("p")
     asked = checkpointed(asked)
 
-    sizes = table.agg(spread(F.count("*"), LEAST_BLOCK, BLOCK).alias("blocks"), spread(F.count_if("anchor"), PORTION, PORTION).alias("portions"))
-    sizes = F.broadcast(checkpointed(sizes))
-    x = table.crossJoin(sizes).select(block, numbers("portions", "portion"), "vec_id", "label", *packed_row)
-    y = asked.crossJoin(sizes).select(portion, numbers("blocks", "block"), "anchor_id", "label", "positives", "scores", *packed_row)
+    sizes = table.agg(spread(F.count("*"), LEAST_BLOCK, BLOCK).alias("blocks"), spread(F.count_if("anchor"), PORTION, PORTION).alias("portions")).first()
+    everywhere = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    block, portion = (F.pmod("number", F.lit(n)).cast("int").alias(x) for n, x in ((sizes["blocks"], "block"), (sizes["portions"], "portion")))
+    x = table.select(block, everywhere(sizes["portions"], "portion"), "vec_id", "label", *packed_row)
+    y = asked.select(portion, everywhere(sizes["blocks"], "block"), "anchor_id", "label", "positives", "scores", *packed_row)
     tile = "anchor_id bigint, place int, positive_id bigint, positive_score bigint, negative_id bigint, negative_score bigint"
     found = x.groupBy("block", "portion").cogroup(y.groupBy("block", "portion")).applyInArrow(_negatives(negatives, low, high), tile)
     rank = F.row_number().over(Window.partitionBy("anchor_id", "place").orderBy(F.desc("negative_score"), "negative_id"))
