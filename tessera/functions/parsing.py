@@ -72,25 +72,42 @@ def family_edges(records: DataFrame) -> tuple[DataFrame, DataFrame]:
     return records.select(me.alias("name")).union(edges.select("src")).distinct(), edges
 
 
+def _renamed(tree):
+    """tree with its variables and arguments named by their order of appearance."""
+    import ast
+
+    names: dict[str, str] = {}
+    left = [tree]
+    while left:
+        node = left.pop()
+        if isinstance(node, ast.Name):
+            node.id = names.setdefault(node.id, f"var_{len(names) + 1}")
+        elif isinstance(node, ast.arg):
+            node.arg = names.setdefault(node.arg, f"var_{len(names) + 1}")
+            continue
+        left += reversed(list(ast.iter_child_nodes(node)))
+    return tree
+
+
 def _functions(path: str, code: str) -> list[tuple]:
+    """Each function's own source gives its text and tree, so a nested one is whole in both."""
     import ast
-    import io
     import textwrap
-    import tokenize
 
     try:
-        tree = ast.parse(code)
-    except (SyntaxError, ValueError):
+        tree, lines = ast.parse(code), code.split("\n")
+        spans = [(n.name, n.lineno, n.end_lineno) for n in ast.walk(tree) if isinstance(n, ast.FunctionDef | ast.AsyncFunctionDef)]
+    except (SyntaxError, ValueError, RecursionError):
         return []
     out = []
-    for node in ast.walk(tree):
-        if isinstance(node, ast.FunctionDef | ast.AsyncFunctionDef):
-            raw = textwrap.dedent("\n".join(code.split("\n")[node.lineno - 1 : node.end_lineno]))
-            try:
-                tokens = [t.string for t in tokenize.generate_tokens(io.StringIO(raw).readline) if t.type not in (tokenize.COMMENT, tokenize.NL, tokenize.NEWLINE, tokenize.INDENT, tokenize.DEDENT, tokenize.ENDMARKER)]
-            except (tokenize.TokenError, IndentationError):
-                tokens = raw.split()
-            out.append((path, node.name, node.lineno, " ".join(tokens), ast.dump(node, annotate_fields=False), raw))
+    for name, begin, end in spans:
+        raw = textwrap.dedent("\n".join(lines[begin - 1 : end]))
+        try:
+            whole = _renamed(ast.parse(raw))
+            text, dump = ast.unparse(whole), ast.dump(whole.body[0], annotate_fields=False)
+        except (SyntaxError, ValueError, RecursionError):
+            text, dump = raw.strip(), ""
+        out.append((path, name, begin, text, dump, raw))
     return out
 
 
@@ -130,7 +147,8 @@ def _each(rows: DataFrame, function, schema: str) -> DataFrame:
 
 
 def code_functions(sources: DataFrame) -> DataFrame:
-    """path, name, start_line, text (tokens without comments), ast, raw of each function."""
+    """path, name, start_line, text and ast (without comments, variables named by their order),
+    raw of each function.  A source that does not parse has none."""
     return _each(sources, _functions, "path string, name string, start_line int, text string, ast string, raw string")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .joins import jaccard_pairs
+from .similar import jaccard_pairs
 from .storage import checkpointed
 from .vectors import dot
 

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import parsing as P
 from ..functions import rules as R
 from ..operators import joins as J
+from ..operators import similar as M
 from ..operators.storage import small_side
 from .base import query, table
 
@@ -81,7 +83,45 @@ def shingled(documents):
     WHERE len(list_intersect(x.t, y.t))::DOUBLE / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.8 - 1e-12
   UNION ALL SELECT f.first, s.id, 1.0 FROM s JOIN f USING (t) WHERE s.id <> f.first""")
 def c6(spark, sf):
-    return J.jaccard_pairs(shingled(table(spark, sf, "documents")), F.col("t"), 0.8).withColumn("jaccard", F.round("jaccard", 6))
+    return M.jaccard_pairs(shingled(table(spark, sf, "documents").repartition("doc_id")), F.col("t"), 0.8).withColumn("jaccard", F.round("jaccard", 6))
+
+
+def sources(spark, sf):
+    """path, code: a source for each item of the benchmark, with a function for each sentence
+    of its text.  Every four words are a statement; the length of the first decides which."""
+    w = lambda k: F.coalesce(F.get("words", F.col("i") * 4 + k), F.lit("x"))
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
+    kind = F.char_length(w(0)) % 4
+    statement = (
+        F.when(kind == 0, say("    a.", w(0), "_ = b.", w(1), "_(", w(2), "_, '", w(3), "')"))
+        .when(kind == 1, say("    if ", w(0), "_.", w(1), "_ > len(", w(2), "_):\n        return '", w(3), "'"))
+        .when(kind == 2, say("    for ", w(0), "_ in a.", w(1), "_:\n        b.", w(2), "_('", w(3), "')"))
+        .otherwise(say("    ", w(0), "_ = ", w(1), "_ + a.", w(2), "_(", w(3), "_)"))
+    )
+    t = table(spark, sf, "benchmark").select("item_id", F.posexplode(F.split("text", "[.\n]")).alias("line", "text"))
+    t = t.select("item_id", "line", F.regexp_extract_all("text", F.lit(r"(\p{L}+)")).alias("words")).filter("size(words) > 0")
+    t = t.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.size("words") - 1) / 4).cast("int"))).alias("i")).select("item_id", "line", "i", statement.alias("s"))
+    joined = lambda order, x: F.array_join(F.transform(F.sort_array(F.collect_list(F.struct(order, x))), lambda r: r[x]), "\n")
+    f = t.groupBy("item_id", "line").agg(joined("i", "s").alias("body"))
+    f = f.select("item_id", "line", F.format_string("def f%d(a, b):\n%s\n    return b\n", "line", "body").alias("f"))
+    return f.groupBy("item_id").agg(joined("line", "f").alias("code")).select(F.col("item_id").cast("string").alias("path"), "code")
+
+
+def functions_of(spark, sf):
+    return P.code_functions(sources(spark, sf)).select(F.concat_ws("::", "path", "name", "start_line").alias("key"), "text", "ast")
+
+
+@query("c6_code_similarity")
+def c6_code(spark, sf):
+    """Pairs of different functions, and each copy with the first of its class."""
+    functions = functions_of(spark, sf)
+    classes = M.code_classes(functions)
+    return M.code_class_pairs(classes).select("a", "b", *(F.round(c, 6).alias(c) for c in ("text_ratio", "ast_ratio", "similarity")))
+
+
+@query("d13_code_repetition")
+def d13_code(spark, sf):
+    return M.code_repetition(functions_of(spark, sf))
 
 
 def _spans_sql(pattern):
