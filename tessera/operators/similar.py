@@ -67,15 +67,46 @@ def meeting(rows: DataFrame, least_common: Callable[[Column], Column], *sizes: s
     return x.join(y, near).select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct()
 
 
-def jaccard_pairs(rows: DataFrame, shingles: Column, least: float) -> DataFrame:
-    """a, b, jaccard: pairs of rows (column id) with a Jaccard similarity of least or more
-    over their shingle sets, exact.
-
-    Shingles are known by 64 bits of hash and sets by 128.  Equal sets are unified and come
-    back as pairs of their smallest row with each other one, so that a group of copies gives
-    rows in proportion to its size and is gathered nowhere.  Rows without shingles take no part."""
-    hashed = F.array_sort(F.array_distinct(F.transform(shingles, lambda s: F.xxhash64(s))))
-    sets = rows.select("id", hashed.alias("tokens")).filter(F.size("tokens") > 0)
+def shingle_sets(rows: DataFrame, width: int = 5) -> DataFrame:
+    """id, tokens (64-bit hashes, each once, ascending) of rows (id, text): the runs of width words
+    [a-z0-9]+ of the lower-cased text.  A text of fewer words, or null, has none."""
+    import re
+
+    import pyarrow as pa
+    import xxhash
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        return x ^ (x >> np.uint64(32))
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for batch in batches:
+            sets = []
+            for text in batch.column("text").to_pylist():
+                words = re.findall("[a-z0-9]+", (text or "").lower())
+                known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) if w not in known)
+                w = np.array([known[w] for w in words], dtype=np.uint64)
+                h = w[: max(0, len(w) - width + 1)]
+                for k in range(1, width):
+                    h = mixed(h * np.uint64(0x9E3779B97F4A7C15) + w[k : k + len(h)])
+                sets.append(np.unique(h).view(np.int64))
+                if len(known) > 1 << 20:
+                    known.clear()
+            offsets = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.int64), *sets])))], ["id", "tokens"])
+
+    return rows.select("id", "text").mapInArrow(scan, f"id {rows.schema['id'].dataType.simpleString()}, tokens array<bigint>")
+
+
+def jaccard_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """a, b, jaccard: pairs of rows (id, tokens: array<bigint>, each once and ascending) with a
+    Jaccard similarity of least or more, exact.
+
+    Sets are known by 128 bits of hash.  Equal sets are unified and come back as pairs of
+    their smallest row with each other one, so that a group of copies gives rows in
+    proportion to its size and is gathered nowhere.  Empty sets take no part."""
+    sets = rows.filter(F.size("tokens") > 0)
     sets = checkpointed(sets.select("id", "tokens", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(7), "tokens").alias("h2")))
     firsts = sets.groupBy("h1", "h2").agg(F.min("id").alias("key"), F.count("*").alias("copies"))
     named = sets.join(firsts, ["h1", "h2"])

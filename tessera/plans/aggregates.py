@@ -103,7 +103,7 @@ def d12(spark, sf):
   round(100.0 * ((SELECT coalesce(n, 0) FROM p) + (SELECT CAST(coalesce(sum(m * (m - 1) // 2), 0) AS BIGINT) FROM g)) / ((SELECT count(*) FROM s) * ((SELECT count(*) FROM s) - 1) // 2), 2) AS percent""")
 def d13(spark, sf):
     """Similar pairs are counted from the classes of equal sets and their sizes."""
-    return A.similar_pair_ratio(shingled(table(spark, sf, "documents").repartition("doc_id")), F.col("t"), 0.8)
+    return A.similar_pair_ratio(shingled(spark, sf), 0.8)
 
 
 @query("d14_label_majority", r"""SELECT doc_id, CASE WHEN CAST(regexp_matches(text, '[#$%&*]{3}') AS INTEGER) + CAST(regexp_matches(text, '[A-Z]{4,}') AS INTEGER) + CAST(n_chars < 300 AS INTEGER) >= 2 THEN 'bad' ELSE 'good' END AS label FROM documents""")

@@ -66,16 +66,8 @@ WORDS = "list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda w: w
 _SETS = f"""w AS (SELECT doc_id AS id, {WORDS} AS w FROM documents), s AS (SELECT id, list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) AS t FROM w WHERE len(w) >= 5)"""
 
 
-def shingled(documents):
-    words = F.filter(F.split(F.lower("text"), "[^a-z0-9]+"), lambda w: w != "")
-    d = documents.select(F.col("doc_id").alias("id"), words.alias("w")).filter("size(w) >= 5")
-    # Joined shifts of the words' hashes: a lambda over w would let a pushed filter split the text anew for each shingle.
-    d = d.withColumn("w", F.transform("w", lambda x: F.xxhash64(x)))
-    count = F.greatest(F.size("w") - 4, F.lit(0))
-    t = F.slice(F.col("w"), F.lit(1), count)
-    for k in range(2, 6):
-        t = F.zip_with(t, F.slice(F.col("w"), F.lit(k), count), lambda a, b: F.xxhash64(a, b))
-    return d.withColumn("t", t)
+def shingled(spark, sf):
+    return M.shingle_sets(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 @query("c6_all_pairs_similarity", f"""WITH {_SETS}, f AS (SELECT t, min(id) AS first FROM s GROUP BY t)
@@ -83,7 +75,7 @@ def shingled(documents):
     WHERE len(list_intersect(x.t, y.t))::DOUBLE / (len(x.t) + len(y.t) - len(list_intersect(x.t, y.t))) >= 0.8 - 1e-12
   UNION ALL SELECT f.first, s.id, 1.0 FROM s JOIN f USING (t) WHERE s.id <> f.first""")
 def c6(spark, sf):
-    return M.jaccard_pairs(shingled(table(spark, sf, "documents").repartition("doc_id")), F.col("t"), 0.8).withColumn("jaccard", F.round("jaccard", 6))
+    return M.jaccard_pairs(shingled(spark, sf), 0.8).withColumn("jaccard", F.round("jaccard", 6))
 
 
 def sources(spark, sf):
