@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import vectors as V
+from .grams import dense, gram_sums, whole
 
-BLOCK = 8192
+BLOCK, PAIR_BLOCK, SAMPLE, CELLS, TRIED = 8192, 2048, 4096, 1024, 128
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -16,56 +19,64 @@ def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
-def _matrix(column, width: int):
+def _best_of_groups(s, groups):
+    """For each row of scores the columns of the best of each group, the first of equals.
+    groups: a number for each column."""
     import numpy as np
 
-    return np.array(column.to_pylist(), dtype=np.float64).reshape(-1, width)
+    order = np.argsort(groups, kind="stable")
+    starts = np.flatnonzero(np.diff(groups[order], prepend=groups[order[0]] - 1))
+    held = s[:, order]
+    top = np.repeat(np.maximum.reduceat(held, starts, axis=1), np.diff([*starts, len(order)]), axis=1)
+    return order[np.minimum.reduceat(np.where(held == top, np.arange(len(order))[None], len(order)), starts, axis=1)]
 
 
-def nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, group: str | None = None) -> DataFrame:
-    """query_id, vec_id, score, place: the n best rows for each query, by cosine or by
-    1 / (1 + distance); with group, of the best row of each group the n best, and the group.
-    Scores are rounded to nine places, ties go to the smaller vec_id; a zero or null vector
-    has no cosine.  rows: vec_id, embedding; queries: query_id, q.
+def _scores(kind: str, q, x, n: int, exact: bool):
+    """Cosines, or 1 / (1 + distance), of all rows of q with all of x.  Distances come from norms
+    and one product; those that may be among the n least are taken again from the
+    differences, which have no cancellation (exact: all of them are)."""
+    import numpy as np
 
-    Rows meet queries in blocks: each block of rows and portion of queries is one matrix
-    product, of which a query's n best (or the best of each group) go on."""
+    qq, xx = (q * q).sum(1), (x * x).sum(1)
+    product = q @ x.T
+    if kind == "cosine":
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return product / np.sqrt(qq[:, None] * xx[None])
+    square = np.maximum(qq[:, None] + xx[None] - 2 * product, 0)
+    slack = 1e-9 * (qq[:, None] + xx.max(initial=0))
+    near = np.ones(square.shape, bool) if exact or square.shape[1] <= n else square <= np.partition(square, n - 1, axis=1)[:, n - 1 : n] + 2 * slack
+    row, at = np.nonzero(near)
+    for begin in range(0, len(row), 1 << 16):
+        r, c = row[begin : begin + (1 << 16)], at[begin : begin + (1 << 16)]
+        square[r, c] = ((x[c] - q[r]) ** 2).sum(1)
+    return 1 / (1 + np.sqrt(square))
+
+
+def _meet(kind: str, n: int, width: int, group: bool):
+    """Arrow tables of rows (vec_id, embedding, grp) and of queries (query_id, q) to each
+    query's n best, or the best of each group."""
     import numpy as np
     import pyarrow as pa
 
-    held = rows.filter("embedding is not null").select("vec_id", "embedding", *([F.col(group).alias("grp")] if group else []))
-    asked = queries.filter("q is not null")
-    about = held.agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("width")).first()
-    blocks, portions, width = max(1, -(-about["n"] // BLOCK)), max(1, -(-asked.count() // BLOCK)), about["width"] or 0
-    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
-    part = lambda c, k, name: F.pmod(F.xxhash64(c), F.lit(k)).cast("int").alias(name)
     names = ["query_id", "vec_id", "score"] + (["grp"] if group else [])
+    one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
     def meet(a: pa.Table, b: pa.Table) -> pa.Table:
         kinds = [b.schema.field("query_id").type, a.schema.field("vec_id").type, pa.float64()] + ([a.schema.field("grp").type] if group else [])
         made = [pa.table([pa.array([], k) for k in kinds], names=names)]
         if a.num_rows and b.num_rows:
             a = a.sort_by("vec_id")
-            x = _matrix(a.column("embedding"), width)
-            size = np.sqrt((x * x).sum(1))
-            of = np.array(a.column("grp").dictionary_encode().combine_chunks().indices.fill_null(-1)) if group else None
+            held = one(a.column("embedding"))
+            x, lengths = dense(held, width), np.diff(held.offsets.to_numpy())
+            of = np.array(one(a.column("grp").dictionary_encode()).indices.fill_null(-1)) if group else None
             for begin in range(0, b.num_rows, 512):
                 some = b.slice(begin, 512)
-                q = _matrix(some.column("q"), width)
-                own = np.sqrt((q * q).sum(1))
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    if kind == "cosine":
-                        s = q @ x.T / (own[:, None] * size[None])
-                    else:
-                        s = np.stack([1 / (1 + np.sqrt(((x - v) ** 2).sum(1))) for v in q])
-                s = np.where(np.isnan(s), -np.inf, np.round(s, 9))
-                if group:
-                    chosen = [np.arange(len(x))[of == g] for g in np.unique(of)]
-                    picks = [np.stack([c[s[:, c].argmax(1)] for c in chosen], axis=1)]
-                else:
-                    picks = [np.argsort(-s, axis=1, kind="stable")[:, :n]]
-                at = picks[0]
-                row = np.repeat(np.arange(len(q)), at.shape[1])
+                asked = pa.concat_arrays([one(some.column("q"))])  # offsets from zero
+                s = _scores(kind, dense(asked, width), x, n, group)
+                own = np.diff(asked.offsets.to_numpy())
+                s = np.where(np.isnan(s) | (own[:, None] != lengths[None]) | (own == 0)[:, None], -np.inf, np.round(s, 9))
+                at = _best_of_groups(s, of) if group else np.argsort(-s, axis=1, kind="stable")[:, :n]
+                row = np.repeat(np.arange(len(s)), at.shape[1])
                 at = at.ravel()
                 fine = s[row, at] > -np.inf
                 row, at = row[fine], at[fine]
@@ -73,11 +84,38 @@ def nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, group: str |
                 made.append(pa.table(columns + ([a.column("grp").take(pa.array(at))] if group else []), names=names))
         return pa.concat_tables(made).combine_chunks()
 
+    return meet
+
+
+def _sides(rows: DataFrame, queries: DataFrame, group: str | None) -> tuple[DataFrame, DataFrame, int]:
+    """Rows and queries whose vectors are whole, and the greatest length of a row."""
+    held = rows.select("vec_id", whole(F.col("embedding")).alias("embedding"), *([F.col(group).alias("grp")] if group else [])).filter("embedding is not null")
+    asked = queries.select("query_id", whole(F.col("q")).alias("q")).filter("q is not null")
+    return held, asked, max(1, held.agg(F.max(F.size("embedding"))).first()[0] or 0)
+
+
+def nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, group: str | None = None) -> DataFrame:
+    """query_id, vec_id, score, place: the n best rows for each query, by cosine or by
+    1 / (1 + distance); with group, of the best row of each group the n best, and the group.
+    Scores are rounded to nine places, ties go to the smaller vec_id.  rows: vec_id, embedding;
+    queries: query_id, q.
+
+    Vectors that are null, empty or hold nulls or values that are not finite take no part; a
+    query meets rows of its own length only; a zero vector has no cosine.  An empty side
+    gives an empty result.
+
+    Rows meet queries in blocks: each block of rows and portion of queries is one matrix
+    product, of which a query's n best (or the best of each group) go on.  Exact, with all
+    rows compared with all queries; ``indexed_nearest`` reads a part of them."""
+    held, asked, width = _sides(rows, queries, group)
+    blocks, portions = max(1, -(-held.count() // BLOCK)), max(1, -(-asked.count() // BLOCK))
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    part = lambda c, k, name: F.pmod(F.xxhash64(c), F.lit(k)).cast("int").alias(name)
     kinds = dict(rows.dtypes)
     schema = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {kinds['vec_id']}, score double" + (f", grp {kinds[group]}" if group else "")
     left = held.select("*", part("vec_id", blocks, "block")).select("*", every(portions, "portion"))
-    right = asked.select("query_id", "q", part("query_id", portions, "portion")).select("*", every(blocks, "block"))
-    found = left.groupBy("block", "portion").cogroup(right.groupBy("block", "portion")).applyInArrow(meet, schema)
+    right = asked.filter(F.size("q") <= width).select("query_id", "q", part("query_id", portions, "portion")).select("*", every(blocks, "block"))
+    found = left.groupBy("block", "portion").cogroup(right.groupBy("block", "portion")).applyInArrow(_meet(kind, n, width, bool(group)), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     if group:
         best = Window.partitionBy("query_id", "grp").orderBy(F.desc("score"), "vec_id")
@@ -85,6 +123,90 @@ def nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, group: str |
     return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
 
 
+class Cells:
+    """An index by cells: centres fitted on a bounded sample, and how many cells a query has to
+    visit so that, within the sample, the given part of the true n nearest lies in them."""
+
+    def __init__(self, sample, count: int, unit: bool, n: int, recall: float) -> None:
+        import numpy as np
+
+        self.unit = unit
+        x = self.scaled(sample)
+        self.centres = x[np.linspace(0, len(x) - 1, min(count, len(x))).astype(int)]
+        for _ in range(6):
+            own = self.distances(x).argmin(1)
+            self.centres = np.stack([x[own == i].mean(0) if (own == i).any() else c for i, c in enumerate(self.centres)])
+        asked = x[:: max(1, len(x) // TRIED)]
+        order = np.argsort(((asked[:, None] - x[None]) ** 2).sum(2) if len(x) <= 256 else (asked * asked).sum(1)[:, None] + (x * x).sum(1)[None] - 2 * asked @ x.T, axis=1)[:, 1 : n + 1]
+        ranks = np.argsort(np.argsort(self.distances(asked), axis=1), axis=1)
+        own = self.distances(x).argmin(1)
+        found = ranks[np.arange(len(asked))[:, None], own[order]]
+        self.probes = int(np.quantile(found, recall, method="higher")) + 1 if found.size else len(self.centres)
+
+    def scaled(self, x):
+        import numpy as np
+
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return x / np.where(size > 0, size, 1) if self.unit else x
+
+    def distances(self, x):
+        c = self.centres
+        return (x * x).sum(1)[:, None] + (c * c).sum(1)[None] - 2 * x @ c.T
+
+    def visits(self, x):
+        """The cells nearest to each row of x, as many as a query visits."""
+        import numpy as np
+
+        return np.argsort(self.distances(self.scaled(x)), axis=1, kind="stable")[:, : self.probes]
+
+
+def indexed_nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, recall: float = 0.98) -> DataFrame:
+    """As ``nearest`` without groups, but a query reads the rows of its nearest cells only; what it
+    returns is scored exactly.
+
+    Cells are fitted on at most SAMPLE rows (those of least hash), CELLS of them at most, and
+    the number that a query visits is chosen there, so that ``recall`` of the sample's true
+    neighbours are found; true neighbours among all rows are nearer and so rather easier to find.
+    Rows go to their cell once; a crowded cell is split into blocks, and only a
+    cell that more than BLOCK queries visit is copied for each BLOCK of them."""
+    import numpy as np
+    import pyarrow as pa
+
+    spark = rows.sparkSession
+    held, asked, width = _sides(rows, queries, None)
+    sample = held.filter(F.size("embedding") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding")
+    if not len(sample):
+        return nearest(rows, queries, kind, n)
+    count = held.count()
+    index = spark.sparkContext.broadcast(Cells(dense(sample.combine_chunks(), width), max(4, min(CELLS, int(count**0.5))), kind == "cosine", n, recall))
+
+    def scan(vector: str, key: str, all_visits: bool):
+        def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for begin in range(0, batch.num_rows, 4096):
+                    some = batch.slice(begin, 4096)
+                    visits = index.value.visits(dense(pa.concat_arrays([some.column(vector)]), width))
+                    visits = visits if all_visits else visits[:, :1]
+                    row = pa.array(np.repeat(np.arange(some.num_rows), visits.shape[1]))
+                    yield pa.RecordBatch.from_arrays([some.column(key).take(row), some.column(vector).take(row), pa.array(visits.ravel().astype(np.int32))], [key, vector, "cell"])
+
+        return cells
+
+    ids = [f"{c} {dict(t.dtypes)[c]}" for c, t in (("vec_id", rows), ("query_id", queries))]
+    left = held.mapInArrow(scan("embedding", "vec_id", False), f"{ids[0]}, embedding array<double>, cell int")
+    right = asked.filter(F.size("q") <= width).mapInArrow(scan("q", "query_id", True), f"{ids[1]}, q array<double>, cell int")
+    parts = lambda df, name: df.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias(name))
+    sizes = F.broadcast(parts(left, "blocks").join(parts(right, "portions"), "cell"))  # a row for each cell
+    every = lambda k, name: F.explode(F.sequence(F.lit(0), F.col(k) - 1)).alias(name)
+    part = lambda c, k, name: F.pmod(F.xxhash64(c), F.col(k)).cast("int").alias(name)
+    left = left.join(sizes, "cell").select("cell", part("vec_id", "blocks", "block"), every("portions", "portion"), "vec_id", "embedding")
+    right = right.join(sizes, "cell").select("cell", part("query_id", "portions", "portion"), every("blocks", "block"), "query_id", "q")
+    keys = ["cell", "block", "portion"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_meet(kind, n, width, False), f"{ids[1]}, {ids[0]}, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return found.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
 def cosine_topk(rows: DataFrame, queries: DataFrame, n: int = 20) -> DataFrame:
     return nearest(rows, queries, "cosine", n)
 
@@ -94,23 +216,63 @@ def l2_topk(rows: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     return nearest(rows, queries, "l2", n)
 
 
-def pair_similarities(rows: DataFrame, group: str, most: int = 20_000, **vectors: Column) -> DataFrame:
-    """g, i, j and a cosine for each named vector, of all pairs of a group.  This is for
-    small groups only: it fails if one has more than most rows."""
-    largest = rows.groupBy(group).count().agg(F.max("count")).first()[0] or 0
-    if largest > most:
-        raise ValueError(f"a group has {largest} rows; all pairs are made of {most} at most")
-    held = rows.select(F.col(group).alias("g"), "vec_id", *(v.alias(k) for k, v in vectors.items()))
-    a, b = held.alias("a"), held.alias("b")
-    on = (F.col("a.g") == F.col("b.g")) & (F.col("a.vec_id") < F.col("b.vec_id"))
-    scores = [V.cosine(F.col(f"a.{k}"), F.col(f"b.{k}")).alias(k) for k in vectors]
-    return a.join(b, on).select(F.col("a.g").alias("g"), F.col("a.vec_id").alias("i"), F.col("b.vec_id").alias("j"), *scores)
+def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None) -> DataFrame:
+    """g, i, j, score: the cosine of all pairs i < j (vec_id) of rows of a group, or of those whose
+    cosine is floor or more.  Vectors that are null, not whole or zero take no part; shorter
+    ones count as filled up with zeros.  vec_id names a row.
+
+    The rows of a group are dealt to blocks, and each pair of blocks is one task's.  With
+    a floor, dimensions are split in parts: the product of the first ones plus that of the norms
+    of the rest bounds the cosine from above (Cauchy-Schwarz), so pairs drop out part by part."""
+    import numpy as np
+    import pyarrow as pa
+
+    held = rows.select(F.col(group).alias("g"), "vec_id", whole(F.col("embedding")).alias("v")).filter("v is not null and vec_id is not null and g is not null")
+    width = max(1, held.agg(F.max(F.size("v"))).first()[0] or 0)
+    counted = held.groupBy("g").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
+    dealt = held.join(counted, "g").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    left = dealt.select("g", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), "vec_id", "v")
+    right = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), "vec_id", "v").toDF("h", "x2", "y2", "id", "w")
+    step = max(8, -(-width // 4))
+
+    def unit(table: pa.Table, ids: str, vector: str) -> tuple[np.ndarray, pa.ChunkedArray]:
+        v = dense(table.column(vector).combine_chunks(), width)
+        size = np.sqrt((v * v).sum(1))
+        return v[size > 0] / size[size > 0][:, None], table.column(ids).filter(pa.array(size > 0))
 
+    def tile(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
+        out = [pa.table([pa.array([], f.type) for f in (a.schema.field("g"), a.schema.field("vec_id"), a.schema.field("vec_id"))] + [pa.array([], pa.float64())], names=["g", "i", "j", "score"])]
+        if a.num_rows and b.num_rows:
+            (u, one), (v, other) = unit(a, "vec_id", "v"), unit(b, "id", "w")
+            rest = [np.sqrt((v[:, at:] ** 2).sum(1)) for at in range(step, width, step)]
+            for begin in range(0, len(u), 256):
+                q = u[begin : begin + 256]
+                if floor is None:
+                    row, at = np.nonzero(np.ones((len(q), len(v)), bool))
+                    score = (q @ v.T).ravel()
+                else:
+                    score = q[:, :step] @ v[:, :step].T
+                    left_ = [np.sqrt((q[:, at:] ** 2).sum(1)) for at in range(step, width, step)]
+                    may = score + np.outer(left_[0], rest[0]) >= floor - 1e-9 if rest else score >= floor - 1e-9
+                    row, at = np.nonzero(may)
+                    score = score[row, at]
+                    for k, begins in enumerate(range(step, width, step)):
+                        score = score + (q[row, begins : begins + step] * v[at, begins : begins + step]).sum(1)
+                        bound = score + left_[k + 1][row] * rest[k + 1][at] if k + 1 < len(rest) else score
+                        fine = bound >= floor - 1e-9
+                        row, at, score = row[fine], at[fine], score[fine]
+                    fine = score >= floor - 1e-12
+                    row, at, score = row[fine], at[fine], score[fine]
+                i, j = one.take(pa.array(row + begin)).to_numpy(), other.take(pa.array(at)).to_numpy()
+                once = i != j if key[1].as_py() != key[2].as_py() else i < j
+                i, j, score = i[once], j[once], score[once]
+                kind = a.schema.field("vec_id").type
+                out.append(pa.table([pa.array([key[0].as_py()] * len(i), a.schema.field("g").type), pa.array(np.minimum(i, j), kind), pa.array(np.maximum(i, j), kind), pa.array(score)], names=["g", "i", "j", "score"]))
+        return pa.concat_tables(out).combine_chunks()
 
-def gram_sums(rows: DataFrame, a: Column, b: Column) -> DataFrame:
-    """i, j, x: the entries of A'B over paired rows; as many rows as dimensions squared."""
-    flat = rows.select(F.posexplode(a).alias("i", "x"), b.alias("b")).select("i", "x", F.posexplode("b").alias("j", "y"))
-    return flat.groupBy("i", "j").agg(F.sum(F.col("x").cast("double") * F.col("y").cast("double")).alias("x"))
+    kinds = dict(held.dtypes)
+    keys = ["g", "x", "y"]
+    return left.groupBy(*keys).cogroup(right.groupBy("h", "x2", "y2")).applyInArrow(tile, f"g {kinds['g']}, i {kinds['vec_id']}, j {kinds['vec_id']}, score double")
 
 
 def linear_map(rows: DataFrame, a: Column, b: Column) -> list[list[float]]:
@@ -118,14 +280,18 @@ def linear_map(rows: DataFrame, a: Column, b: Column) -> list[list[float]]:
     work is bounded by the dimensions."""
     import numpy as np
 
-    def matrix(df: DataFrame) -> np.ndarray:
-        entries = df.collect()
-        out = np.zeros((max(r.i for r in entries) + 1, max(r.j for r in entries) + 1))
-        for r in entries:
+    entries = gram_sums(rows, a, b).collect()
+    if not entries:
+        raise ValueError("no row holds both vectors")
+
+    def matrix(kind: str) -> np.ndarray:
+        own = [r for r in entries if r.kind == kind]
+        out = np.zeros((max(r.i for r in own) + 1, max(r.j for r in own) + 1))
+        for r in own:
             out[r.i, r.j] = r.x
         return out
 
-    return np.linalg.lstsq(matrix(gram_sums(rows, a, a)), matrix(gram_sums(rows, a, b)), rcond=None)[0].tolist()
+    return np.linalg.lstsq(matrix("aa"), matrix("ab"), rcond=None)[0].tolist()
 
 
 def apply_map(a: Column, m: list[list[float]]) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import grams as N
 from ..operators import joins as J
 from ..operators import scoring as S
 from ..operators import topk as K
@@ -27,6 +28,12 @@ def f1(spark, sf):
     return K.cosine_topk(table(spark, sf, "embeddings"), asked(spark, sf)).withColumn("score", F.round("score", 4) + F.lit(0.0))
 
 
+@query("f1_cosine_index")
+def f1_index(spark, sf):
+    """The same search through cells: nearly all of the same rows (the test measures how many)."""
+    return K.indexed_nearest(table(spark, sf, "embeddings"), asked(spark, sf), "cosine", 20).withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
 @query("f2_l2_topk_similarity", "SELECT query_id, vec_id, score, place, CASE WHEN score >= 0.75 THEN 'high' WHEN score >= 0.60 THEN 'medium' ELSE 'low' END AS band FROM (" + _nearest("1 / (1 + list_distance(e.embedding::DOUBLE[], q.embedding::DOUBLE[]))", 5) + ")")
 def f2(spark, sf):
     out = K.l2_topk(table(spark, sf, "embeddings"), asked(spark, sf)).withColumn("score", F.round("score", 4) + F.lit(0.0))
@@ -84,7 +91,12 @@ _PAIRS = "embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.v
 
 @query("f7_pairwise_cosine", f"SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS score FROM {_PAIRS}")
 def f7(spark, sf):
-    return K.pair_similarities(table(spark, sf, "embeddings"), "label", score=F.col("embedding")).withColumn("score", F.round("score", 4) + F.lit(0.0))
+    return K.cosine_pairs(table(spark, sf, "embeddings"), "label").withColumn("score", F.round("score", 4) + F.lit(0.0))
+
+
+@query("f7_cosine_above_floor", f"SELECT g, i, j, round(c, 4) AS score FROM (SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM {_PAIRS}) WHERE c >= 0.3")
+def f7_floor(spark, sf):
+    return K.cosine_pairs(table(spark, sf, "embeddings"), "label", 0.3).withColumn("score", F.round("score", 4))
 
 
 def spaces(spark, sf):
@@ -94,7 +106,7 @@ def spaces(spark, sf):
 
 def agreement(rows, one, two):
     """Correlation of the pair similarities of two spaces over the same rows."""
-    return K.pair_similarities(rows, "label", score=one, other=two).groupBy("g").agg(F.round(F.corr("score", "other"), 4).alias("agreement"))
+    return N.space_agreement(rows, "label", one, two).select("g", F.round("agreement", 4).alias("agreement"))
 
 
 @query("f8_space_agreement", f"""SELECT a.label AS g, round(corr(list_cosine_similarity(a.embedding[1:32]::DOUBLE[], b.embedding[1:32]::DOUBLE[]), list_cosine_similarity(a.embedding[33:64]::DOUBLE[], b.embedding[33:64]::DOUBLE[])), 4) AS agreement FROM {_PAIRS} GROUP BY 1""")
@@ -113,4 +125,4 @@ def f9(spark, sf):
 @query("f9_gram_entries", """WITH a AS (SELECT vec_id, unnest(embedding[1:32]) AS x, generate_subscripts(embedding[1:32], 1) - 1 AS i FROM embeddings), b AS (SELECT vec_id, unnest(embedding[33:64]) AS y, generate_subscripts(embedding[33:64], 1) - 1 AS j FROM embeddings)
   SELECT CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(sum(x::DOUBLE * y::DOUBLE), 4) + 0.0 AS x FROM a JOIN b USING (vec_id) GROUP BY 1, 2""")
 def f9_gram(spark, sf):
-    return K.gram_sums(spaces(spark, sf), F.col("front"), F.col("back")).withColumn("x", F.round("x", 4) + F.lit(0.0))
+    return N.gram_sums(spaces(spark, sf), F.col("front"), F.col("back")).filter("kind = 'ab'").select("i", "j", (F.round("x", 4) + F.lit(0.0)).alias("x"))
