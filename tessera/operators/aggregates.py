@@ -21,17 +21,33 @@ def ordinal_band(score: Column) -> Column:
     return F.when(mean >= 2.5, "high").when(mean >= 1.5, "medium").otherwise("low")
 
 
+def distinct_sketches(rows: DataFrame, by: str, what: str) -> DataFrame:
+    """by, sketch: a mergeable sketch of the distinct values of what (a few KB, whatever their
+    number is); the relative error of an estimate is about 1.04 / sqrt(2 ** 12)."""
+    return rows.groupBy(by).agg(F.hll_sketch_agg(what, F.lit(12)).alias("sketch"))
+
+
+def distinct_total(sketches: DataFrame, *by: str) -> DataFrame:
+    """by, distinct: about how many distinct values all sketches of a group hold together."""
+    return sketches.groupBy(*by).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("distinct"))
+
+
 def user_progress(orders: DataFrame) -> DataFrame:
-    """Per customer: gain over the previous orders, counts, highest and first value, their
-    ratio, and the newest five orders.  An order's from-value is the order before."""
+    """Per customer: gain over the previous orders, counts, total, highest and first value, the ratio
+    of these two, the newest five orders with what each gained, and the newest ten with
+    their values.  An order's from-value is the order before."""
     order = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     newest = Window.partitionBy("o_custkey").orderBy(F.desc("o_orderdate"), F.desc("o_orderkey"))
     o = orders.select("o_custkey", "o_orderkey", "o_orderdate", "o_totalprice", F.coalesce(F.lag("o_totalprice").over(order), "o_totalprice").alias("from_value"), F.row_number().over(newest).alias("place"))
     start = F.min_by("from_value", F.struct("o_orderdate", "o_orderkey"))
-    five = F.array_sort(F.collect_list(F.when(F.col("place") <= 5, F.struct("place", "o_orderkey"))))
+    gain = F.round(F.col("o_totalprice") - F.col("from_value"), 2).cast("decimal(18,2)")
+    ten = F.array_sort(F.collect_list(F.when(F.col("place") <= 10, F.struct("place", "o_orderkey", gain.alias("gain"), F.col("o_totalprice").cast("decimal(18,2)").alias("value")))))
+    named = lambda k, line: F.array_join(F.transform(F.slice(ten, 1, k), line), ",")
+    pair = lambda x, y: F.concat(x.cast("string"), F.lit(":"), y.cast("string"))
     return o.groupBy("o_custkey").agg(
         F.round(F.sum(F.col("o_totalprice") - F.col("from_value")), 2).alias("gained"), F.count("*").alias("items"), F.round(F.max("o_totalprice"), 2).alias("most"),
-        F.round(start, 2).alias("start_value"), F.round(F.max("o_totalprice") / start, 2).alias("multiplier"), F.array_join(F.transform(five, lambda x: x["o_orderkey"].cast("string")), ",").alias("last_five"))
+        F.round(start, 2).alias("start_value"), F.round(F.max("o_totalprice") / start, 2).alias("multiplier"), named(5, lambda x: x["o_orderkey"].cast("string")).alias("last_five"),
+        F.sum(F.col("o_totalprice").cast("decimal(18,2)")).cast("double").alias("total_value"), named(5, lambda x: pair(x["o_orderkey"], x["gain"])).alias("recent_trades"), named(10, lambda x: pair(x["o_orderkey"], x["value"])).alias("current_items"))
 
 
 def fitness(rows: DataFrame, length: int = 200, slope: float = 0.005) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .prefix import places
+
 
 def upsert(base: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
     """Rows of base replaced or joined by the latest of new, by key (new wins ties)."""
@@ -37,6 +39,17 @@ def latest_edges(actions: DataFrame, order: Column) -> DataFrame:
     return last.filter("action = 'add'").select("src", "dst")
 
 
+def follow_lists(edges: DataFrame, size: int = 10_000) -> DataFrame:
+    """user, part, following, followers: both sides of the edges (src follows dst), each a sorted
+    array, cut into parts of up to size entries, so that no user's followers are one row; a
+    side that has fewer parts than the other has an empty array."""
+    both = edges.select(F.col("src").alias("user"), F.lit(True).alias("_out"), F.col("dst").alias("other")).union(edges.select("dst", F.lit(False), "src")).distinct()
+    numbered = places(both, ["user", "_out"], ["other"])
+    parts = numbered.groupBy("user", ((F.col("place") - 1) / size).cast("int").alias("part"))
+    side = lambda out: F.sort_array(F.collect_list(F.when(F.col("_out") == out, F.col("other"))))
+    return parts.agg(side(True).alias("following"), side(False).alias("followers"))
+
+
 def skip_existing(wanted: DataFrame, made: DataFrame, key: str) -> DataFrame:
     return wanted.join(made.select(key), key, "left_anti")
 

@@ -7,31 +7,24 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def best_per_group(rows: DataFrame, group: str, score: str, tie: str, top: int) -> DataFrame:
-    """The best row of each group, then the best of these."""
-    best = rows.groupBy(group).agg(F.max_by(F.struct(*rows.columns), F.struct(F.col(score), -F.col(tie))).alias("r")).select("r.*")
-    return best.orderBy(F.desc(score), tie).limit(top)
-
-
-def centred_mean(rows: DataFrame, series: str, order: str, value: str, half: int) -> DataFrame:
-    """Adds smooth: the mean over half rows before and after, edges cut."""
-    w = Window.partitionBy(series).orderBy(order).rowsBetween(-half, half)
-    return rows.withColumn("smooth", F.avg(value).over(w))
+from .prefix import running
+from .storage import checkpointed
 
 
 def moving_average(rows: DataFrame, series: str, order: str, value: str, factor: float) -> DataFrame:
     """A centred mean whose half width is a share of the series: none or less leaves it, one
     or more gives its mean.  The width depends on each series' length, so the sums are
-    taken as differences of running sums at both edges."""
+    taken as differences of running sums at both edges; these run in two levels, so one long
+    series fills all tasks."""
     if factor <= 0:
         return rows.withColumn("smooth", F.col(value).cast("double"))
     whole = Window.partitionBy(series)
     if factor >= 1:
         return rows.withColumn("smooth", F.avg(value).over(whole))
-    n = rows.withColumn("_n", F.count("*").over(whole)).withColumn("_i", F.row_number().over(whole.orderBy(order)))
+    lengths = rows.groupBy(series).agg(F.count("*").alias("_n"))
+    sums = running(rows, [series], [order], {"_i": F.lit(1).cast("bigint"), "_s": F.col(value).cast("double")})
+    sums = checkpointed(sums.join(lengths, sums[series].eqNullSafe(lengths[series])).drop(lengths[series]))
     half = F.floor(F.col("_n") * factor)
-    sums = n.withColumn("_s", F.sum(value).over(whole.orderBy(order)))
     lo, hi = F.greatest(F.col("_i") - half, F.lit(1)), F.least(F.col("_i") + half, F.col("_n"))
     edges = sums.withColumns({"_lo": lo, "_hi": hi})
     at = sums.select(series, F.col("_i").alias("_at"), "_s")
@@ -57,7 +50,10 @@ def kalman_series(rows: DataFrame, series: str, order: str, value: str, q: float
     """series, order, smooth: the filtered series.  Rows are sorted within their series by
     Spark and pass as Arrow batches; two numbers are carried from one to the next, so a
     series may be longer than memory.  The gain does not depend on the values: after some
-    steps it is constant and the filter is a weighted sum, worked out for many rows at once."""
+    steps it is constant and the filter is a weighted sum, worked out for many rows at once.
+
+    A value that is null or not finite is no measurement: its row gets the last smooth value (0
+    before the first) and leaves the state as it is."""
     import numpy as np
     import pyarrow as pa
 
@@ -91,7 +87,7 @@ def kalman_series(rows: DataFrame, series: str, order: str, value: str, q: float
         state = (0.0, 1.0, 0)
         for batch in batches:
             names = batch.column(series).to_pylist()
-            z = batch.column(value).to_numpy(zero_copy_only=False)
+            z = batch.column(value).to_numpy(zero_copy_only=False).astype(np.float64)
             edges = [0, *(i for i in range(1, len(names)) if names[i] != names[i - 1]), len(names)]
             made = []
             for a, b in zip(edges, edges[1:], strict=False):
@@ -99,9 +95,10 @@ def kalman_series(rows: DataFrame, series: str, order: str, value: str, q: float
                     continue
                 if last is None or names[a] != last[0]:
                     state, last = (0.0, 1.0, 0), (names[a],)
-                out, *rest = smooth(z[a:b], *state)
+                held = np.isfinite(z[a:b])
+                out, *rest = smooth(z[a:b][held], *state)
+                made.append(np.concatenate([[state[0]], out])[np.cumsum(held)])
                 state = tuple(rest)
-                made.append(out)
             yield pa.RecordBatch.from_arrays([batch.column(series), batch.column(order), pa.array(np.concatenate(made) if made else z)], [series, order, "smooth"])
 
     chosen = rows.select(series, order, F.col(value).cast("double").alias(value)).repartition(series).sortWithinPartitions(series, order)
@@ -126,6 +123,22 @@ def lag_correlation(left: DataFrame, right: DataFrame, most: int | None = None)
     return sums.crossJoin(F.broadcast(best)).select("lag", "corr", (F.col("lag") == F.col("best")).alias("offset"))
 
 
+def first_gaps(done: DataFrame, key: str, number: str) -> DataFrame:
+    """key, gap: the least number from 1 that a key's rows (key, number) do not hold.  The distinct
+    numbers of a key are sorted; those that stand at their own place come before the gap."""
+    w = Window.partitionBy(key).orderBy(number)
+    held = done.select(key, number).filter(F.col(number) >= 1).distinct().withColumn("_at", F.row_number().over(w))
+    return held.groupBy(key).agg((F.count_if(F.col(number) == F.col("_at")) + 1).alias("gap"))
+
+
+def remaining(done: DataFrame, keys: DataFrame, key: str, number: str, most: int) -> DataFrame:
+    """key, number: of the numbers 1 to most those that a key's rows do not hold, for each row
+    of keys.  The held numbers of a key are one set of at most most entries."""
+    held = done.filter(F.col(number).between(1, most)).groupBy(key).agg(F.collect_set(F.col(number).cast("int")).alias("_held"))
+    all_ = F.sequence(F.lit(1), F.lit(most))
+    return keys.select(key).distinct().join(held, key, "left").select(key, F.explode(F.array_except(all_, F.coalesce("_held", F.array().cast("array<int>")))).alias(number))
+
+
 def streaks(rows: DataFrame, keys: list[str], order: list[str], grade: str) -> DataFrame:
     """Adds right (grades of 4 or more in a row, up to this row) and wrong (grades below 3
     in a row)."""

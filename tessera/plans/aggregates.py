@@ -48,6 +48,20 @@ def d4(spark, sf):
     return s.agg(F.count("*").alias("sessions"), F.count_distinct("user_id").alias("students"), F.sum("n").alias("events"), F.round(F.avg("seconds"), 3).alias("mean_seconds"), F.round(F.avg(F.when(F.col("tried") == 0, 0.0).otherwise(F.col("good") / F.col("tried"))), 6).alias("mean_accuracy"))
 
 
+@query("d4_distinct_sketches", "SELECT day FROM (SELECT DISTINCT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day FROM events)")
+def d4_sketches(spark, sf):
+    """The days, each with a sketch of its students that later days can be added to."""
+    s = A.distinct_sketches(table(spark, sf, "events").withColumn("day", F.date_format("ts", "yyyy-MM-dd")), "day", "user_id")
+    return s.filter(F.hll_sketch_estimate("sketch") > 0).select("day")
+
+
+@query("d4_distinct_total")
+def d4_total(spark, sf):
+    """How many students there are in all, from the sketches of the days alone."""
+    s = A.distinct_sketches(table(spark, sf, "events").withColumn("day", F.to_date("ts")), "day", "user_id")
+    return A.distinct_total(s)
+
+
 @query("d5_dir_stats", """SELECT coalesce(source, 'TOTAL') AS ext, count(*) AS files, count(*) FILTER (lang IN ('en', 'de')) AS supported, CAST(coalesce(sum(n_chars) FILTER (lang IN ('en', 'de')), 0) AS BIGINT) AS bytes FROM documents GROUP BY ROLLUP (source)""")
 def d5(spark, sf):
     ok = F.col("lang").isin("en", "de")
@@ -61,7 +75,9 @@ def d6(spark, sf):
 
 @query("d7_user_progress", """WITH o AS (SELECT *, coalesce(lag(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), o_totalprice) AS from_value FROM orders)
   SELECT o_custkey, round(sum(o_totalprice - from_value), 2) AS gained, count(*) AS items, round(max(o_totalprice), 2) AS most, round(arg_min(from_value, (o_orderdate, o_orderkey)), 2) AS start_value,
-  round(max(o_totalprice) / arg_min(from_value, (o_orderdate, o_orderkey)), 2) AS multiplier, array_to_string(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC)[1:5], ',') AS last_five FROM o GROUP BY 1""")
+  round(max(o_totalprice) / arg_min(from_value, (o_orderdate, o_orderkey)), 2) AS multiplier, array_to_string(list(o_orderkey ORDER BY o_orderdate DESC, o_orderkey DESC)[1:5], ',') AS last_five,
+  CAST(sum(o_totalprice::DECIMAL(18,2)) AS DOUBLE) AS total_value, array_to_string(list(o_orderkey || ':' || round(o_totalprice - from_value, 2)::DECIMAL(18,2) ORDER BY o_orderdate DESC, o_orderkey DESC)[1:5], ',') AS recent_trades,
+  array_to_string(list(o_orderkey || ':' || o_totalprice::DECIMAL(18,2) ORDER BY o_orderdate DESC, o_orderkey DESC)[1:10], ',') AS current_items FROM o GROUP BY 1""")
 def d7(spark, sf):
     return A.user_progress(table(spark, sf, "orders"))
 

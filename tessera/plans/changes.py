@@ -46,11 +46,23 @@ def g4(spark, sf):
 
 @query("g5_edge_add_remove", """SELECT src, dst FROM (SELECT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS dst, arg_max(event_type, (ts, event_id)) AS a FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2) WHERE a = 'click'""")
 def g5(spark, sf):
+    return follows(spark, sf)
+
+
+def follows(spark, sf):
     e = table(spark, sf, "events").filter("event_type in ('click', 'error')")
     actions = e.select(F.col("user_id").alias("src"), (F.get_json_object("props", "$.k").cast("bigint") % 10).alias("dst"), F.when(F.col("event_type") == "click", "add").otherwise("remove").alias("action"), "ts", "event_id")
     return C.latest_edges(actions, F.struct("ts", "event_id"))
 
 
+@query("g5_follow_lists", """WITH e AS (SELECT src, dst FROM (SELECT user_id AS src, CAST(json_extract_string(props, '$.k') AS BIGINT) % 10 AS dst, arg_max(event_type, (ts, event_id)) AS a FROM events WHERE event_type IN ('click', 'error') GROUP BY 1, 2) WHERE a = 'click'), u AS (SELECT src AS u FROM e UNION SELECT dst FROM e)
+  SELECT u AS user, 0 AS part, coalesce((SELECT string_agg(dst::VARCHAR, ',' ORDER BY dst) FROM e WHERE src = u), '') AS following, coalesce((SELECT string_agg(src::VARCHAR, ',' ORDER BY src) FROM e WHERE dst = u), '') AS followers FROM u""")
+def g5_lists(spark, sf):
+    """Both sides of every user; no list here is longer than one part."""
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    return C.follow_lists(follows(spark, sf)).select("user", "part", joined("following"), joined("followers"))
+
+
 @query("g6_resume_skip_existing", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
 def g6(spark, sf):
     return C.skip_existing(table(spark, sf, "documents").select("doc_id"), table(spark, sf, "labels"), "doc_id")

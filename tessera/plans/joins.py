@@ -8,7 +8,10 @@ from ..functions import parsing as P
 from ..functions import rules as R
 from ..operators import joins as J
 from ..operators import similar as M
-from ..operators.storage import small_side
+from ..operators import terms as T
+from ..operators import windows as W
+from ..operators.prefix import places
+from ..operators.storage import checkpointed
 from .base import query, table
 
 
@@ -140,15 +143,9 @@ def c7(spark, sf):
   SELECT doc_id, item_id, CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(term) AS BIGINT) AS start,
     substr(text, greatest(1, CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(term) AS BIGINT) - 29), length(term) + 30 + least(30, CAST(list_sum(list_transform(parts[1:k], lambda p: length(p))) + (k - 1) * length(term) AS BIGINT))) AS context FROM o""")
 def c8(spark, sf):
-    """Each place of each term: offsets from the lengths of the parts between them."""
+    """Each place of each term, the first two words of an item, with 30 characters around it."""
     terms = table(spark, sf, "benchmark").select("item_id", F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
-    hit = table(spark, sf, "documents").select("doc_id", "text").join(small_side(terms, 10_000), F.contains(F.col("text"), F.col("term")))
-    quoted = F.concat(F.lit("\\Q"), F.col("term"), F.lit("\\E"))
-    o = hit.withColumn("parts", F.split("text", quoted)).select("*", F.explode(F.sequence(F.lit(1), F.size("parts") - 1)).alias("k"))
-    start = F.aggregate(F.slice("parts", F.lit(1), F.col("k")), F.lit(0), lambda a, p: a + F.char_length(p)) + (F.col("k") - 1) * F.char_length("term")
-    o = o.withColumn("start", start.cast("bigint"))
-    context = F.substring(F.col("text"), F.greatest(F.lit(1), F.col("start") - 29).cast("int"), (F.char_length("term") + 30 + F.least(F.lit(30), F.col("start"))).cast("int"))
-    return o.select("doc_id", "item_id", "start", context.alias("context"))
+    return T.term_occurrences(table(spark, sf, "documents"), terms, "doc_id", "item_id")
 
 
 PATTERNS = ["th[a-z]+", "[A-Z][a-z]+ [a-z]+", "ion", "e[a-z]*s", "(un|der) [a-z]+"]
@@ -176,12 +173,15 @@ def c10(spark, sf):
 @query("c11_next_unmastered", """WITH t AS (SELECT DISTINCT p_type AS topic FROM part), g AS (SELECT c_custkey, topic FROM customer, t), d AS (SELECT DISTINCT o_custkey, p_type FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE l_quantity > 40)
   SELECT c_custkey, min(topic) AS topic FROM g LEFT JOIN d ON o_custkey = c_custkey AND p_type = topic WHERE p_type IS NULL GROUP BY 1""")
 def c11(spark, sf):
-    """Topics are the few part types; a topic is mastered by a large order of that type."""
+    """A topic is mastered by a large order of its type; topics have numbers in their order, and
+    the next one is the first number that a customer lacks."""
     t = lambda n: table(spark, sf, n)
-    topics = t("part").select(F.col("p_type").alias("topic")).distinct()
-    done = t("orders").join(t("lineitem").filter("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey")).join(t("part"), F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("c_custkey"), F.col("p_type").alias("topic")).distinct()
-    grid = t("customer").select("c_custkey").crossJoin(small_side(topics, 10_000))
-    return grid.join(done, ["c_custkey", "topic"], "left_anti").groupBy("c_custkey").agg(F.min("topic").alias("topic"))
+    topics = checkpointed(places(t("part").select(F.col("p_type").alias("topic")).distinct(), [], ["topic"], "number"))
+    parts = t("part").join(topics, F.col("p_type") == F.col("topic")).select("p_partkey", "number")
+    done = t("orders").join(t("lineitem").filter("l_quantity > 40"), F.col("o_orderkey") == F.col("l_orderkey")).join(parts, F.col("p_partkey") == F.col("l_partkey")).select(F.col("o_custkey").alias("c_custkey"), "number")
+    gaps = W.first_gaps(done, "c_custkey", "number")
+    wanted = t("customer").select("c_custkey").join(gaps, "c_custkey", "left").select("c_custkey", F.coalesce("gap", F.lit(1).cast("bigint")).alias("number"))
+    return wanted.join(topics, "number").select("c_custkey", "topic")
 
 
 @query("c12_term_lookup_table_refs", r"""SELECT doc_id, regexp_extract(code, 'spark\.table\("([a-z0-9_.]+)"\)', 1) AS name, CASE WHEN snap IS NULL THEN code ELSE replace(code, 'spark.table("' || regexp_extract(code, 'spark\.table\("([a-z0-9_.]+)"\)', 1) || '")', 'spark.read.parquet("' || snap || '")') END AS code
