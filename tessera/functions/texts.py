@@ -159,6 +159,45 @@ def digest(rows: DataFrame, cap: int) -> DataFrame:
     return text.select("id", F.concat(F.lit("ITEMS: "), F.col("n").cast("string"), F.lit("\n"), "body", more).alias("digest"))
 
 
+#: Sections of a board: type of item, heading, how many are shown, what the rest is called (fixed values).
+SECTIONS = [("shape", "SHAPES:", 50, "shapes"), ("sticky_note", "STICKY NOTES:", 50, "notes"), ("connector", "CONNECTIONS:", 30, "connections"), ("frame", "FRAMES (Logical Groups):", 20, "frames")]
+
+
+def board_digest(items: DataFrame) -> DataFrame:
+    """board, digest: a heading with the board's counts and a section for each type of item it holds,
+    each with its own limit and a "more" line.  items: board, name, id, pos, type, content, shape, title,
+    start, end.  Items without content are counted and numbered but not shown, and so are
+    connections of which an end is no item of the board; ends are cut to 30 characters."""
+    from pyspark.sql import Window
+
+    counts = items.groupBy("board").agg(F.max("name").alias("name"), F.count("*").alias("n"), *(F.count_if(F.col("type") == t).alias(t) for t, *_ in SECTIONS))
+    cap = F.lit(0)
+    for kind, _, most, _ in SECTIONS:
+        cap = F.when(F.col("type") == kind, most).otherwise(cap)
+    order = Window.partitionBy("board", "type").orderBy("pos", "id")
+    first = items.filter(F.col("type").isin([t for t, *_ in SECTIONS])).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= max(c for _, _, c, _ in SECTIONS)).filter(F.col("place") <= cap)
+    ends = items.select("board", F.col("id").alias("_id"), F.substring(F.coalesce("content", F.lit("Unknown")), 1, 30).alias("text"))
+    joined = first.filter("type = 'connector'")
+    for side in ("start", "end"):
+        named = ends.select(F.col("board").alias("_board"), F.col("_id").alias("_end"), F.col("text").alias(f"{side}_text"))
+        joined = joined.join(named, (F.col("board") == F.col("_board")) & (F.col(side) == F.col("_end"))).drop("_board", "_end")
+    number = F.concat(F.col("place").cast("string"), F.lit(". "))
+    content = F.nullif(F.btrim("content"), F.lit(""))
+    line = F.when(F.col("type") == "shape", F.concat(number, F.lit("["), F.coalesce("shape", F.lit("rectangle")), F.lit("] "), content)).when(F.col("type") == "frame", F.concat(number, F.coalesce("title", F.lit("Untitled Frame")))).otherwise(F.concat(number, content))
+    lines = first.filter("type <> 'connector'").select("board", "type", "place", line.alias("line"))
+    lines = lines.unionByName(joined.select("board", "type", "place", F.concat(number, F.lit("'"), "start_text", F.lit("' --> '"), "end_text", F.lit("'")).alias("line"))).filter("line is not null")
+    shown = lines.groupBy("board").agg(*(F.array_sort(F.collect_list(F.when(F.col("type") == t, F.struct("place", "line")))).alias(f"_{t}") for t, *_ in SECTIONS))
+    whole = counts.join(shown, "board", "left")
+    cat = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    header = cat("BOARD INFORMATION:\n- Name: ", F.coalesce("name", F.lit("Untitled")), "\n- Total Items: ", F.col("n"), "\n- Shapes: ", F.col("shape"), "\n- Sticky Notes: ", F.col("sticky_note"), "\n- Connectors: ", F.col("connector"), "\n- Frames: ", F.col("frame"), "\n")
+    parts = [header]
+    for kind, heading, most, rest in SECTIONS:
+        body = F.array_join(F.transform(F.coalesce(f"_{kind}", F.array().cast("array<struct<place:int,line:string>>")), lambda x: F.concat(F.lit("\n"), x["line"])), "")
+        more = F.when(F.col(kind) > most, cat("\n... and ", F.col(kind) - most, f" more {rest}")).otherwise("")
+        parts.append(F.when(F.col(kind) > 0, cat("\n", heading, body, more, "" if kind == "frame" else "\n")).otherwise(""))
+    return whole.select("board", F.concat(*parts).alias("digest"))
+
+
 def bigram_perplexity(rows: DataFrame, corpus: DataFrame) -> DataFrame:
     """id, perplexity of each text (id, text) under add-one bigram counts of a corpus (text)."""
 

@@ -105,22 +105,56 @@ def kalman_series(rows: DataFrame, series: str, order: str, value: str, q: float
     return chosen.mapInArrow(scan, f"{series} {kinds[series]}, {order} {kinds[order]}, smooth double")
 
 
-def lag_correlation(left: DataFrame, right: DataFrame, most: int | None = None) -> DataFrame:
+def lag_correlation(left: DataFrame, right: DataFrame, most: int | None = None, block: int = 1 << 15) -> DataFrame:
     """lag, corr, offset: sums of products of two mean-free series (t long, v) at each lag at
     which they meet (of up to most steps, if given), and whether the lag is the offset, the
-    one with the greatest sum (ties: the least).  Both series are sums per step, so their
-    lengths are those of the time span, not of the events."""
-    a = left.crossJoin(F.broadcast(left.agg(F.avg("v").alias("m")))).select("t", (F.col("v") - F.col("m")).alias("a"))
-    b = right.crossJoin(F.broadcast(right.agg(F.avg("v").alias("m")))).select(F.col("t").alias("u"), (F.col("v") - F.col("m")).alias("b"))
-    if most is None:
-        span = b.agg(F.min("u").alias("from"), F.max("u").alias("to"))
-        lags = F.sequence(F.col("t") - F.col("to"), F.col("t") - F.col("from"))
-        shifted = a.crossJoin(F.broadcast(span)).filter("`from` is not null").select("t", "a", F.explode(lags).alias("lag"))
-    else:
-        shifted = a.withColumn("lag", F.explode(F.sequence(F.lit(-most).cast("bigint"), F.lit(most).cast("bigint"))))
-    sums = shifted.withColumn("u", F.col("t") - F.col("lag")).join(b, "u").groupBy("lag").agg(F.sum(F.col("a") * F.col("b")).alias("corr"))
-    best = sums.agg(F.max_by("lag", F.struct("corr", -F.col("lag"))).alias("best"))
-    return sums.crossJoin(F.broadcast(best)).select("lag", "corr", (F.col("lag") == F.col("best")).alias("offset"))
+    one with the greatest sum (ties, to six places: the least).  Rows without a value or a
+    time take no part; an empty series gives an empty result.
+
+    Both series are cut into blocks of steps.  A pair of blocks gives all of its lags by
+    one Fourier transform, in block x log(block) work instead of the square, and a second one
+    counts the steps that meet; what the pairs give is added by lag."""
+    import numpy as np
+    import pyarrow as pa
+
+    a, b = (s.filter("t is not null and v is not null").select(F.col("t").cast("bigint").alias("t"), F.col("v").cast("double").alias("v")) for s in (left, right))
+    a, b = (s.join(F.broadcast(s.agg(F.avg("v").alias("m")))).select("t", (F.col("v") - F.col("m")).alias("v"), F.expr(f"bigint(floor(t / {block}))").alias("own")) for s in (a, b))
+    ends = [tuple(s.agg(F.min("own"), F.max("own")).first()) for s in (a, b)]
+    if None in (ends[0][0], ends[1][0]):
+        return left.sparkSession.createDataFrame([], "lag bigint, corr double, offset boolean")
+    reach = None if most is None else most // block + 1
+
+    def dealt(s: DataFrame, other: tuple, names: tuple[str, str], t: str, v: str) -> DataFrame:
+        low, high = (F.lit(x).cast("bigint") for x in other)
+        if reach is not None:
+            low, high = F.greatest(low, F.col("own") - reach), F.least(high, F.col("own") + reach)
+        met = F.explode(F.when(low <= high, F.sequence(low, high))).alias(names[1])
+        return s.select(F.col("own").alias(names[0]), met, F.col("t").alias(t), F.col("v").alias(v))
+
+    x, y = dealt(a, ends[1], ("i", "j"), "t", "v"), dealt(b, ends[0], ("j2", "i2"), "u", "w")
+
+    def tile(key: tuple, one: pa.Table, other: pa.Table) -> pa.Table:
+        names = ["lag", "corr", "met"]
+        if not one.num_rows or not other.num_rows:
+            return pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], pa.int64())], names=names)
+        i, j = key[0].as_py(), key[1].as_py()
+        spectra = []
+        for table, t, v, begin in ((one, "t", "v", i * block), (other, "u", "w", j * block)):
+            at, made = table.column(t).to_numpy() - begin, np.zeros((2, 2 * block))
+            np.add.at(made[0], at, table.column(v).to_numpy())
+            np.add.at(made[1], at, 1.0)
+            spectra.append(np.fft.rfft(made))
+        sums, met = np.fft.irfft(spectra[0] * np.conj(spectra[1]), 2 * block)
+        steps = np.concatenate([np.arange(block), np.arange(-block, 0)])
+        held = np.rint(met) > 0
+        lag = steps[held] + (i - j) * block
+        return pa.table([pa.array(lag), pa.array(sums[held]), pa.array(np.rint(met[held]).astype(np.int64))], names=names)
+
+    tiles = x.groupBy("i", "j").cogroup(y.groupBy("i2", "j2")).applyInArrow(tile, "lag bigint, corr double, met bigint")
+    tiles = tiles if most is None else tiles.filter(F.abs("lag") <= most)
+    sums = checkpointed(tiles.groupBy("lag").agg(F.sum("corr").alias("corr")))
+    best = sums.agg(F.max_by("lag", F.struct(F.round("corr", 6), -F.col("lag"))).alias("best"))
+    return sums.join(F.broadcast(best)).select("lag", "corr", (F.col("lag") == F.col("best")).alias("offset"))
 
 
 def first_gaps(done: DataFrame, key: str, number: str) -> DataFrame:

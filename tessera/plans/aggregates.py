@@ -82,12 +82,13 @@ def d7(spark, sf):
     return A.user_progress(table(spark, sf, "orders"))
 
 
-@query("d8_precision_recall_f1", r"""WITH h AS (SELECT p, quality = 0 AS want, regexp_matches(text, p) AS got FROM documents JOIN labels USING (doc_id), (VALUES ('[#$%&*]{3}'), ('[A-Z]{4,}!!'), ('the')) t(p)),
+@query("d8_precision_recall_f1", r"""WITH h AS (SELECT p, quality = 0 AS want, regexp_matches(text, p) AS got FROM documents JOIN labels USING (doc_id), (VALUES ('[#$%&*]{3}'), ('[A-Z]{4,}!!'), ('the'), ('the|' || repeat('x', 236)), ('and|' || repeat('x', 496))) t(p)),
   c AS (SELECT p, count(*) FILTER (want AND got) AS tp, count(*) FILTER (NOT want AND got) AS fp, count(*) FILTER (want AND NOT got) AS fn FROM h GROUP BY p),
   r AS (SELECT p, CASE WHEN tp + fp = 0 THEN 0 ELSE tp::DOUBLE / (tp + fp) END AS pr, CASE WHEN tp + fn = 0 THEN 0 ELSE tp::DOUBLE / (tp + fn) END AS re FROM c)
-  SELECT p AS pattern, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END * 1.0, 6) AS fitness FROM r""")
+  SELECT p AS pattern, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END, 6) AS f1, round(CASE WHEN pr + re = 0 THEN 0 ELSE 2 * pr * re / (pr + re) END * CASE WHEN length(p) > 200 THEN greatest(0.5, 1 - 0.005 * (length(p) - 200)) ELSE 1.0 END, 6) AS fitness FROM r""")
 def d8(spark, sf):
-    patterns = spark.createDataFrame([("[#$%&*]{3}",), ("[A-Z]{4,}!!",), ("the",)], "pattern string")
+    """Patterns of 240 and 500 characters lose a fifth and half of their score."""
+    patterns = spark.createDataFrame([(p,) for p in ("[#$%&*]{3}", "[A-Z]{4,}!!", "the", "the|" + 236 * "x", "and|" + 496 * "x")], "pattern string")
     rows = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id").crossJoin(F.broadcast(patterns))
     return A.fitness(rows.select("pattern", (F.col("quality") == 0).alias("want"), F.rlike("text", F.col("pattern")).alias("got")))
 

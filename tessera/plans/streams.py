@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from ..operators.storage import shared_folder
 from ..streaming import streams as S
 from .base import ORACLES, query, table
-from . import windows  # noqa: F401
 from .changes import second_snapshot
 from .joins import LISTED
+from .windows import STREAK
 
 
 @query("h1_listing_alerts", f"SELECT o_orderkey, profit FROM ({LISTED}) WHERE profit > 100")
@@ -60,12 +60,33 @@ def h3b(spark, sf):
     return _shown(spark.read.parquet(f"{folder}/out").filter("user_id >= 0"))
 
 
+def learners(spark, sf):
+    """The last state of each learner and topic, after two runs over a growing folder."""
+    folder = shared_folder(spark)
+    e = table(spark, sf, "events").select("user_id", "event_type", "ts", "event_id", (F.floor("value") % 6).alias("grade"))
+    middle = e.agg(F.percentile_approx(F.unix_seconds(F.col("ts").cast("timestamp")), 0.5)).first()[0]
+    late = F.unix_seconds(F.col("ts").cast("timestamp")) > middle
+    with S.with_state(spark):
+        for half in (e.filter(~late), e.filter(late)):
+            half.write.mode("append").parquet(f"{folder}/in")
+            S.run(S.mastery(timestamped(S.read(spark, f"{folder}/in"))), f"{folder}/state", S.append_to(f"{folder}/out"), "update")
+    return S.latest_per_key(spark, f"{folder}/out", ["user_id", "event_type"])
+
+
+def timestamped(events):
+    return events.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 @query("h4_mastery_stateful")
 def h4(spark, sf):
-    folder = shared_folder(spark)
-    e = S.read(spark, f"{sf}/events.parquet").select("user_id", "event_type", "ts", "event_id", (F.floor("value") % 6).alias("grade"))
-    S.run(S.mastery(e), f"{folder}/state", S.append_to(f"{folder}/out"), "update")
-    return S.latest_per_key(spark, f"{folder}/out", ["user_id", "event_type"]).withColumn("ease", F.round("ease", 4))
+    return learners(spark, sf).select("user_id", "event_type", F.round("ease", 4).alias("ease"), "interval")
+
+
+@query("h4_mastery_status", STREAK + """, l AS (SELECT user_id, event_type, arg_max(struct_pack(r := rights, w := wrongs, d := CAST(ts AS DATE), e := event_id), (ts, event_id)) AS x FROM k GROUP BY 1, 2)
+  SELECT user_id, event_type, x.e AS event_id, CAST(x.r AS INTEGER) AS "right", CAST(x.w AS INTEGER) AS wrong, CASE WHEN x.r >= 3 THEN 'review' WHEN x.w >= 3 THEN 'remediation' ELSE 'learning' END AS status, CASE WHEN x.r >= 3 THEN strftime(x.d + 1, '%Y-%m-%d') END AS next_review FROM l""")
+def h4_status(spark, sf):
+    """Streaks, status and next review of each learner and topic, from the same stream."""
+    return learners(spark, sf).select("user_id", "event_type", "event_id", "right", "wrong", "status", F.date_format("next_review", "yyyy-MM-dd").alias("next_review"))
 
 
 @query("h5_change_stream", None)

@@ -156,6 +156,31 @@ def i17(spark, sf):
     return X.digest(e, 20).withColumn("digest", F.md5("digest"))
 
 
+def _section(kind, heading, cap, rest, last=False):
+    shown = f"list_filter(list({{'p': place, 'line': line}} ORDER BY place) FILTER (type = '{kind}' AND place <= {cap}), lambda x: x.line IS NOT NULL)"
+    return f"""CASE WHEN count(*) FILTER (type = '{kind}') > 0 THEN chr(10) || '{heading}' || coalesce(list_aggregate(list_transform({shown}, lambda x: chr(10) || x.line), 'string_agg', ''), '')
+    || CASE WHEN count(*) FILTER (type = '{kind}') > {cap} THEN chr(10) || '... and ' || (count(*) FILTER (type = '{kind}') - {cap}) || ' more {rest}' ELSE '' END || {"''" if last else 'chr(10)'} ELSE '' END"""
+
+
+@query("i17_board_digest", f"""WITH b AS (SELECT user_id, event_id, CASE event_type WHEN 'view' THEN 'shape' WHEN 'click' THEN 'sticky_note' WHEN 'purchase' THEN 'connector' WHEN 'signup' THEN 'frame' ELSE 'other' END AS type,
+    CASE WHEN event_id % 7 = 0 THEN '' ELSE event_type || ' of a board, number ' || event_id END AS content, lag(event_id) OVER w AS s, lead(event_id) OVER w AS e FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+  n AS (SELECT *, row_number() OVER (PARTITION BY user_id, type ORDER BY event_id) AS place FROM b),
+  l AS (SELECT n.*, CASE n.type WHEN 'shape' THEN n.place || '. [' || CASE WHEN n.event_id % 2 = 1 THEN 'circle' ELSE 'rectangle' END || '] ' || nullif(n.content, '') WHEN 'frame' THEN n.place || '. ' || CASE WHEN n.event_id % 3 = 0 THEN 'Untitled Frame' ELSE 'frame ' || n.event_id END
+      WHEN 'sticky_note' THEN n.place || '. ' || nullif(n.content, '') WHEN 'connector' THEN n.place || '. ' || chr(39) || left(x.content, 30) || chr(39) || ' --> ' || chr(39) || left(y.content, 30) || chr(39) END AS line
+    FROM n LEFT JOIN b x ON x.event_id = n.s AND x.user_id = n.user_id LEFT JOIN b y ON y.event_id = n.e AND y.user_id = n.user_id)
+  SELECT user_id AS board, md5('BOARD INFORMATION:' || chr(10) || '- Name: board ' || user_id || chr(10) || '- Total Items: ' || count(*) || chr(10) || '- Shapes: ' || count(*) FILTER (type = 'shape') || chr(10) || '- Sticky Notes: ' || count(*) FILTER (type = 'sticky_note')
+    || chr(10) || '- Connectors: ' || count(*) FILTER (type = 'connector') || chr(10) || '- Frames: ' || count(*) FILTER (type = 'frame') || chr(10) || {' || '.join(_section(*x, last=x[0] == 'frame') for x in X.SECTIONS)}) AS digest FROM l GROUP BY 1""")
+def i17_board(spark, sf):
+    """Boards of users; a connection joins the events before and after it."""
+    w = Window.partitionBy("user_id").orderBy("event_id")
+    kind = F.when(F.col("event_type") == "view", "shape").when(F.col("event_type") == "click", "sticky_note").when(F.col("event_type") == "purchase", "connector").when(F.col("event_type") == "signup", "frame").otherwise("other")
+    content = F.when(F.col("event_id") % 7 == 0, "").otherwise(F.concat("event_type", F.lit(" of a board, number "), F.col("event_id").cast("string")))
+    items = table(spark, sf, "events").select(
+        F.col("user_id").alias("board"), F.concat(F.lit("board "), F.col("user_id").cast("string")).alias("name"), F.col("event_id").alias("id"), F.col("event_id").alias("pos"), kind.alias("type"), content.alias("content"),
+        F.when(F.col("event_id") % 2 == 1, "circle").alias("shape"), F.when(F.col("event_id") % 3 != 0, F.concat(F.lit("frame "), F.col("event_id").cast("string"))).alias("title"), F.lag("event_id").over(w).alias("start"), F.lead("event_id").over(w).alias("end"))
+    return X.board_digest(items).withColumn("digest", F.md5("digest"))
+
+
 _GRAPH = """(SELECT l_orderkey AS graph, 'o' || l_orderkey AS s, 'n' || l_linenumber AS e, 'part ' || l_partkey AS label, l_linenumber AS pos FROM lineitem)"""
 
 

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -67,27 +68,93 @@ def fatigue(s: DataFrame, minutes: int = 25) -> Column:
     return F.unix_seconds("finish") - F.unix_seconds("start") > minutes * 60
 
 
-def mastery(events: DataFrame) -> DataFrame:
-    """user_id, event_type, ease, interval after each batch: the spaced-repetition state of
-    each learner and topic (columns user_id, event_type, ts, event_id, grade)."""
-    import numpy as np
+class Learner:
+    """What is kept of a learner and topic: ease, interval, streaks, the last answer's day."""
+
+    FIELDS = "ease double, interval double, right int, wrong int, status string, next_review date"
+
+    def __init__(self, kept: tuple | None) -> None:
+        self.ease, self.interval, self.right, self.wrong, self.status, self.next_review = kept or (2.5, 0.0, 0, 0, "learning", None)
+
+    def answer(self, grade: int, day) -> None:
+        """Streaks of grades of 4 or more and of grades below 3; three of the first are a mastery
+        with a review on the next day, three of the second need another explanation."""
+        import datetime
+
+        self.right = self.right + 1 if grade >= 4 else 0
+        self.wrong = self.wrong + 1 if grade < 3 else 0
+        self.status = "review" if self.right >= 3 else "remediation" if self.wrong >= 3 else "learning"
+        self.next_review = day + datetime.timedelta(days=1) if self.right >= 3 else None
+        if grade >= 3:
+            self.interval = 1.0 if self.interval == 0 else 6.0 if self.interval == 1 else float(round(self.interval * self.ease))
+            self.ease = min(max(self.ease + (0.1 - (5 - grade) * (0.08 + (5 - grade) * 0.02)), 1.3), 2.5)
+        else:
+            self.interval = 1.0
+
+    def kept(self) -> tuple:
+        return self.ease, self.interval, self.right, self.wrong, self.status, self.next_review
+
+
+def mastery(events: DataFrame, forget_days: int | None = None) -> DataFrame:
+    """user_id, event_type, at, ease, interval, right, wrong, status, next_review, event_id of each batch's last
+    answer of a learner and topic: the spaced-repetition state, the streaks and the status after it.
+    events: user_id, event_type, ts, event_id, grade; rows without a grade or ts take no part.
+
+    State and a timer are kept for each learner and topic.  With forget_days (events then
+    carry a watermark on ts) a timer is set that many days after the last answer; when
+    the watermark passes it, the state is dropped and a row of status expired goes out, without an event_id.
+    The state store must be the RocksDB one (``with_state``)."""
     import pandas as pd
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        ease, interval = state.get if state.exists else (2.5, 0.0)
-        held = pd.concat(list(batches)).sort_values(["ts", "event_id"])
-        for g in held["grade"].tolist():
-            if g >= 3:
-                interval = 1.0 if interval == 0 else 6.0 if interval == 1 else float(np.round(interval * ease))
-                ease = min(max(ease + (0.1 - (5 - g) * (0.08 + (5 - g) * 0.02)), 1.3), 2.5)
-            else:
-                interval = 1.0
-        state.update((float(ease), interval))
-        yield pd.DataFrame({"user_id": [key[0]], "event_type": [key[1]], "ease": [ease], "interval": [interval]})
-
-    out = "user_id bigint, event_type string, ease double, interval double"
-    return events.groupBy("user_id", "event_type").applyInPandasWithState(step, out, "ease double, interval double", "update", GroupStateTimeout.NoTimeout)
+    from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+    names = ["user_id", "event_type", "at", "ease", "interval", "right", "wrong", "status", "next_review", "event_id"]
+
+    def row(key: tuple, at, learner: Learner, event) -> pd.DataFrame:
+        values = (*key, at, *learner.kept(), event)
+        return pd.DataFrame({n: pd.Series([v], dtype="object" if v is None else None) for n, v in zip(names, values, strict=True)})
+
+    class Processor(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("learner", Learner.FIELDS)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
+            held = pd.concat(list(rows)).sort_values(["ts", "event_id"])
+            learner = Learner(tuple(self.state.get()) if self.state.exists() else None)
+            for grade, ts in zip(held["grade"].tolist(), held["ts"], strict=True):
+                learner.answer(grade, ts.date())
+            self.state.update(learner.kept())
+            last = held.iloc[-1]
+            if forget_days is not None:
+                for timer in list(self.handle.listTimers()):
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(int(last["ts"].timestamp() * 1000) + forget_days * 86_400_000)
+            yield row(key, last["ts"], learner, int(last["event_id"]))
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
+            learner = Learner(tuple(self.state.get()) if self.state.exists() else None)
+            self.state.clear()
+            learner.status, learner.next_review = "expired", None
+            yield row(key, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), learner, None)
+
+        def close(self) -> None:
+            pass
+
+    fine = events.filter("grade is not null and ts is not null").select("user_id", "event_type", "ts", "event_id", F.col("grade").cast("int").alias("grade"))
+    out = f"user_id bigint, event_type string, at timestamp, {Learner.FIELDS}, event_id bigint"
+    return fine.groupBy("user_id", "event_type").transformWithStateInPandas(Processor(), out, "Update", "None" if forget_days is None else "EventTime")
+
+
+@contextmanager
+def with_state(spark: SparkSession) -> Iterator[None]:
+    """Streams started inside keep their state in RocksDB, which timers and typed state need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before) if before else spark.conf.unset(name)
 
 
 def latest_per_key(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
