@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .joins import within_ratio
+from .joins import RangeTree
+from .storage import checkpointed
 
 
 def hot_nodes(degrees: DataFrame, over: int) -> DataFrame:
@@ -25,18 +26,18 @@ def trade_paths(starts: DataFrame, items: DataFrame, goal: float, low: float, hi
     """user, step, id, value: from each start (user, id, value) the best-scored item with a
     value of low to high times the last, until the goal or the steps are reached.
 
-    The frontier is one row per user; each step is one range join of it with the items, and
-    its lineage is cut by a checkpoint."""
-    from .storage import checkpointed
-
+    The frontier is one row per user; each step asks a tree of the items' values, made once, for
+    the best in its range (RangeTree), and the frontier's lineage is cut by a checkpoint.
+    score reads columns of items; ties go to the smaller id."""
+    own = F.col("id").cast("string")  # no item follows itself: every item is a type of its own
+    tree = RangeTree(items.withColumn("type", own), F.col("value") if score is None else score, 1, kept=True)
+    values = items.select(F.col("id").alias("right_id"), "value")
     front = checkpointed(starts.select("user", "id", "value"))
     out = front.withColumn("step", F.lit(0))
     for step in range(1, steps + 1):
         open_ = front.filter(F.col("value") < goal)
-        found = within_ratio(open_.select("id", "value", "user"), items.select("id", "value"), low, high).filter("left_id <> right_id")
-        best = F.col("right_value") if score is None else score
-        w = Window.partitionBy("left_user").orderBy(best.desc(), F.asc("right_id"))
-        front = checkpointed(found.withColumn("p", F.row_number().over(w)).filter("p = 1").select(F.col("left_user").alias("user"), F.col("right_id").alias("id"), F.col("right_value").alias("value")))
+        found = tree.topk(open_.select(F.col("user").alias("id"), "value", own.alias("type")), low, high)
+        front = checkpointed(found.join(values, "right_id").select(F.col("left_id").alias("user"), F.col("right_id").alias("id"), "value"))
         if front.isEmpty():
             break
         out = out.unionByName(front.withColumn("step", F.lit(step)))

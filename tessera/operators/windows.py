@@ -198,6 +198,40 @@ def spaced_repetition(grades: Column) -> Column:
     return F.aggregate(grades, start, step)
 
 
+def repetition_series(rows: DataFrame, keys: list[str], order: list[str], grade: str) -> DataFrame:
+    """keys, ease, interval after the last grade of each key.  Rows are sorted within their key
+    by Spark and pass as Arrow batches; the two numbers are carried from one to the next, so
+    a history may be longer than memory.  Null grades take no part."""
+    import pyarrow as pa
+
+    kinds = {k: rows.schema[k].dataType.simpleString() for k in keys}
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, ease, interval = None, 2.5, 0.0
+        for batch in batches:
+            done = []
+            for key, g in zip(zip(*(batch.column(k).to_pylist() for k in keys), strict=True), batch.column(grade).to_pylist(), strict=True):
+                if key != last:
+                    done += [(*last, ease, interval)] if last else []
+                    last, ease, interval = key, 2.5, 0.0
+                if g >= 3:
+                    interval = 1.0 if interval == 0 else 6.0 if interval == 1 else float(round(interval * ease))
+                    ease = min(max(ease + (0.1 - (5 - g) * (0.08 + (5 - g) * 0.02)), 1.3), 2.5)
+                else:
+                    interval = 1.0
+            types = [batch.schema.field(k).type for k in keys] + [pa.float64()] * 2
+            yield made(done, types)
+        if last:
+            yield made([(*last, ease, interval)], types)
+
+    def made(done: list[tuple], types: list) -> pa.RecordBatch:
+        columns = list(zip(*done, strict=True)) or [[]] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [*keys, "ease", "interval"])
+
+    chosen = rows.filter(F.col(grade).isNotNull()).select(*keys, *order, F.col(grade).cast("int").alias(grade)).repartition(*keys).sortWithinPartitions(*keys, *order)
+    return chosen.mapInArrow(scan, ", ".join(f"{k} {v}" for k, v in kinds.items()) + ", ease double, interval double")
+
+
 def outline_rows(lines: DataFrame, heading: str, item: str) -> DataFrame:
     """doc, pos, section, item: each item line takes the last heading above it.  heading and
     item are patterns with one group."""

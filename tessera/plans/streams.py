@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.storage import shared_folder
+from ..operators.storage import checkpointed, shared_folder
 from ..streaming import streams as S
 from .base import ORACLES, query, table
 from .changes import second_snapshot
@@ -16,7 +16,7 @@ from .windows import STREAK
 def h1(spark, sf):
     folder = shared_folder(spark)
     orders = S.read(spark, f"{sf}/orders.parquet")
-    alerts = S.listing_alerts(orders, S.daily_history(table(spark, sf, "orders")))
+    alerts = S.listing_alerts(checkpointed(S.daily_history(table(spark, sf, "orders"))))
     S.run(orders, f"{folder}/state", lambda b, n: S.append_to(f"{folder}/out")(alerts(b), n))
     return spark.read.parquet(f"{folder}/out").select("o_orderkey", "profit")
 

@@ -83,10 +83,9 @@ def e7(spark, sf):
       CASE WHEN grade < 3 THEN 1 WHEN f.iv = 0 THEN 1 WHEN f.iv = 1 THEN 6 ELSE round_even(f.iv * f.ease, 0) END FROM f JOIN s ON s.user_id = f.user_id AND s.event_type = f.event_type AND s.i = f.i + 1)
   SELECT user_id, event_type, round(arg_max(ease, i), 4) AS ease, arg_max(iv, i) AS "interval" FROM f GROUP BY 1, 2""")
 def e8(spark, sf):
-    """The grades of one learner and topic fold in order; they are one row's array."""
-    a = attempts(spark, sf).groupBy("user_id", "event_type").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "grade"))).alias("g"))
-    s = a.select("user_id", "event_type", W.spaced_repetition(F.transform("g", lambda x: x["grade"])).alias("s"))
-    return s.select("user_id", "event_type", F.round("s.ease", 4).alias("ease"), "s.interval")
+    """The grades of one learner and topic fold in order."""
+    s = W.repetition_series(attempts(spark, sf), ["user_id", "event_type"], ["ts", "event_id"], "grade")
+    return s.withColumn("ease", F.round("ease", 4))
 
 
 @query("e9_outline_ffill", r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),

@@ -37,15 +37,22 @@ def daily_history(orders: DataFrame) -> DataFrame:
     return orders.groupBy("o_orderpriority", "o_orderstatus", day).agg(F.sum(F.col("o_totalprice").cast("decimal(18,2)")).alias("s"), F.count("*").alias("n"))
 
 
-def listing_alerts(stream: DataFrame, history: DataFrame, days: int = 90, least: float = 100.0) -> Callable[[DataFrame, int], DataFrame]:
+def trailing_history(history: DataFrame, days: int = 90) -> DataFrame:
+    """o_orderpriority, o_orderstatus, at, mean: for each day after a day of history, the mean of the
+    days before it.  Each day's sums are added to the days that see it, once for all listings."""
+    seen = F.explode(F.sequence(F.date_add("day", 1), F.date_add("day", days))).alias("at")
+    each = history.select("o_orderpriority", "o_orderstatus", seen, "s", "n")
+    return each.groupBy("o_orderpriority", "o_orderstatus", "at").agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"))
+
+
+def listing_alerts(history: DataFrame, days: int = 90, least: float = 100.0) -> Callable[[DataFrame, int], DataFrame]:
     """A function of each batch of listings: those whose profit against the daily history of
-    the days before is above a limit."""
+    the days before is above a limit.  A listing meets one row: its day's mean."""
+    means = trailing_history(history, days)
 
     def alerts(batch: DataFrame) -> DataFrame:
-        b = batch.withColumn("at", F.to_date("o_orderdate"))
-        on = (b.o_orderpriority == history.o_orderpriority) & (b.o_orderstatus == history.o_orderstatus) & (history.day < b["at"]) & (history.day >= F.date_sub(b["at"], days))
-        mean = b.join(history, on).groupBy(b.o_orderkey, b.o_totalprice).agg((F.sum("s").cast("double") / F.sum("n")).alias("mean"))
-        return mean.select("o_orderkey", (F.col("mean") - F.col("o_totalprice")).alias("profit")).filter(F.col("profit") > least)
+        b = batch.withColumn("at", F.to_date("o_orderdate")).join(means, ["o_orderpriority", "o_orderstatus", "at"])
+        return b.select("o_orderkey", (F.col("mean") - F.col("o_totalprice")).alias("profit")).filter(F.col("profit") > least)
 
     return alerts
 
