@@ -2,11 +2,47 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .checkpoints import checkpointed
 
+#: Links that one task finishes (with more of them, rounds over all tasks do), and nodes that a
+#: task holds at a time.
+FINISH, HELD = 200_000, 500_000
+
+
+def _stars(whole: bool):
+    """Links (a, b) of a task to (a, b): each node and the least node a that it reaches by
+    links held together; whole: all links are held, and the least nodes have a row too."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (above := up.setdefault(x, x)) != x:
+                up[x] = x = up[above]
+            return x
+
+        def made() -> pa.RecordBatch:
+            found = [f for f in ((root(x), x) for x in list(up)) if whole or f[0] != f[1]]
+            up.clear()
+            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+                a, b = root(a), root(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+            if not whole and len(up) >= HELD:
+                yield made()
+        yield made()
+
+    return scan
+
 
 def _roots(parents: DataFrame) -> DataFrame:
     """Pointer jumping: each node's (node, label) last label on its way down."""
@@ -19,13 +55,18 @@ def _roots(parents: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label: for each end of an edge (columns a, b) the smallest node it reaches.
+    """node, label: for each end of an edge (columns a, b: bigint) the smallest node it reaches.
 
-    In each round every node points to the least of itself and its neighbours, pointers
-    are followed to their roots, and the edges are contracted to the roots, so that at
+    Each task first replaces its own edges by stars.  If FINISH or fewer are left, one
+    task joins these.  Otherwise rounds follow: every node points to the least of itself and its
+    neighbours, pointers are followed to their roots, and the edges are contracted to the roots, so that at
     most half of the nodes and only edges between different roots go on.  Every table is
     written in between, and both sides of the joins are scans, so skewed ones can be split."""
-    edges = checkpointed(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a <> b").distinct())
+    stars = "a bigint, b bigint"
+    edges = checkpointed(edges.select("a", "b").filter("a <> b").mapInArrow(_stars(False), stars))
+    if edges.count() <= FINISH:
+        return checkpointed(edges.coalesce(1).mapInArrow(_stars(True), stars).select(F.col("b").alias("node"), F.col("a").alias("label")))
+    edges = checkpointed(edges.distinct())
     labels = None
     while labels is None or not edges.isEmpty():
         both = edges.select(F.col("a").alias("node"), F.col("b").alias("next")).union(edges.select("b", "a"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import lists
-from .checkpoints import checkpointed, release
+from .checkpoints import checkpointed
 from .components import components
 from .fingerprints import majority_bits, polynomial_shingles
 from .op04_simhash import links
@@ -136,9 +136,7 @@ def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int) -
     a, b = sides(sets, "shingles")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     enough = SHARE[1] * both >= SHARE[0] * (F.col("n_a") + F.col("n_b") - both)
-    linked = checkpointed(near.join(a, "a").join(b, "b").filter(enough).select("a", "b"))
-    release(docs.sparkSession)
-    return linked
+    return near.join(a, "a").join(b, "b").filter(enough).select("a", "b")
 
 
 def _pair(x: str, y: str) -> list:
@@ -168,9 +166,7 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     found = verified(checkpointed(by_bits.union(by_prints).union(by_lists).distinct()), points, docs, words)
 
     classes = components(found)
-    release(spark)
     classes = checkpointed(points.select("sid").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", F.coalesce("class", "sid").alias("class")))
-    release(spark)
     marked = shared.drop("chosen").join(classes.hint("merge"), "sid").withColumns({"x": F.min("class").over(lists_), "y": F.max("class").over(lists_)})
     open_ = checkpointed(marked.filter("x <> y").select("h", "sid", "n", "place", "class"))
     p, q = open_.toDF(*(f"{c}_p" for c in open_.columns)), open_.toDF(*(f"{c}_q" for c in open_.columns))
@@ -181,7 +177,6 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
 
     from_, to = classes.toDF("a", "class_a").hint("merge"), classes.toDF("b", "class_b").hint("merge")
     merged = components(more.join(from_, "a").join(to, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    release(spark)
     named = points.select("sid", "first.doc_id").join(classes.hint("merge"), "sid").join(merged.toDF("class", "root").hint("merge"), "class", "left")
     named = checkpointed(named.select("sid", "doc_id", F.coalesce("root", "class").alias("class")))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))

@@ -1,9 +1,15 @@
 import random
 
+import pytest
+
+from tessera.llm import components as module
 from tessera.llm.components import components
 
 
-def test_components(spark):
+@pytest.mark.parametrize("finish, held", [(200_000, 500_000), (0, 500_000), (0, 3), (200_000, 3)])
+def test_components(spark, monkeypatch, finish, held):
+    monkeypatch.setattr(module, "FINISH", finish)
+    monkeypatch.setattr(module, "HELD", held)
     r = random.Random(7)
     path = list(range(1000, 1120))
     r.shuffle(path)
