@@ -45,6 +45,38 @@ def i4(spark, sf):
     return found.select("id", "line", "rule", "snippet")
 
 
+#: Lines of code around a word: one for each code rule, then two that nearly break one.
+LINES = [
+    "df = data .collect ( )  # {}", "{} = spark.read.csv(path, inferSchema = True)", "from pyspark.sql.functions import udf, {}", "{}.coalesce( 1 )", "n_{} = rows.count()", "from {} import *",
+    "def {}(a, b=[]):", "    except :", "    print(\"{} is %d of '%s'\" % n)", "{}._{} = 1", "{} = df.collect(n)", "except {}:",
+]
+_QUOTED = [x.replace("'", "''") for x in LINES]
+CODE_SQL = f"""SELECT id, CAST(line AS INTEGER) AS line, rule, kind, trim(snippet) AS snippet FROM (
+    SELECT id, line, replace(CASE (length(w) + line) % {len(LINES)} {' '.join(f"WHEN {i} THEN '{x}'" for i, x in enumerate(_QUOTED))} END, '{{}}', w) AS snippet FROM (
+      SELECT conv_id || '/' || turn AS id, unnest(regexp_extract_all(text, '[A-Za-z]+')) AS w, generate_subscripts(regexp_extract_all(text, '[A-Za-z]+'), 1) AS line FROM conversations)),
+  (VALUES """ + ", ".join("('{}', '{}', '{}')".format(k, kind, p.replace("'", "''")) for k, (kind, p) in R.CODE_RULES.items()) + ") r(rule, kind, pattern) WHERE regexp_matches(snippet, pattern)"
+
+
+def code_findings(spark, sf):
+    """The ten code rules over sources with a line for each word of a conversation's turns."""
+    words = table(spark, sf, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("id"), F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z]+)"), F.lit(1))).alias("line", "w"))
+    at = (F.char_length("w") + F.col("line") + 1) % len(LINES)
+    line = F.replace(F.get(F.array(*map(F.lit, LINES)), at), F.lit("{}"), F.col("w"))
+    ordered = F.sort_array(F.collect_list(F.struct("line", line.alias("text"))))
+    sources = words.groupBy("id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "\n").alias("text"))
+    return R.scan(sources, R.CODE_RULES)
+
+
+@query("i4_code_rules", CODE_SQL)
+def i4_code(spark, sf):
+    return code_findings(spark, sf)
+
+
+@query("d2_code_violations", f"SELECT rule, kind, count(*) AS n FROM ({CODE_SQL}) GROUP BY 1, 2")
+def d2_code(spark, sf):
+    return R.summary(code_findings(spark, sf))
+
+
 _REPLY = "'Okay, ' || text || chr(10) || 'Let me explain [x]' || chr(10) || 'Speaker: ' || left(text, 40) || '<think>no' || chr(10) || '</think>'"
 
 

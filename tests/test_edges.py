@@ -139,3 +139,11 @@ def test_learners_expire(spark, tmp_path):
     assert {r[0] for r in expired} == {1, 2} and all(r[9] is None for r in expired)
     again = state(2, 1)[-1]
     assert (again[5], again[4], again[9]) == (1, 1.0, 7)  # from the beginning
+
+
+def test_every_code_rule_is_met(spark, sf):
+    from tessera.functions import rules as R
+    from tessera.plans.texts import d2_code
+
+    found = {r.rule: r.n for r in d2_code(spark, sf).collect()}
+    assert set(found) == set(R.CODE_RULES) and min(found.values()) > 100
