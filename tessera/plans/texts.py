@@ -112,7 +112,11 @@ def i7(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.md5(X.escape_markup(F.concat("text", F.lit("$5_%~^\\{}“é”<&>")))).alias("h"))
 
 
-@query("i8_section_parse")
+@query("i8_section_parse", """WITH t AS (SELECT conv_id || '-' || turn AS id, 'IMPROVED_QUERY:' || chr(10) || text || chr(10) || 'SUGGESTIONS:' || chr(10) || '- one' || chr(10) || '-two ' || chr(10) || 'EXPLANATION:' || chr(10) || 'because' AS text FROM conversations),
+  l AS (SELECT id, trim(line, ' ' || chr(9) || chr(13)) AS line, pos FROM (SELECT id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM t)),
+  n AS (SELECT *, CASE WHEN starts_with(line, 'IMPROVED_QUERY:') THEN 'improved_query' WHEN starts_with(line, 'SUGGESTIONS:') THEN 'suggestions' WHEN starts_with(line, 'CLARIFYING_QUESTIONS:') THEN 'clarifying_questions' WHEN starts_with(line, 'EXPLANATION:') THEN 'explanation' END AS label FROM l),
+  s AS (SELECT *, last_value(label IGNORE NULLS) OVER (PARTITION BY id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS section FROM n)
+  SELECT id, section, md5(string_agg(line, ' ' ORDER BY pos)) AS h, coalesce(string_agg(CASE WHEN starts_with(line, '-') THEN trim(substr(line, 2), ' ' || chr(9)) END, '|' ORDER BY pos), '') AS bullets FROM s WHERE label IS NULL AND section IS NOT NULL AND line <> '' GROUP BY 1, 2""")
 def i8(spark, sf):
     c = table(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("id"), F.concat(F.lit("IMPROVED_QUERY:\n"), "text", F.lit("\nSUGGESTIONS:\n- one\n-two \nEXPLANATION:\nbecause")).alias("text"))
     out = X.sections(c, ["IMPROVED_QUERY", "SUGGESTIONS", "CLARIFYING_QUESTIONS", "EXPLANATION"])
@@ -136,10 +140,15 @@ def i10(spark, sf):
     return c.select("conv_id", "turn", "g.grade", "g.feedback", F.array_join("g.rest", "|").alias("rest"))
 
 
-@query("i11_extraction_checks")
+@query("i11_extraction_checks", rf"""WITH e AS (SELECT item_id, regexp_extract_all(text, '\p{{Lu}}\p{{L}}+') AS a FROM benchmark), b AS (SELECT item_id, list_distinct(a) AS expected, CASE WHEN item_id % 3 = 0 THEN list_filter(list_distinct(a), lambda x: x <> a[1]) ELSE list_distinct(a) END AS lines FROM e WHERE len(a) > 0),
+  c AS (SELECT item_id, [CASE WHEN len(lines) <> len(expected) THEN 'line_count' END, CASE WHEN len(list_filter(expected, lambda n: NOT list_contains(lines, n))) > 0 THEN 'all_present' END,
+      CASE WHEN len(list_filter(expected, lambda n: regexp_matches(n, '[{P.MARKED}]') AND len(list_filter(lines, lambda x: contains(x, n))) = 0)) > 0 THEN 'marks_kept' END,
+      CASE WHEN len(list_filter(expected, lambda n: regexp_matches(n, '[{P.MARKED}]') AND len(list_filter(lines, lambda x: contains(x, translate(n, '{P.MARKED}', '{P.PLAIN}')))) > 0)) > 0 THEN 'no_plain_form' END,
+      CASE WHEN list_has_any(list_transform(lines, lambda x: lower(x)), {P.ROLES}) THEN 'no_labels' END] AS f FROM b)
+  SELECT item_id, len(list_filter(f, lambda x: x IS NOT NULL)) = 0 AS passed, array_to_string(list_filter(f, lambda x: x IS NOT NULL), ',') AS failures FROM c""")
 def i11(spark, sf):
     """Replies that list a benchmark item's capitalised words, some spoilt, against them."""
-    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.slice(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0)), 1, 3)).alias("expected")).filter("size(expected) > 0")
+    b = table(spark, sf, "benchmark").select("item_id", F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{Lu}\p{L}+"), F.lit(0))).alias("expected")).filter("size(expected) > 0")
     spoilt = F.when(F.col("item_id") % 3 == 0, F.slice("expected", F.lit(2), F.size("expected"))).otherwise(F.col("expected"))
     out = b.withColumn("output", F.array_join(F.transform(spoilt, lambda x: F.concat(F.lit("- "), x)), "\n"))
     return P.extraction_checks(out).select("item_id", "passed", F.array_join("failures", ",").alias("failures"))
@@ -151,12 +160,17 @@ def i12(spark, sf):
     return e.select("doc_id", F.size("e").cast("bigint").alias("n"), F.get("e", F.lit(0)).alias("first"), F.md5(F.array_join("e", "|")).alias("h"))
 
 
-@query("i13_vital_record_parse")
+@query("i13_vital_record_parse", """SELECT c_custkey AS id, 'person' AS kind, string_split(c_name, '#')[1] AS first, 'Smith' AS last, 'London' AS place, CAST(1900 + c_custkey % 90 AS INTEGER) AS birth, NULL AS death, NULL AS spouse, '' AS children FROM customer
+  UNION ALL SELECT c_custkey + 1000000, 'death', CASE WHEN c_custkey % 2 = 0 THEN 'John' ELSE 'Łucja' END, 'Smith' || c_nationkey, 'Łódź', NULL, CAST(1900 + c_custkey % 100 AS INTEGER), ['Mary Smith', 'Adam Nowak', 'Anna Lis', NULL][c_custkey % 4 + 1], ['Paul Smith|Sarah Smith', 'Ewa Nowak|Jan Nowak', '', 'Piotr Kot'][c_custkey % 4 + 1] FROM customer""")
 def i13(spark, sf):
-    """Person and death lines made from customers and orders."""
-    c = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.format_string("%s Smith London %d", F.element_at(F.split("c_name", "#"), 1), F.lit(1900) + F.col("c_custkey") % 90).alias("line"))
-    d = table(spark, sf, "customer").select((F.col("c_custkey") + 1_000_000).alias("id"), F.lit("15 04 1985 StMary John Smith 65 London żona Mary Smith synowie: Paul Smith, córki: Sarah Smith").alias("line"))
-    return P.vital_records(c.unionByName(d)).withColumn("children", F.array_join("children", "|"))
+    """Person and death lines made from customers; four forms of what follows a death."""
+    c = table(spark, sf, "customer")
+    k = F.col("c_custkey")
+    person = c.select(k.alias("id"), F.format_string("%s Smith London %d", F.element_at(F.split("c_name", "#"), 1), F.lit(1900) + k % 90).alias("line"))
+    forms = F.array(*map(F.lit, ["żona Mary Smith synowie: Paul Smith, córki: Sarah Smith", "mąż Adam Nowak, dzieci: Ewa Nowak, Jan Nowak", "żona Anna Lis", "syn Piotr Kot"]))
+    name = F.when(k % 2 == 0, "John").otherwise("Łucja")
+    death = c.select((k + 1_000_000).alias("id"), F.format_string("%02d %02d %d St%s %s Smith%d %d Łódź %s", k % 28 + 1, k % 12 + 1, F.lit(1900) + k % 100, name, name, F.col("c_nationkey"), k % 90 + 1, F.get(forms, (k % 4).cast("int"))).alias("line"))
+    return P.vital_records(person.unionByName(death)).withColumn("children", F.array_join("children", "|"))
 
 
 @query("i14_code_functions")
@@ -240,7 +254,7 @@ def i18b(spark, sf):
     return order_graphs(spark, sf).select("graph", *(F.md5(c).alias(c) for c in ("xmi", "types", "json_schema", "yaml")))
 
 
-@query("i19_slide_parse")
+@query("i19_slide_parse", "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS INTEGER) AS pos, 'Turn' AS title, role AS visual, 'says ' || turn AS narration, CASE WHEN turn % 2 = 0 THEN 30 END AS duration FROM conversations")
 def i19(spark, sf):
     """Slides made from each conversation's turns."""
     block = F.concat(F.lit("## Slide "), F.col("turn").cast("string"), F.lit(": Turn\n### Visual\n"), "role", F.lit("\n### Narration\nsays "), F.col("turn").cast("string"), F.when(F.col("turn") % 2 == 0, "\n### Duration\n30").otherwise(""))
