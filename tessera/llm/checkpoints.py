@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -18,3 +19,9 @@ def checkpointed(df: DataFrame) -> DataFrame:
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
     return df.checkpoint()
 
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files and checkpoints of tables that the caller has let go
+    of: its cleaner waits for the driver to collect its garbage, which an idle driver puts off."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

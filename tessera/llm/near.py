@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .arrays import lists
-from .checkpoints import checkpointed
+from .checkpoints import checkpointed, release
 from .components import components
 from .fingerprints import majority_bits, polynomial_shingles
 from .op04_simhash import links
@@ -105,7 +105,7 @@ def _sketches_allow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         size = batch.column("n_a").to_numpy() + batch.column("n_b").to_numpy()
         apart = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
         allowed = (SHARE[0] + SHARE[1]) * apart <= (SHARE[1] - SHARE[0]) * size
-        yield batch.select(["a", "b", "n_a", "n_b"]).filter(pa.array(allowed))
+        yield batch.select(["a", "b", "x", "y", "n_a", "n_b", "first_a", "first_b"]).filter(pa.array(allowed))
 
 
 def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
@@ -121,22 +121,25 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
 
 def verified(pairs: DataFrame, points: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b: sid, each pair once) whose sets are similar enough."""
+    """The pairs (a, b: sid, each pair once, and x, y) whose sets are similar enough, as (a, b: x, y)."""
 
     def sides(table: DataFrame, *columns: str) -> list[DataFrame]:
         return [table.select(F.col("sid").alias(s), *(F.col(c).alias(f"{c}_{s}") for c in columns)).hint("merge") for s in "ab"]
 
-    a, b = sides(points, "n", "sketch")
+    a, b = sides(points, "n", "sketch", "first")
     sized = pairs.join(a, "a").join(b, "b").filter(SHARE[1] * F.least("n_a", "n_b") >= SHARE[0] * F.greatest("n_a", "n_b"))
-    near = checkpointed(sized.mapInArrow(_sketches_allow, "a bigint, b bigint, n_a bigint, n_b bigint"))
-    asked = near.select(F.col("a").alias("sid")).union(near.select("b")).distinct()
-    asked = checkpointed(points.hint("merge").join(asked, "sid").select("sid", "first.doc_id", "first.version"))
+    of = points.schema["first"].dataType.simpleString()
+    near = checkpointed(sized.mapInArrow(_sketches_allow, f"a bigint, b bigint, x bigint, y bigint, n_a bigint, n_b bigint, first_a {of}, first_b {of}"))
+    asked = near.select(F.explode(F.array(F.struct(F.col("a").alias("sid"), F.col("first_a").alias("first")), F.struct(F.col("b").alias("sid"), F.col("first_b").alias("first")))).alias("s"))
+    asked = checkpointed(asked.select("s.sid", "s.first.doc_id", "s.first.version").distinct())
     asked = F.broadcast(asked) if asked.count() <= BROADCAST else asked
     sets = checkpointed(shingle_sets(docs.join(asked, ["doc_id", "version"]).dropDuplicates(["sid"]).select("sid", "text"), words))
     a, b = sides(sets, "shingles")
     both = F.size(F.array_intersect("shingles_a", "shingles_b"))
     enough = SHARE[1] * both >= SHARE[0] * (F.col("n_a") + F.col("n_b") - both)
-    return near.join(a, "a").join(b, "b").filter(enough).select("a", "b")
+    del sized, asked
+    release(docs.sparkSession)
+    return near.select("a", "b", "x", "y", "n_a", "n_b").join(a, "a").join(b, "b").filter(enough).select(F.col("x").alias("a"), F.col("y").alias("b"))
 
 
 def _pair(x: str, y: str) -> list:
@@ -163,21 +166,22 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     by_bits = links(prints, max_bits).join(one, "a").join(other, "b").select(*_pair("sid_a", "sid_b"))
     by_prints = points.select("fp", "sid").join(prints.toDF("fp", "other").hint("merge"), "fp").filter("sid <> other").select(*_pair("sid", "other"))
     by_lists = shared.filter("sid <> chosen").select(F.col("chosen").alias("a"), F.col("sid").alias("b"))
-    found = verified(checkpointed(by_bits.union(by_prints).union(by_lists).distinct()), points, docs, words)
-
-    classes = components(found)
-    classes = checkpointed(points.select("sid").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", F.coalesce("class", "sid").alias("class")))
-    marked = shared.drop("chosen").join(classes.hint("merge"), "sid").withColumns({"x": F.min("class").over(lists_), "y": F.max("class").over(lists_)})
+    candidates = checkpointed(by_bits.union(by_prints).union(by_lists).distinct())
+    classes = components(verified(candidates.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), points, docs, words))
+    del candidates, by_bits, by_prints, by_lists, one, other, prints, postings
+    release(spark)
+    classes = checkpointed(points.select("sid", "first.doc_id").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", "doc_id", F.coalesce("class", "sid").alias("class")))
+    marked = shared.drop("chosen").join(classes.drop("doc_id").hint("merge"), "sid").withColumns({"x": F.min("class").over(lists_), "y": F.max("class").over(lists_)})
     open_ = checkpointed(marked.filter("x <> y").select("h", "sid", "n", "place", "class"))
     p, q = open_.toDF(*(f"{c}_p" for c in open_.columns)), open_.toDF(*(f"{c}_q" for c in open_.columns))
     rest = F.least(F.col("n_p") - F.col("place_p"), F.col("n_q") - F.col("place_q"))
     may = SHARE[0] * (F.col("n_p") + F.col("n_q")) <= (SHARE[0] + SHARE[1]) * rest
     pairs = p.join(q.hint("merge"), (F.col("h_p") == F.col("h_q")) & (F.col("sid_p") < F.col("sid_q")) & (F.col("class_p") != F.col("class_q")) & may)
-    more = verified(checkpointed(pairs.select(F.col("sid_p").alias("a"), F.col("sid_q").alias("b")).distinct()), points, docs, words)
-
-    from_, to = classes.toDF("a", "class_a").hint("merge"), classes.toDF("b", "class_b").hint("merge")
-    merged = components(more.join(from_, "a").join(to, "b").select(F.col("class_a").alias("a"), F.col("class_b").alias("b")))
-    named = points.select("sid", "first.doc_id").join(classes.hint("merge"), "sid").join(merged.toDF("class", "root").hint("merge"), "class", "left")
+    pairs = checkpointed(pairs.select(F.col("sid_p").alias("a"), F.col("sid_q").alias("b"), F.col("class_p").alias("x"), F.col("class_q").alias("y")).distinct())
+    merged = components(verified(pairs, points, docs, words))
+    del pairs, p, q, open_, marked, shared
+    release(spark)
+    named = classes.join(merged.toDF("class", "root").hint("merge"), "class", "left")
     named = checkpointed(named.select("sid", "doc_id", F.coalesce("root", "class").alias("class")))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
     final = checkpointed(named.join(least.hint("merge"), "class").select("sid", "component_id"))
