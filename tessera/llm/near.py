@@ -167,9 +167,10 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     by_prints = points.select("fp", "sid").join(prints.toDF("fp", "other").hint("merge"), "fp").filter("sid <> other").select(*_pair("sid", "other"))
     by_lists = shared.filter("sid <> chosen").select(F.col("chosen").alias("a"), F.col("sid").alias("b"))
     candidates = checkpointed(by_bits.union(by_prints).union(by_lists).distinct())
-    classes = components(verified(candidates.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), points, docs, words))
+    found = checkpointed(verified(candidates.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), points, docs, words))
     del candidates, by_bits, by_prints, by_lists, one, other, prints, postings
     release(spark)
+    classes = components(found)
     classes = checkpointed(points.select("sid", "first.doc_id").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", "doc_id", F.coalesce("class", "sid").alias("class")))
     marked = shared.drop("chosen").join(classes.drop("doc_id").hint("merge"), "sid").withColumns({"x": F.min("class").over(lists_), "y": F.max("class").over(lists_)})
     open_ = checkpointed(marked.filter("x <> y").select("h", "sid", "n", "place", "class"))
@@ -178,9 +179,10 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     may = SHARE[0] * (F.col("n_p") + F.col("n_q")) <= (SHARE[0] + SHARE[1]) * rest
     pairs = p.join(q.hint("merge"), (F.col("h_p") == F.col("h_q")) & (F.col("sid_p") < F.col("sid_q")) & (F.col("class_p") != F.col("class_q")) & may)
     pairs = checkpointed(pairs.select(F.col("sid_p").alias("a"), F.col("sid_q").alias("b"), F.col("class_p").alias("x"), F.col("class_q").alias("y")).distinct())
-    merged = components(verified(pairs, points, docs, words))
+    more = checkpointed(verified(pairs, points, docs, words))
     del pairs, p, q, open_, marked, shared
     release(spark)
+    merged = components(more)
     named = classes.join(merged.toDF("class", "root").hint("merge"), "class", "left")
     named = checkpointed(named.select("sid", "doc_id", F.coalesce("root", "class").alias("class")))
     least = named.groupBy("class").agg(F.min("doc_id").alias("component_id"))
