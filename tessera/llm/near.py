@@ -155,11 +155,15 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     rows = checkpointed(scanned(docs, words))
     first = F.min(F.struct("doc_id", "version")).alias("first")
     points = checkpointed(rows.groupBy("sid").agg(first, *(F.first(c).alias(c) for c in ("fp", "n", "sketch", "prefix"))))
+    rows = checkpointed(rows.select("doc_id", "sid"))
+    release(spark)
     lists_ = Window.partitionBy("h")
     postings = points.select(F.posexplode("prefix").alias("place", "h"), "sid", "n")
     shared = postings.withColumns({"chosen": F.min("sid").over(lists_), "last": F.max("sid").over(lists_)}).filter("chosen < last")
     shared = checkpointed(shared.drop("last"))
-    points = points.drop("prefix")
+    points = checkpointed(points.drop("prefix"))
+    del postings
+    release(spark)
 
     prints = checkpointed(points.groupBy("fp").agg(F.min("sid").alias("sid")))
     one, other = prints.toDF("a", "sid_a").hint("merge"), prints.toDF("b", "sid_b").hint("merge")
@@ -167,8 +171,10 @@ def similar_components(docs: DataFrame, words: int = 5, max_bits: int = 4) -> Da
     by_prints = points.select("fp", "sid").join(prints.toDF("fp", "other").hint("merge"), "fp").filter("sid <> other").select(*_pair("sid", "other"))
     by_lists = shared.filter("sid <> chosen").select(F.col("chosen").alias("a"), F.col("sid").alias("b"))
     candidates = checkpointed(by_bits.union(by_prints).union(by_lists).distinct())
+    del by_bits, by_prints, by_lists, one, other, prints
+    release(spark)
     found = checkpointed(verified(candidates.select("a", "b", F.col("a").alias("x"), F.col("b").alias("y")), points, docs, words))
-    del candidates, by_bits, by_prints, by_lists, one, other, prints, postings
+    del candidates
     release(spark)
     classes = components(found)
     classes = checkpointed(points.select("sid", "first.doc_id").join(classes.toDF("sid", "class").hint("merge"), "sid", "left").select("sid", "doc_id", F.coalesce("class", "sid").alias("class")))
