@@ -22,3 +22,14 @@ def test_follow_lists_of_several_parts_are_whole(spark, sf, size):
     from tessera.plans.changes import g5_lists
 
     same(g5_lists(spark, sf, size), ORACLES["g5_follow_lists"], sf)
+
+
+def test_repeated_values_are_searched_once(spark):
+    """Offers of one value keep 2 k rows in the tree, whatever their number is."""
+    rows = spark.range(5000).select("id", (F.col("id") % 5 * 10 + 100).cast("double").alias("value"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("type"), (F.col("id") % 7).alias("q"))
+    assert J.RangeTree(rows, F.col("q"), 4).scored.count() == 5 * 8
+    held = rows.collect()
+    got = {(r.left_id, r.place): r.right_id for r in J.range_topk(rows, rows, 1.05, 1.5, F.col("q"), 4).collect()}
+    for x in held[:40]:
+        near = sorted((-y.q, y.id) for y in held if y.type != x.type and x.value * 1.05 <= y.value <= x.value * 1.5)[:4]
+        assert [got.get((x.id, n + 1)) for n in range(len(near))] == [i for _, i in near]
