@@ -53,8 +53,7 @@ def j4(spark, sf):
   r AS (SELECT "user", id, value, 0 AS step FROM s UNION ALL SELECT "user", id, value, step FROM (SELECT r."user", p.id, p.value, r.step + 1 AS step, row_number() OVER (PARTITION BY r."user" ORDER BY p.value DESC, p.id) AS n FROM r JOIN p ON p.value >= r.value * 1.05 AND p.value <= r.value * 1.5 AND p.id <> r.id WHERE r.value < 900 AND r.step < 20) WHERE n = 1)
   SELECT "user", step, id, value FROM r""")
 def j5(spark, sf):
-    from pyspark.sql import Window
-
     items = table(spark, sf, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 20 + F.col("p_partkey") % 13).cast("double").alias("value"), F.col("p_size").alias("user"))
-    starts = items.withColumn("n", F.row_number().over(Window.partitionBy("user").orderBy(F.desc("value"), "id"))).filter("n = 1")
+    first = F.min_by(F.struct("id", "value"), F.struct(-F.col("value"), "id")).alias("first")
+    starts = items.groupBy("user").agg(first).select("user", "first.id", "first.value")
     return G.trade_paths(starts, items, 900.0, 1.05, 1.5).select("user", "step", "id", "value")
