@@ -33,3 +33,24 @@ def test_repeated_values_are_searched_once(spark):
     for x in held[:40]:
         near = sorted((-y.q, y.id) for y in held if y.type != x.type and x.value * 1.05 <= y.value <= x.value * 1.5)[:4]
         assert [got.get((x.id, n + 1)) for n in range(len(near))] == [i for _, i in near]
+
+
+@pytest.mark.parametrize("block, share", [(1, 1), (3, 4), (1024, 1024)])
+def test_block_pairs(spark, block, share):
+    rows = [(i, None if i % 11 == 0 else i % 3 * (i % 2), i * 7 % 20, None if i % 13 == 0 else "ab"[i % 2]) for i in range(60)]
+    left = spark.createDataFrame(rows, "id long, k int, v long, t string")
+    right = left.select("k", F.col("id").alias("id2"), F.col("v").alias("v2"), F.col("t").alias("t2"))
+    same_key = [(x, y) for x in rows for y in rows if x[1] is not None and x[1] == y[1]]
+    got = lambda **how: sorted((r.id, r.id2) for r in J.block_pairs(left, right, ["k"], block=block, share=share, **how).collect())
+    assert got() == sorted((x[0], y[0]) for x, y in same_key)
+    assert got(below=("v", "v2")) == sorted((x[0], y[0]) for x, y in same_key if x[2] < y[2])
+    assert got(apart=("t", "t2")) == sorted((x[0], y[0]) for x, y in same_key if x[3] and y[3] and x[3] != y[3])
+
+
+def test_pairs_of_one_key_are_spread_over_tasks(spark):
+    from tessera.operators.scoring import other_category
+
+    rows = spark.range(6000).select("id", (F.col("id") % 1).alias("k"), F.when(F.col("id") == 0, "a").otherwise("b").alias("kind"))
+    pairs = other_category(rows, rows, ["k"], "kind")
+    assert pairs.count() == 2 * 5999
+    assert pairs.filter("item_kind = 'b'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
