@@ -33,11 +33,15 @@ def written(spark, sf):
 
 @query("a2_file_scan", "SELECT lang, '.txt' AS extension, true AS named, CAST(sum(strlen(text) + 1) AS BIGINT) AS bytes, CAST(sum(length(text) - length(replace(text, chr(10), '')) + 1) AS BIGINT) AS line_ends FROM documents GROUP BY 1")
 def a2(spark, sf):
-    """The text files of each folder: their bytes, and the line ends in their content."""
-    out = S.file_scan(spark, written(spark, sf), [".txt"])
-    ends = F.size(F.split(F.decode("content", "utf-8"), "\n")) - 1
-    lang = F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("lang")
-    return out.groupBy(lang, "extension").agg(F.bool_and(F.col("filename").rlike("^part-.*[.]txt$")).alias("named"), F.sum("length").alias("bytes"), F.sum(ends.cast("bigint")).alias("line_ends"))
+    """The text files of each folder: their bytes, and the line ends in their content, which are
+    the lines, but for a last one that no line feed ends."""
+    folder = written(spark, sf)
+    files = S.file_scan(spark, folder, [".txt"]).select("path", "filename", "extension", "length")
+    lines = S.file_lines(spark, folder, [".txt"]).groupBy("path").agg(F.count("*").alias("n"), F.first("length").alias("size"), F.sum(F.octet_length("line").cast("bigint")).alias("held"))
+    lang = lambda: F.regexp_extract("path", "lang=([a-z]+)/", 1).alias("lang")
+    ends = lines.select(lang(), F.least("n", F.col("size") - F.col("held")).alias("ends")).groupBy("lang").agg(F.sum("ends").alias("line_ends"))
+    about = files.groupBy(lang(), "extension").agg(F.bool_and(F.col("filename").rlike("^part-.*[.]txt$")).alias("named"), F.sum("length").alias("bytes"))
+    return about.join(ends, "lang").select("lang", "extension", "named", "bytes", "line_ends")
 
 
 _RULES = [("", "*.org/es/*"), ("", "node_modules/"), ("http:", "**/en/1*")]
@@ -69,9 +73,10 @@ def a5(spark, sf):
 @query("a6_html_or_text_load", """SELECT 'csv' AS kind, count(*) AS n, CAST(sum(length('{"doc_id":"' || doc_id || '","lang":"' || lang || '","source":"' || source || '"}')) AS BIGINT) AS chars FROM documents
   UNION ALL SELECT 'text', count(DISTINCT lang), CAST(sum(length(text) + 1) AS BIGINT) FROM documents""")
 def a6(spark, sf):
-    """A row per text file and per csv record, with all their characters."""
+    """Text files and csv records, with all their characters; a large file is several rows."""
     out = S.load_documents(spark, written(spark, sf))
-    return out.groupBy("kind").agg(F.count("*").alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
+    n = F.when(F.first("kind") == "text", F.count_distinct(F.when(F.col("kind") == "text", F.col("path")))).otherwise(F.count("*"))
+    return out.groupBy("kind").agg(n.alias("n"), F.sum(F.char_length("text").cast("bigint")).alias("chars"))
 
 
 @query("a7_notebook_cells", "SELECT doc_id, md5('print(' || doc_id || ')' || chr(10) || lang || chr(10) || 'x = 1') AS h FROM documents")

@@ -54,3 +54,18 @@ def test_pairs_of_one_key_are_spread_over_tasks(spark):
     pairs = other_category(rows, rows, ["k"], "kind")
     assert pairs.count() == 2 * 5999
     assert pairs.filter("item_kind = 'b'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_large_files_are_read_by_lines(spark, tmp_path):
+    from tessera.sources import files as S
+
+    (tmp_path / "a.txt").write_bytes("é\r\n\nend\n".encode() * 1000)
+    (tmp_path / "b.TXT").write_bytes(b"no feed")
+    lines = {r.path[-5:]: (r.n, r.size) for r in S.file_lines(spark, str(tmp_path), [".txt"]).groupBy("path").agg(F.count("*").alias("n"), F.first("length").alias("size")).collect()}
+    assert lines == {"a.txt": (3000, 9000), "b.TXT": (1, 7)}
+    assert S.file_lines(spark, str(tmp_path), [".txt"]).filter(F.col("line") == "é\r").count() == 1000
+    (tmp_path / "c.txt").write_text("x\ny\n")
+    (tmp_path / "d.csv").write_text("k\n1\n")
+    for whole, rows in ((100, 3001), (1 << 20, 2)):
+        got = S.load_documents(spark, str(tmp_path), whole).filter("kind = 'text'")
+        assert got.count() == rows and got.agg(F.sum(F.char_length("text"))).first()[0] == 8004
