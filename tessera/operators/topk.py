@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -216,15 +217,18 @@ def l2_topk(rows: DataFrame, queries: DataFrame, n: int = 5) -> DataFrame:
     return nearest(rows, queries, "l2", n)
 
 
-def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None) -> DataFrame:
+def half_up(x: np.ndarray, places: int) -> np.ndarray:
+    """Rounded, halves away from zero; no zero is negative."""
+    return np.trunc(x * 10.0**places + np.copysign(0.5, x)) / 10.0**places + 0.0
+
+
+def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None, places: int | None = None) -> DataFrame:
     """g, i, j, score: the cosine of all pairs i < j (vec_id) of rows of a group, or of those whose
-    cosine is floor or more.  Vectors that are null, not whole or zero take no part; shorter
-    ones count as filled up with zeros.  vec_id names a row.
+    cosine is floor or more, rounded to places.  Vectors that are null, not whole or zero take no part;
+    shorter ones count as filled up with zeros.  vec_id names a row.
 
-    The rows of a group are dealt to blocks, and each pair of blocks is one task's.  With
-    a floor, dimensions are split in parts: the product of the first ones plus that of the norms
-    of the rest bounds the cosine from above (Cauchy-Schwarz), so pairs drop out part by part."""
-    import numpy as np
+    The rows of a group are dealt to blocks, and each pair of blocks is one matrix product.  There the
+    floor and the rounding are applied too, on arrays: a pair costs no more than its own row."""
     import pyarrow as pa
 
     held = rows.select(F.col(group).alias("g"), "vec_id", whole(F.col("embedding")).alias("v")).filter("v is not null and vec_id is not null and g is not null")
@@ -233,42 +237,31 @@ def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None) -> Dat
     dealt = held.join(counted, "g").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
     left = dealt.select("g", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), "vec_id", "v")
     right = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), "vec_id", "v").toDF("h", "x2", "y2", "id", "w")
-    step = max(8, -(-width // 4))
 
-    def unit(table: pa.Table, ids: str, vector: str) -> tuple[np.ndarray, pa.ChunkedArray]:
+    def unit(table: pa.Table, ids: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
         v = dense(table.column(vector).combine_chunks(), width)
         size = np.sqrt((v * v).sum(1))
-        return v[size > 0] / size[size > 0][:, None], table.column(ids).filter(pa.array(size > 0))
+        return v[size > 0] / size[size > 0][:, None], table.column(ids).filter(pa.array(size > 0)).to_numpy()
 
     def tile(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        out = [pa.table([pa.array([], f.type) for f in (a.schema.field("g"), a.schema.field("vec_id"), a.schema.field("vec_id"))] + [pa.array([], pa.float64())], names=["g", "i", "j", "score"])]
+        kinds = [a.schema.field("g").type, a.schema.field("vec_id").type, a.schema.field("vec_id").type, pa.float64()]
+        out = [pa.table([pa.array([], k) for k in kinds], names=["g", "i", "j", "score"])]
         if a.num_rows and b.num_rows:
             (u, one), (v, other) = unit(a, "vec_id", "v"), unit(b, "id", "w")
-            rest = [np.sqrt((v[:, at:] ** 2).sum(1)) for at in range(step, width, step)]
+            same = key[1].as_py() == key[2].as_py()  # a vec_id is in one block: only there rows meet themselves
             for begin in range(0, len(u), 256):
-                q = u[begin : begin + 256]
-                if floor is None:
-                    row, at = np.nonzero(np.ones((len(q), len(v)), bool))
-                    score = (q @ v.T).ravel()
-                else:
-                    score = q[:, :step] @ v[:, :step].T
-                    left_ = [np.sqrt((q[:, at:] ** 2).sum(1)) for at in range(step, width, step)]
-                    may = score + np.outer(left_[0], rest[0]) >= floor - 1e-9 if rest else score >= floor - 1e-9
-                    row, at = np.nonzero(may)
-                    score = score[row, at]
-                    for k, begins in enumerate(range(step, width, step)):
-                        score = score + (q[row, begins : begins + step] * v[at, begins : begins + step]).sum(1)
-                        bound = score + left_[k + 1][row] * rest[k + 1][at] if k + 1 < len(rest) else score
-                        fine = bound >= floor - 1e-9
-                        row, at, score = row[fine], at[fine], score[fine]
-                    fine = score >= floor - 1e-12
-                    row, at, score = row[fine], at[fine], score[fine]
-                i, j = one.take(pa.array(row + begin)).to_numpy(), other.take(pa.array(at)).to_numpy()
-                once = i != j if key[1].as_py() != key[2].as_py() else i < j
-                i, j, score = i[once], j[once], score[once]
-                kind = a.schema.field("vec_id").type
-                out.append(pa.table([pa.array([key[0].as_py()] * len(i), a.schema.field("g").type), pa.array(np.minimum(i, j), kind), pa.array(np.maximum(i, j), kind), pa.array(score)], names=["g", "i", "j", "score"]))
-        return pa.concat_tables(out).combine_chunks()
+                i, j = one[begin : begin + 256, None], other[None]
+                score = u[begin : begin + 256] @ v.T
+                kept = score >= floor - 1e-12 if floor is not None else np.ones(score.shape, bool)
+                if same:
+                    kept &= i < j
+                row, at = np.nonzero(kept)
+                i, j, score = i[row, 0], j[0, at], score[row, at]
+                if places is not None:
+                    score = half_up(score, places)
+                columns = [pa.array([key[0].as_py()], kinds[0]).take(pa.array(np.zeros(len(i), np.int32))), pa.array(np.minimum(i, j), kinds[1]), pa.array(np.maximum(i, j), kinds[2]), pa.array(score)]
+                out.append(pa.table(columns, names=["g", "i", "j", "score"]))
+        return pa.concat_tables(out)
 
     kinds = dict(held.dtypes)
     keys = ["g", "x", "y"]

@@ -91,12 +91,12 @@ _PAIRS = "embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.v
 
 @query("f7_pairwise_cosine", f"SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) + 0.0 AS score FROM {_PAIRS}")
 def f7(spark, sf):
-    return K.cosine_pairs(table(spark, sf, "embeddings"), "label").withColumn("score", F.round("score", 4) + F.lit(0.0))
+    return K.cosine_pairs(table(spark, sf, "embeddings"), "label", places=4)
 
 
 @query("f7_cosine_above_floor", f"SELECT g, i, j, round(c, 4) AS score FROM (SELECT a.label AS g, a.vec_id AS i, b.vec_id AS j, list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS c FROM {_PAIRS}) WHERE c >= 0.3")
 def f7_floor(spark, sf):
-    return K.cosine_pairs(table(spark, sf, "embeddings"), "label", 0.3).withColumn("score", F.round("score", 4))
+    return K.cosine_pairs(table(spark, sf, "embeddings"), "label", 0.3, 4)
 
 
 def spaces(spark, sf):

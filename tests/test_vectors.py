@@ -95,3 +95,14 @@ def test_agreement_without_pairs(spark, monkeypatch):
         assert got[g].n == len(mine)
         assert got[g].agreement == pytest.approx(np.corrcoef(*zip(*pairs, strict=True))[0, 1]) if len(mine) > 2 else got[g].agreement is None
     assert grams.space_agreement(held.limit(0), "g", F.col("a"), F.col("b")).collect() == []
+
+
+def test_pairs_are_rounded_where_they_are_made(spark):
+    """Halves away from zero and no negative zero, as SQL has it, and no rounding row by row after."""
+    from tessera.plans.registry import QUERIES
+
+    assert topk.half_up(np.array([0.125, -0.125, -0.004, 0.1249, float("nan")]), 2).astype(str).tolist() == ["0.13", "-0.13", "0.0", "0.12", "nan"]
+    got = cosine_pairs(spark.createDataFrame([(1, [1.0, 0.0], 0), (2, [-1e-9, 1.0], 0), (3, [1.0, 1.0], 0)], "vec_id long, embedding array<double>, grp int"), "grp", None, 4).collect()
+    assert {(x.i, x.j): str(x.score) for x in got} == {(1, 2): "0.0", (1, 3): "0.7071", (2, 3): "0.7071"}
+    for name in ("f7_pairwise_cosine", "f7_cosine_above_floor"):
+        assert "round(" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
