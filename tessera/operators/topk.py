@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from . import vectors as V
 from .grams import dense, gram_sums, whole
 
-BLOCK, PAIR_BLOCK, SAMPLE, CELLS, TRIED = 8192, 2048, 4096, 1024, 128
+BLOCK, PAIR_BLOCK, SAMPLE, CELLS, TRIED, SCORES = 8192, 2048, 4096, 1024, 128, 1 << 19
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -23,8 +23,6 @@ def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
 def _best_of_groups(s, groups):
     """For each row of scores the columns of the best of each group, the first of equals.
     groups: a number for each column."""
-    import numpy as np
-
     order = np.argsort(groups, kind="stable")
     starts = np.flatnonzero(np.diff(groups[order], prepend=groups[order[0]] - 1))
     held = s[:, order]
@@ -32,12 +30,20 @@ def _best_of_groups(s, groups):
     return order[np.minimum.reduceat(np.where(held == top, np.arange(len(order))[None], len(order)), starts, axis=1)]
 
 
+def _first(s, n):
+    """Rows and columns of the n greatest of each row, the first of equals."""
+    least = np.partition(s, -n, axis=1)[:, -n] if s.shape[1] > n else np.full(len(s), -np.inf)
+    row, at = np.nonzero(s >= least[:, None])
+    order = np.lexsort((at, -s[row, at], row))
+    row, at = row[order], at[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+    return row[kept], at[kept]
+
+
 def _scores(kind: str, q, x, n: int, exact: bool):
     """Cosines, or 1 / (1 + distance), of all rows of q with all of x.  Distances come from norms
     and one product; those that may be among the n least are taken again from the
     differences, which have no cancellation (exact: all of them are)."""
-    import numpy as np
-
     qq, xx = (q * q).sum(1), (x * x).sum(1)
     product = q @ x.T
     if kind == "cosine":
@@ -56,7 +62,6 @@ def _scores(kind: str, q, x, n: int, exact: bool):
 def _meet(kind: str, n: int, width: int, group: bool):
     """Arrow tables of rows (vec_id, embedding, grp) and of queries (query_id, q) to each
     query's n best, or the best of each group."""
-    import numpy as np
     import pyarrow as pa
 
     names = ["query_id", "vec_id", "score"] + (["grp"] if group else [])
@@ -70,15 +75,18 @@ def _meet(kind: str, n: int, width: int, group: bool):
             held = one(a.column("embedding"))
             x, lengths = dense(held, width), np.diff(held.offsets.to_numpy())
             of = np.array(one(a.column("grp").dictionary_encode()).indices.fill_null(-1)) if group else None
-            for begin in range(0, b.num_rows, 512):
-                some = b.slice(begin, 512)
+            portion = max(1, SCORES // a.num_rows)  # no more scores at once, whatever meets
+            for begin in range(0, b.num_rows, portion):
+                some = b.slice(begin, portion)
                 asked = pa.concat_arrays([one(some.column("q"))])  # offsets from zero
                 s = _scores(kind, dense(asked, width), x, n, group)
                 own = np.diff(asked.offsets.to_numpy())
                 s = np.where(np.isnan(s) | (own[:, None] != lengths[None]) | (own == 0)[:, None], -np.inf, np.round(s, 9))
-                at = _best_of_groups(s, of) if group else np.argsort(-s, axis=1, kind="stable")[:, :n]
-                row = np.repeat(np.arange(len(s)), at.shape[1])
-                at = at.ravel()
+                if group:
+                    at = _best_of_groups(s, of)
+                    row, at = np.repeat(np.arange(len(s)), at.shape[1]), at.ravel()
+                else:
+                    row, at = _first(s, n)
                 fine = s[row, at] > -np.inf
                 row, at = row[fine], at[fine]
                 columns = [some.column("query_id").take(pa.array(row)), a.column("vec_id").take(pa.array(at)), pa.array(s[row, at])]
@@ -129,8 +137,6 @@ class Cells:
     visit so that, within the sample, the given part of the true n nearest lies in them."""
 
     def __init__(self, sample, count: int, unit: bool, n: int, recall: float) -> None:
-        import numpy as np
-
         self.unit = unit
         x = self.scaled(sample)
         self.centres = x[np.linspace(0, len(x) - 1, min(count, len(x))).astype(int)]
@@ -145,8 +151,6 @@ class Cells:
         self.probes = int(np.quantile(found, recall, method="higher")) + 1 if found.size else len(self.centres)
 
     def scaled(self, x):
-        import numpy as np
-
         size = np.sqrt((x * x).sum(1, keepdims=True))
         return x / np.where(size > 0, size, 1) if self.unit else x
 
@@ -156,8 +160,6 @@ class Cells:
 
     def visits(self, x):
         """The cells nearest to each row of x, as many as a query visits."""
-        import numpy as np
-
         return np.argsort(self.distances(self.scaled(x)), axis=1, kind="stable")[:, : self.probes]
 
 
@@ -170,7 +172,6 @@ def indexed_nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, reca
     neighbours are found; true neighbours among all rows are nearer and so rather easier to find.
     Rows go to their cell once; a crowded cell is split into blocks, and only a
     cell that more than BLOCK queries visit is copied for each BLOCK of them."""
-    import numpy as np
     import pyarrow as pa
 
     spark = rows.sparkSession
@@ -271,8 +272,6 @@ def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None, places
 def linear_map(rows: DataFrame, a: Column, b: Column) -> list[list[float]]:
     """The least-squares M with A M near B, from two Gram sums; solved on the driver, whose
     work is bounded by the dimensions."""
-    import numpy as np
-
     entries = gram_sums(rows, a, b).collect()
     if not entries:
         raise ValueError("no row holds both vectors")

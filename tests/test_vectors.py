@@ -106,3 +106,24 @@ def test_pairs_are_rounded_where_they_are_made(spark):
     assert {(x.i, x.j): str(x.score) for x in got} == {(1, 2): "0.0", (1, 3): "0.7071", (2, 3): "0.7071"}
     for name in ("f7_pairwise_cosine", "f7_cosine_above_floor"):
         assert "round(" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_scores_at_once_are_bounded(spark, monkeypatch):
+    """A block meets as many queries at once as the bound allows, with the same result."""
+    r = np.random.default_rng(5)
+    s = r.integers(0, 4, (30, 50)).astype(float)
+    s[3] = -np.inf
+    row, at = topk._first(s, 7)
+    assert row.tolist() == np.repeat(np.arange(30), 7).tolist() and at.tolist() == np.argsort(-s, axis=1, kind="stable")[:, :7].ravel().tolist()
+    assert topk._first(s[:, :3], 7)[1].tolist() == np.argsort(-s[:, :3], axis=1, kind="stable").ravel().tolist()
+    sizes, plain = [], topk._scores
+    monkeypatch.setattr(topk, "_scores", lambda kind, q, x, *more: sizes.append(len(q) * len(x)) or plain(kind, q, x, *more))
+    import pyarrow as pa
+
+    rows = pa.table({"vec_id": range(400), "embedding": r.normal(size=(400, 4)).tolist()})
+    asked = pa.table({"query_id": range(300), "q": r.normal(size=(300, 4)).tolist()})
+    whole = topk._meet("l2", 5, 4, False)(rows, asked)
+    assert max(sizes) <= topk.SCORES
+    monkeypatch.setattr(topk, "SCORES", 1000)
+    sizes.clear()
+    assert topk._meet("l2", 5, 4, False)(rows, asked).equals(whole) and max(sizes) <= 1000 and len(sizes) == 150
