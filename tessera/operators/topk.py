@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import vectors as V
 from .grams import dense, gram_sums, whole
 
 BLOCK, PAIR_BLOCK, SAMPLE, CELLS, TRIED, SCORES = 8192, 2048, 4096, 1024, 128, 1 << 19
@@ -62,8 +63,6 @@ def _scores(kind: str, q, x, n: int, exact: bool):
 def _meet(kind: str, n: int, width: int, group: bool):
     """Arrow tables of rows (vec_id, embedding, grp) and of queries (query_id, q) to each
     query's n best, or the best of each group."""
-    import pyarrow as pa
-
     names = ["query_id", "vec_id", "score"] + (["grp"] if group else [])
     one = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
 
@@ -172,8 +171,6 @@ def indexed_nearest(rows: DataFrame, queries: DataFrame, kind: str, n: int, reca
     neighbours are found; true neighbours among all rows are nearer and so rather easier to find.
     Rows go to their cell once; a crowded cell is split into blocks, and only a
     cell that more than BLOCK queries visit is copied for each BLOCK of them."""
-    import pyarrow as pa
-
     spark = rows.sparkSession
     held, asked, width = _sides(rows, queries, None)
     sample = held.filter(F.size("embedding") > 0).orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("embedding").toArrow().column("embedding")
@@ -230,8 +227,6 @@ def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None, places
 
     The rows of a group are dealt to blocks, and each pair of blocks is one matrix product.  There the
     floor and the rounding are applied too, on arrays: a pair costs no more than its own row."""
-    import pyarrow as pa
-
     held = rows.select(F.col(group).alias("g"), "vec_id", whole(F.col("embedding")).alias("v")).filter("v is not null and vec_id is not null and g is not null")
     width = max(1, held.agg(F.max(F.size("v"))).first()[0] or 0)
     counted = held.groupBy("g").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
@@ -287,8 +282,19 @@ def linear_map(rows: DataFrame, a: Column, b: Column) -> list[list[float]]:
 
 
 def apply_map(a: Column, m: list[list[float]]) -> Column:
-    """Rows times the matrix, scaled to length one."""
-    columns = F.array(*(F.array(*(F.lit(float(x)) for x in c)) for c in zip(*m, strict=True)))
-    out = F.transform(columns, lambda c: V.dot(a, c))
-    size = V.norm(out)
-    return F.when(size > 0, F.transform(out, lambda x: x / size))
+    """Rows times the matrix, scaled to length one; null where a is null, holds a null, is not as
+    long as the matrix, or is mapped to zero."""
+    matrix = np.array(m, dtype=float)
+
+    @F.arrow_udf("array<double>")
+    def mapped(v: pa.Array) -> pa.Array:
+        holds_null = np.bincount(np.repeat(np.arange(len(v)), pc.list_value_length(v).fill_null(0).to_numpy())[pc.is_null(v.flatten()).to_numpy(zero_copy_only=False)], minlength=len(v)) > 0
+        fine = (pc.list_value_length(v).fill_null(-1).to_numpy() == len(matrix)) & ~holds_null
+        out = v.filter(pa.array(fine)).flatten().to_numpy(zero_copy_only=False).reshape(-1, len(matrix)) @ matrix
+        size = np.sqrt((out * out).sum(1))
+        kept = (size > 0) | np.isnan(size)
+        fine[fine] = kept
+        offsets = np.concatenate([[0], np.cumsum(np.where(fine, matrix.shape[1], 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((out[kept] / size[kept, None]).ravel()), mask=pa.array(~fine))
+
+    return mapped(a.cast("array<double>"))
