@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,19 +134,19 @@ def recursive_chunks(rows: DataFrame, size: int = 1000, overlap: int = 200, sepa
 
 
 def embed_text(text: Column, dimensions: int = 64) -> Column:
-    """A deterministic stand-in for an embedding model: hashed word counts, length one."""
+    """A deterministic stand-in for an embedding model: hashed word counts, length one.  Null of null."""
     slots = F.transform(words(F.lower(text)), lambda w: F.pmod(F.xxhash64(w), F.lit(dimensions)).cast("int"))
-    # Sorted slots with one more of each: the run lengths are the counts.
-    padded = F.array_sort(F.concat(slots, F.sequence(F.lit(0), F.lit(dimensions - 1))))
-    start = F.struct(F.lit(-1).alias("slot"), F.lit(0.0).alias("n"), F.array().cast("array<double>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        same = i == acc["slot"]
-        return F.struct(i.alias("slot"), F.when(same, acc["n"] + 1).otherwise(0.0).alias("n"), F.when(same | (acc["slot"] < 0), acc["out"]).otherwise(F.concat(acc["out"], F.array(acc["n"]))).alias("out"))
+    @F.arrow_udf("array<double>")
+    def counted(slots: pa.Array) -> pa.Array:
+        row = np.repeat(np.arange(len(slots)), pc.list_value_length(slots).fill_null(0).to_numpy())
+        counts = np.bincount(row * dimensions + slots.flatten().to_numpy(), minlength=len(slots) * dimensions).reshape(-1, dimensions).astype(float)
+        size = np.sqrt((counts * counts).sum(1, keepdims=True))
+        held = (counts / np.where(size > 0, size, 1))[slots.is_valid().to_numpy(zero_copy_only=False)]
+        offsets = np.concatenate([[0], np.cumsum(np.where(slots.is_valid(), dimensions, 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(held.ravel()), mask=slots.is_null())
 
-    counts = F.aggregate(padded, start, step, lambda acc: F.concat(acc["out"], F.array(acc["n"])))
-    size = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(size > 0, F.transform(counts, lambda x: x / size)).otherwise(counts)
+    return counted(slots)
 
 
 def digest(rows: DataFrame, cap: int) -> DataFrame:

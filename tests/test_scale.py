@@ -69,3 +69,28 @@ def test_large_files_are_read_by_lines(spark, tmp_path):
     for whole, rows in ((100, 3001), (1 << 20, 2)):
         got = S.load_documents(spark, str(tmp_path), whole).filter("kind = 'text'")
         assert got.count() == rows and got.agg(F.sum(F.char_length("text"))).first()[0] == 8004
+
+
+def test_words_of_a_text_are_counted_on_arrays(spark):
+    """Same values as counting word by word, in the column's rows; no fold row by row in the plan."""
+    from tessera.functions import texts as X
+
+    rows = spark.createDataFrame([(1, "a b a"), (2, None), (3, ""), (4, " \t"), (5, "b " * 5000 + "Ä"), (6, "x y z")], "id long, text string").coalesce(1)
+    out = rows.filter("id > 1").select("id", X.embed_text(F.col("text"), 4).alias("v"))
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.id: r.v for r in out.collect()}
+    slot = {(r.id, r.slot): r.n for r in rows.select("id", F.explode(X.words(F.lower("text"))).alias("w")).groupBy("id", F.pmod(F.xxhash64("w"), F.lit(4)).alias("slot")).agg(F.count("*").alias("n")).collect()}
+    for i in (3, 4, 5, 6):
+        counts = [float(slot.get((i, k), 0)) for k in range(4)]
+        size = sum(x * x for x in counts) ** 0.5
+        assert got[i] == [x / size if size else x for x in counts]
+    assert set(got) == {2, 3, 4, 5, 6} and got[2] is None
+
+
+def test_a_space_is_mapped_on_arrays(spark):
+    from tessera.operators import topk as K
+
+    rows = [(1, [3.0, 4.0]), (2, None), (3, [1.0]), (4, [None, 1.0]), (5, [0.0, 0.0]), (6, [1.0, 0.0, 2.0]), (7, [-1.0, 0.0]), (8, [])]
+    out = spark.createDataFrame(rows, "id long, a array<double>").coalesce(1).filter("id <> 3 or size(a) = 1").select("id", K.apply_map(F.col("a"), [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]).alias("v"))
+    assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.id: r.v for r in out.collect()} == {1: [0.6, 0.8, 0.0], 7: [-1.0, 0.0, 0.0]} | dict.fromkeys((2, 3, 4, 5, 6, 8))
