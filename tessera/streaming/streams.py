@@ -110,46 +110,45 @@ def mastery(events: DataFrame, forget_days: int | None = None) -> DataFrame:
     State and a timer are kept for each learner and topic.  With forget_days (events then
     carry a watermark on ts) a timer is set that many days after the last answer; when
     the watermark passes it, the state is dropped and a row of status expired goes out, without an event_id.
-    The state store must be the RocksDB one (``with_state``)."""
-    import pandas as pd
+    The state store must be the RocksDB one (``with_state``).  A learner's answers come and go as
+    rows: a table of its own for each of them would cost more than all of the rest."""
+    from pyspark.sql import Row
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-    names = ["user_id", "event_type", "at", "ease", "interval", "right", "wrong", "status", "next_review", "event_id"]
-
-    def row(key: tuple, at, learner: Learner, event) -> pd.DataFrame:
-        values = (*key, at, *learner.kept(), event)
-        return pd.DataFrame({n: pd.Series([v], dtype="object" if v is None else None) for n, v in zip(names, values, strict=True)})
+    made = Row("user_id", "event_type", "us", "ease", "interval", "right", "wrong", "status", "next_review", "event_id")
 
     class Processor(StatefulProcessor):
         def init(self, handle: StatefulProcessorHandle) -> None:
             self.handle = handle
             self.state = handle.getValueState("learner", Learner.FIELDS)
 
-        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-            held = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-            learner = Learner(tuple(self.state.get()) if self.state.exists() else None)
-            for grade, ts in zip(held["grade"].tolist(), held["ts"], strict=True):
-                learner.answer(grade, ts.date())
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:  # noqa: N802
+            held = sorted(((r["us"], r["event_id"] is None, r["event_id"], r["grade"], r["day"]) for r in rows), key=lambda r: r[:3] if not r[1] else r[:2])
+            learner = Learner(self.state.get())
+            for *_, grade, day in held:
+                learner.answer(grade, day)
             self.state.update(learner.kept())
-            last = held.iloc[-1]
+            last = held[-1]
             if forget_days is not None:
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer(int(last["ts"].timestamp() * 1000) + forget_days * 86_400_000)
-            yield row(key, last["ts"], learner, int(last["event_id"]))
+                self.handle.registerTimer(last[0] // 1000 + forget_days * 86_400_000)
+            yield made(*key, last[0], *learner.kept(), last[2])
 
-        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-            learner = Learner(tuple(self.state.get()) if self.state.exists() else None)
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: N802
+            learner = Learner(self.state.get())
             self.state.clear()
             learner.status, learner.next_review = "expired", None
-            yield row(key, pd.Timestamp(expiredTimerInfo.getExpiryTimeInMs(), unit="ms"), learner, None)
+            yield made(*key, expiredTimerInfo.getExpiryTimeInMs() * 1000, *learner.kept(), None)
 
         def close(self) -> None:
             pass
 
-    fine = events.filter("grade is not null and ts is not null").select("user_id", "event_type", "ts", "event_id", F.col("grade").cast("int").alias("grade"))
-    out = f"user_id bigint, event_type string, at timestamp, {Learner.FIELDS}, event_id bigint"
-    return fine.groupBy("user_id", "event_type").transformWithStateInPandas(Processor(), out, "Update", "None" if forget_days is None else "EventTime")
+    time = [] if forget_days is None else ["ts"]  # it carries the watermark
+    fine = events.filter("grade is not null and ts is not null").select("user_id", "event_type", *time, F.unix_micros("ts").alias("us"), F.to_date("ts").alias("day"), "event_id", F.col("grade").cast("int").alias("grade"))
+    out = f"user_id bigint, event_type string, us bigint, {Learner.FIELDS}, event_id bigint"
+    kept = fine.groupBy("user_id", "event_type").transformWithState(Processor(), out, "Update", "None" if forget_days is None else "EventTime")
+    return kept.select("user_id", "event_type", F.timestamp_micros("us").alias("at"), *kept.columns[3:])
 
 
 @contextmanager

@@ -147,3 +147,16 @@ def test_every_code_rule_is_met(spark, sf):
 
     found = {r.rule: r.n for r in d2_code(spark, sf).collect()}
     assert set(found) == set(R.CODE_RULES) and min(found.values()) > 100
+
+
+def test_learners_come_as_rows(spark, tmp_path):
+    """No table is made for a learner; equal times go by event_id, whatever the order of rows is."""
+    ts = datetime.datetime(2024, 1, 1, 23, 59, 59, 999_999)
+    rows = [(1, "t", ts, 9, 1), (1, "t", ts, 2, 5), (1, "t", ts, 3, 5), (1, None, ts, 4, 5), (2, "t", None, 5, 5)]
+    spark.createDataFrame(rows, "user_id long, event_type string, ts timestamp, event_id long, grade int").coalesce(1).write.parquet(f"{tmp_path}/in")
+    seen, plans = [], []
+    with S.with_state(spark):
+        S.run(S.mastery(S.read(spark, f"{tmp_path}/in")), f"{tmp_path}/state", lambda b, n: (seen.extend(b.collect()), plans.append(S.mastery(b.sparkSession.readStream.schema("user_id long, event_type string, ts timestamp, event_id long, grade int").parquet(f"{tmp_path}/in"))._jdf.queryExecution().analyzed().toString())), "update")
+    got = {r.event_type: r for r in seen}
+    assert (got["t"].at, got["t"].right, got["t"].wrong, got["t"].event_id) == (ts, 0, 1, 9) and got[None].right == 1 and len(seen) == 2
+    assert "Pandas" not in plans[0]
