@@ -10,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.storage import checkpointed
+
 # Patterns of chatter in generated text, escapes, words of a rejected reply.
 CHATTER = [r"(?im)^(Okay,? |So,? |First,? |Well,? |Hmm,? |Alright,? )", r"(?im)Let me (explain|start|begin|clarify)", r"(?im)(As an AI|I should|I need to|I'll)", r"(?im)\(\s*internal .*?\)", r"(?im)\[.*?thinking.*?\]", r"(?im)^[A-Za-z]+:\s*"]
 THINKING = r"(?is)(<think>.*?</think>|\\textless\{\}think\\textgreater\{\}.*?\\textless\{\}/think\\textgreater\{\})"
@@ -17,6 +19,9 @@ ESCAPES = {"’": "'", "“": "``", "”": "''", "–": "--", "—": "---", "，
 META = r"(?i)(think|monologue|self.reference|internal)"
 STOP_WORDS = {"en": ["the", "of", "and", "is", "that", "with"], "de": ["der", "die", "und", "von", "mit", "ein"], "fr": ["le", "les", "des", "de", "qui", "dans"], "es": ["el", "los", "que", "del", "para", "una"]}
 
+#: Bigrams of a corpus whose counts are broadcast.
+COUNTS = 200_000
+
 
 def paragraphs(text: Column, least: int = 50) -> Column:
     """Stripped parts between blank lines, of least characters or more."""
@@ -202,16 +207,22 @@ def board_digest(items: DataFrame) -> DataFrame:
 
 
 def bigram_perplexity(rows: DataFrame, corpus: DataFrame) -> DataFrame:
-    """id, perplexity of each text (id, text) under add-one bigram counts of a corpus (text)."""
+    """id, perplexity of each text (id, text) under add-one bigram counts of a corpus (text).
+
+    Counts of a small corpus go to the texts, whose words then stay where they are: a sum for each
+    part of a text is all that is shuffled.  Beyond that the texts' bigrams go to the counts."""
 
     def pairs(df: DataFrame, *keep: str) -> DataFrame:
         w = words(F.lower("text"))
         return df.select(*keep, w.alias("w")).filter("size(w) > 1").select(*keep, F.explode(F.arrays_zip(F.slice("w", 1, F.size("w") - 1).alias("a"), F.slice("w", 2, F.size("w") - 1).alias("b"))).alias("p")).select(*keep, F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
-    seen = pairs(corpus)
-    both, first = seen.groupBy("a", "b").agg(F.count("*").alias("n2")), seen.groupBy("a").agg(F.count("*").alias("n1"))
+    seen = checkpointed(pairs(corpus).groupBy("a", "b").agg(F.count("*").alias("n2")))
+    first = seen.groupBy("a").agg(F.sum("n2").alias("n1"))
     size = seen.select("a").union(seen.select("b")).distinct().agg(F.count("*").alias("v"))
-    own = pairs(rows, "id").groupBy("id", "a", "b").agg(F.count("*").alias("k"))
-    j = own.join(both, ["a", "b"], "left").join(first, "a", "left").crossJoin(F.broadcast(size))
+    small = seen.limit(COUNTS + 1).count() <= COUNTS
+    sent = F.broadcast if small else lambda df: df
+    own = pairs(rows, "id")
+    own = own.withColumn("k", F.lit(1)) if small else own.groupBy("id", "a", "b").agg(F.count("*").alias("k"))
+    j = own.join(sent(seen), ["a", "b"], "left").join(sent(first), "a", "left").crossJoin(F.broadcast(size))
     cost = -F.log((F.coalesce("n2", F.lit(0)) + 1) / (F.coalesce("n1", F.lit(0)) + F.col("v") + 1))
     return j.groupBy("id").agg(F.exp(F.sum(cost * F.col("k")) / F.sum("k")).alias("perplexity"))
