@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -159,17 +159,24 @@ def code_graph(sources: DataFrame) -> DataFrame:
 def graph_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Per graph its text in several formats.  nodes: graph, id, label, pos; edges: graph,
     start, end, pos."""
-    plain = F.regexp_replace("label", r"[\n\"]", " ")
-
-    def lines(df: DataFrame, **made: Column) -> DataFrame:
-        return df.groupBy("graph").agg(*(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", v.alias("t")))), lambda x: x["t"]), "\n").alias(k) for k, v in made.items()))
-
     cat = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in parts))
-    i, s, e = F.col("id"), F.col("start"), F.col("end")
-    xml = F.replace(F.replace(F.col("label"), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    n = lines(nodes, n_m=cat("    ", i, '["', plain, '"]'), n_p=cat('rectangle "', plain, '" as ', i), n_x=cat('    <uml:Class id="', i, '" name="', xml, '"/>'), n_t=cat("class ", i, ": ", plain), n_j=F.to_json(F.struct(i.alias("$id"), F.col("label").alias("title"))), n_y=cat("  - id: ", i, "\n    label: ", plain))
-    d = lines(edges, e_m=cat("    ", s, " --> ", e), e_p=cat(s, " --> ", e), e_x=cat('    <uml:Association from="', s, '" to="', e, '"/>'), e_t=cat(s, " -> ", e), e_j=F.to_json(F.struct(s.alias("from"), e.alias("to"))), e_y=cat("  - from: ", s, "\n    to: ", e))
-    g = n.join(d, "graph", "left")
+    both = nodes.select("graph", F.struct("pos", "id", "label").alias("node"), F.lit(None).cast(edges.select(F.struct("pos", "start", "end")).dtypes[0][1]).alias("edge"))
+    both = both.unionByName(edges.filter("graph is not null").select("graph", F.lit(None).cast(both.schema["node"].dataType).alias("node"), F.struct("pos", "start", "end").alias("edge")))
+    held = both.groupBy("graph").agg(F.collect_list("node").alias("nodes"), F.collect_list("edge").alias("edges")).filter("size(nodes) > 0")
+
+    def lines(items: str, made: Callable[[Column], Column]) -> Column:
+        """Of each format the lines are made and sorted where the graph is: one list of each is gathered."""
+        return F.array_join(F.transform(F.sort_array(F.transform(items, lambda x: F.struct(x["pos"].alias("pos"), made(x).alias("t")))), lambda x: x["t"]), "\n")
+
+    plain = lambda x: F.regexp_replace(x["label"], r"[\n\"]", " ")
+    xml = lambda x: F.replace(F.replace(x["label"], F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+    of_nodes = {
+        "n_m": lambda x: cat("    ", x["id"], '["', plain(x), '"]'), "n_p": lambda x: cat('rectangle "', plain(x), '" as ', x["id"]), "n_x": lambda x: cat('    <uml:Class id="', x["id"], '" name="', xml(x), '"/>'),
+        "n_t": lambda x: cat("class ", x["id"], ": ", plain(x)), "n_j": lambda x: F.to_json(F.struct(x["id"].alias("$id"), x["label"].alias("title"))), "n_y": lambda x: cat("  - id: ", x["id"], "\n    label: ", plain(x))}
+    of_edges = {
+        "e_m": lambda x: cat("    ", x["start"], " --> ", x["end"]), "e_p": lambda x: cat(x["start"], " --> ", x["end"]), "e_x": lambda x: cat('    <uml:Association from="', x["start"], '" to="', x["end"], '"/>'),
+        "e_t": lambda x: cat(x["start"], " -> ", x["end"]), "e_j": lambda x: F.to_json(F.struct(x["start"].alias("from"), x["end"].alias("to"))), "e_y": lambda x: cat("  - from: ", x["start"], "\n    to: ", x["end"])}
+    g = held.select("graph", *(lines("nodes", f).alias(k) for k, f in of_nodes.items()), *(lines("edges", f).alias(k) for k, f in of_edges.items()))
     c = lambda name: F.coalesce(name, F.lit(""))
     return g.select(
         "graph", cat("graph TD\n", c("n_m"), "\n", c("e_m")).alias("mermaid"), cat("@startuml\n", c("n_p"), "\n", c("e_p"), "\n@enduml").alias("plantuml"),

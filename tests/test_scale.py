@@ -1,5 +1,7 @@
 """Work of queries over more rows than the smallest tables hold: repeated values, parts, plans."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,3 +96,43 @@ def test_a_space_is_mapped_on_arrays(spark):
     out = spark.createDataFrame(rows, "id long, a array<double>").coalesce(1).filter("id <> 3 or size(a) = 1").select("id", K.apply_map(F.col("a"), [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0]]).alias("v"))
     assert "zip_with" not in out._jdf.queryExecution().optimizedPlan().toString()
     assert {r.id: r.v for r in out.collect()} == {1: [0.6, 0.8, 0.0], 7: [-1.0, 0.0, 0.0]} | dict.fromkeys((2, 3, 4, 5, 6, 8))
+
+
+@pytest.mark.parametrize("counts", [200_000, 3])
+def test_words_stay_with_their_text(spark, sf, monkeypatch, counts):
+    """A small corpus goes to the texts: no shuffle by words.  A large one gives the same rows."""
+    from tessera.functions import texts as X
+
+    monkeypatch.setattr(X, "COUNTS", counts)
+    same(out := QUERIES["i20_text_perplexity"](spark, sf), ORACLES["i20_text_perplexity"], sf)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert bool(re.search(r"Aggregate \[id#\d+L?, a#", plan)) == (counts == 3) and plan.count("strategy=broadcast") == (1 if counts == 3 else 3)
+
+
+def test_pairs_are_counted_in_parts(spark, monkeypatch):
+    """Tasks grow in number with the pairs, not in size, and no map of pairs is held before."""
+    from tessera.operators import aggregates as A
+
+    monkeypatch.setattr(A, "COUNTED", 100)
+    mails = spark.range(300).select((F.col("id") % 150).cast("string").alias("sender"), F.array(F.lit("a"), F.lit("b"), F.lit("a")).alias("recipients"))
+    out = A.pair_counts(mails, 900)
+    assert out.rdd.getNumPartitions() == 9
+    assert {(r.sender, r.recipient): r.n for r in out.collect()} == {(str(i), x): n for i in range(150) for x, n in (("a", 4), ("b", 2))}
+    for name in ("d1_sender_recipient_counts", "f3_top_pairs"):
+        assert "REPARTITION_BY_NUM" in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_graphs_are_gathered_once(spark):
+    """One list of nodes and one of edges, whatever the formats are; graphs without nodes have no text."""
+    from tessera.functions import parsing as P
+
+    nodes = spark.createDataFrame([("g", "b", 'x"<', 2), ("g", "a", "y", 1), ("g", "c", None, 1), ("h", "d", "z", 1), (None, "e", "w", 1)], "graph string, id string, label string, pos int")
+    edges = spark.createDataFrame([("g", "b", "a", 2), ("g", "a", "b", 1), ("k", "d", "d", 1), (None, "e", "e", 1)], "graph string, start string, end string, pos int")
+    out = P.graph_texts(nodes, edges)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 2 and "Join" not in plan
+    got = {r.graph: r for r in out.collect()}
+    assert set(got) == {"g", "h", None}
+    assert got["g"].mermaid == 'graph TD\n    a["y"]\n    b["x <"]\n    a --> b\n    b --> a'
+    assert got["g"].json_schema == '{"nodes": [{"$id":"a","title":"y"},{"$id":"c"},{"$id":"b","title":"x\\"<"}], "edges": [{"from":"a","to":"b"},{"from":"b","to":"a"}]}'
+    assert got["h"].types == "class d: z\n" and got[None].types == "class e: w\n" and "b" in got["g"].xmi
