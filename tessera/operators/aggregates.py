@@ -10,9 +10,18 @@ from .storage import checkpointed
 from .vectors import dot
 
 
-def pair_counts(mails: DataFrame) -> DataFrame:
-    """sender, recipient, n over mails (sender, recipients array)."""
-    return mails.select("sender", F.explode("recipients").alias("recipient")).groupBy("sender", "recipient").agg(F.count("*").alias("n"))
+#: Pairs that one task counts.
+COUNTED = 1 << 19
+
+
+def pair_counts(mails: DataFrame, pairs: int | None = None) -> DataFrame:
+    """sender, recipient, n over mails (sender, recipients array).  With the number of pairs in
+    all mails (about) they are dealt to as many tasks as it needs, each of COUNTED pairs or so; pairs
+    are counted there only, since before they meet hardly one would be found twice."""
+    each = mails.select("sender", F.explode("recipients").alias("recipient"))
+    if pairs is not None:
+        each = each.repartition(max(1, -(-pairs // COUNTED)), "sender", "recipient")
+    return each.groupBy("sender", "recipient").agg(F.count("*").alias("n"))
 
 
 def ordinal_band(score: Column) -> Column:

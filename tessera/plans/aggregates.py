@@ -21,7 +21,7 @@ def mails(spark, sf):
 
 @query("d1_sender_recipient_counts", MAIL)
 def d1(spark, sf):
-    return A.pair_counts(mails(spark, sf))
+    return A.pair_counts(mails(spark, sf), table(spark, sf, "lineitem").count())
 
 
 @query("d2_violation_summary", f"SELECT rule, count(*) AS n FROM ({R.SCAN_SQL}) GROUP BY 1")

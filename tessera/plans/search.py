@@ -44,7 +44,7 @@ def f2(spark, sf):
 def f3(spark, sf):
     from ..operators.aggregates import pair_counts
 
-    return pair_counts(mails(spark, sf)).orderBy(F.desc("n"), "sender", "recipient").limit(10)
+    return pair_counts(mails(spark, sf), table(spark, sf, "lineitem").count()).orderBy(F.desc("n"), "sender", "recipient").limit(10)
 
 
 def offers(spark, sf):
