@@ -94,3 +94,15 @@ def test_long_sequences_have_the_same_blocks(monkeypatch):
         want = M.block_ratio(a, b)
         monkeypatch.setattr(M, "PLAIN", 0)
         assert M.block_ratio(a, b) == want
+
+
+@pytest.mark.parametrize("most", [1_000_000, 1])
+def test_only_sets_that_meet_are_joined(spark, monkeypatch, most):
+    """Few met sets are broadcast, so that the others stay where they are; many give the same pairs."""
+    from tessera.operators import similar
+
+    monkeypatch.setattr(similar, "MET", most)
+    rows = spark.createDataFrame([(i, list(range(100 * i, 100 * i + 20))) for i in range(30)] + [(50, list(range(19))), (51, list(range(20)))], "id long, tokens array<bigint>")
+    out = similar.jaccard_pairs(rows, 0.8)
+    assert (out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2) == (most > 1)
+    assert {(r.a, r.b, r.jaccard) for r in out.collect()} == {(0, 50, 0.95), (0, 51, 1.0)}
