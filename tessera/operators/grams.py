@@ -23,10 +23,14 @@ def dense(column, width: int) -> np.ndarray:
     return out
 
 
+def finite(column: Column) -> Column:
+    """Whether an array holds no null and no value that is not finite; null if it is null."""
+    return F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
+
+
 def whole(column: Column) -> Column:
     """column as doubles; null if it is null, or holds a null or a value that is not finite."""
-    fine = F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
-    return F.when(fine, column.cast("array<double>"))
+    return F.when(finite(column), column.cast("array<double>"))
 
 
 def gram_sums(rows: DataFrame, a: Column, b: Column, group: str | None = None, unit: bool = False) -> DataFrame:

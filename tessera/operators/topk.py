@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,9 +11,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .grams import dense, gram_sums, whole
+from .grams import dense, finite, gram_sums, whole
 
-BLOCK, PAIR_BLOCK, SAMPLE, CELLS, TRIED, SCORES = 8192, 2048, 4096, 1024, 128, 1 << 19
+BLOCK, PAIR_BLOCK, PAIR_LEAST, SAMPLE, CELLS, TRIED, SCORES = 8192, 8192, 2048, 4096, 1024, 128, 1 << 19
 
 
 def newest(rows: DataFrame, key: str, order: list[str], n: int) -> DataFrame:
@@ -220,48 +221,80 @@ def half_up(x: np.ndarray, places: int) -> np.ndarray:
     return np.trunc(x * 10.0**places + np.copysign(0.5, x)) / 10.0**places + 0.0
 
 
+def _products(q, v, light, floor: float | None):
+    """Rows, columns and products of all unit vectors of q with all of v, or of those whose product is floor
+    or more.  These are sought among products in single precision (light: v in it), less what these can
+    be off by, and taken again in double."""
+    if floor is None:
+        return np.repeat(np.arange(len(q)), len(v)), np.tile(np.arange(len(v)), len(q)), (q @ v.T).ravel()
+    slack = (v.shape[1] + 8) * 2.0**-23  # twice the bound: half a unit for each product, sum and rounding
+    found = np.flatnonzero(q.astype(np.float32) @ light.T >= np.float32(floor - slack))
+    row, at = np.divmod(found, max(1, len(v)))
+    if 8 * len(found) > len(q) * len(v):
+        score = (q @ v.T).ravel()[found]
+    else:
+        score, part = np.empty(len(found)), max(1, SCORES // v.shape[1])
+        for begin in range(0, len(found), part):
+            some = slice(begin, begin + part)
+            np.einsum("ij,ij->i", q[row[some]], v[at[some]], out=score[some])
+    kept = score >= floor - 1e-12
+    return row[kept], at[kept], score[kept]
+
+
+def _tile(floor: float | None, places: int | None):
+    """For a pair (g, x, y) of blocks, from their rows (own: a row's block), batches of their pairs; no more
+    than SCORES pairs are held at once."""
+
+    def tile(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(batches).sort_by("vec_id")
+        held = rows.column("v").combine_chunks()
+        v, kind = dense(held, max(1, pc.max(pc.list_value_length(held)).as_py())), rows.schema.field("vec_id").type
+        size, own, ids = np.sqrt((v * v).sum(1)), rows.column("own").to_numpy(), rows.column("vec_id").to_numpy()
+        x, y = key[1].as_py(), key[2].as_py()
+        (u, one), (v, other) = ((v[of] / size[of][:, None], ids[of]) for of in ((own == side) & (size > 0) for side in (x, y)))
+        light, step = v.astype(np.float32), max(1, math.isqrt(SCORES))
+        for begin in range(0, len(u), step):
+            # a vec_id is in one block: only there rows meet themselves, and those behind are enough
+            for after in range(begin if x == y else 0, len(v), step):
+                row, at, score = _products(u[begin : begin + step], v[after : after + step], light[after : after + step], floor)
+                i, j = one[begin + row], other[after + at]
+                if x == y:
+                    once = i < j
+                    i, j, score = i[once], j[once], score[once]
+                if len(i):
+                    score = score if places is None else half_up(score, places)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key[0], len(i)), pa.array(np.minimum(i, j), kind), pa.array(np.maximum(i, j), kind), pa.array(score)], names=["g", "i", "j", "score"])
+
+    return tile
+
+
+def _tiles(rows: DataFrame, group: str) -> DataFrame:
+    """g, x, y, own, vec_id, v: the rows of each pair x <= y of blocks of a group.  A block has some PAIR_BLOCK rows at
+    most; a group of fewer than four such has up to four blocks of some PAIR_LEAST, so that there are tasks enough.
+
+    A row goes to as many pairs as its group has blocks, and only there; what is broadcast is a row for each
+    group of more than one block, of PAIR_LEAST rows or so at least."""
+    column, kinds = F.col("embedding"), dict(rows.dtypes)
+    held = rows.select(F.col(group).alias("g"), "vec_id", (column if kinds["embedding"] == "array<float>" else column.cast("array<double>")).alias("v"))
+    held = held.filter(finite(F.col("v")) & F.col("vec_id").isNotNull() & F.col("g").isNotNull())
+    blocks = lambda n: F.greatest(F.ceil(n / PAIR_BLOCK), F.least(F.lit(4), F.ceil(n / PAIR_LEAST))).cast("int").alias("blocks")
+    counted = rows.groupBy(F.col(group).alias("g")).agg(blocks(F.count("*"))).filter("blocks > 1")
+    dealt = held.join(F.broadcast(counted), "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    dealt = dealt.withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
+    met = dealt.select("g", "own", "vec_id", "v", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("met"))
+    return met.select("g", F.least("own", "met").alias("x"), F.greatest("own", "met").alias("y"), "own", "vec_id", "v")
+
+
 def cosine_pairs(rows: DataFrame, group: str, floor: float | None = None, places: int | None = None) -> DataFrame:
     """g, i, j, score: the cosine of all pairs i < j (vec_id) of rows of a group, or of those whose
     cosine is floor or more, rounded to places.  Vectors that are null, not whole or zero take no part;
     shorter ones count as filled up with zeros.  vec_id names a row.
 
-    The rows of a group are dealt to blocks, and each pair of blocks is one matrix product.  There the
-    floor and the rounding are applied too, on arrays: a pair costs no more than its own row."""
-    held = rows.select(F.col(group).alias("g"), "vec_id", whole(F.col("embedding")).alias("v")).filter("v is not null and vec_id is not null and g is not null")
-    width = max(1, held.agg(F.max(F.size("v"))).first()[0] or 0)
-    counted = held.groupBy("g").agg(F.ceil(F.count("*") / PAIR_BLOCK).cast("int").alias("blocks"))
-    dealt = held.join(counted, "g").withColumn("own", F.pmod(F.xxhash64("vec_id"), F.col("blocks")).cast("int"))
-    left = dealt.select("g", F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"), "vec_id", "v")
-    right = dealt.select("g", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("x"), F.col("own").alias("y"), "vec_id", "v").toDF("h", "x2", "y2", "id", "w")
-
-    def unit(table: pa.Table, ids: str, vector: str) -> tuple[np.ndarray, np.ndarray]:
-        v = dense(table.column(vector).combine_chunks(), width)
-        size = np.sqrt((v * v).sum(1))
-        return v[size > 0] / size[size > 0][:, None], table.column(ids).filter(pa.array(size > 0)).to_numpy()
-
-    def tile(key: tuple, a: pa.Table, b: pa.Table) -> pa.Table:
-        kinds = [a.schema.field("g").type, a.schema.field("vec_id").type, a.schema.field("vec_id").type, pa.float64()]
-        out = [pa.table([pa.array([], k) for k in kinds], names=["g", "i", "j", "score"])]
-        if a.num_rows and b.num_rows:
-            (u, one), (v, other) = unit(a, "vec_id", "v"), unit(b, "id", "w")
-            same = key[1].as_py() == key[2].as_py()  # a vec_id is in one block: only there rows meet themselves
-            for begin in range(0, len(u), 256):
-                i, j = one[begin : begin + 256, None], other[None]
-                score = u[begin : begin + 256] @ v.T
-                kept = score >= floor - 1e-12 if floor is not None else np.ones(score.shape, bool)
-                if same:
-                    kept &= i < j
-                row, at = np.nonzero(kept)
-                i, j, score = i[row, 0], j[0, at], score[row, at]
-                if places is not None:
-                    score = half_up(score, places)
-                columns = [pa.array([key[0].as_py()], kinds[0]).take(pa.array(np.zeros(len(i), np.int32))), pa.array(np.minimum(i, j), kinds[1]), pa.array(np.maximum(i, j), kinds[2]), pa.array(score)]
-                out.append(pa.table(columns, names=["g", "i", "j", "score"]))
-        return pa.concat_tables(out)
-
-    kinds = dict(held.dtypes)
-    keys = ["g", "x", "y"]
-    return left.groupBy(*keys).cogroup(right.groupBy("h", "x2", "y2")).applyInArrow(tile, f"g {kinds['g']}, i {kinds['vec_id']}, j {kinds['vec_id']}, score double")
+    The rows of a group are dealt to blocks, and each pair of blocks is multiplied piece by piece.  There the
+    floor and the rounding are applied too, on arrays: a pair costs no more than its own row.  All pairs
+    are compared: the work grows with the square of a group."""
+    kinds = dict(rows.dtypes)
+    return _tiles(rows, group).groupBy("g", "x", "y").applyInArrow(_tile(floor, places), f"g {kinds[group]}, i {kinds['vec_id']}, j {kinds['vec_id']}, score double")
 
 
 def linear_map(rows: DataFrame, a: Column, b: Column) -> list[list[float]]:

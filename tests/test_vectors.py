@@ -108,6 +108,56 @@ def test_pairs_are_rounded_where_they_are_made(spark):
         assert "round(" not in QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_vectors_are_shuffled_once(spark, monkeypatch):
+    """A row goes to the pairs of blocks of its own block, in its own type, and no group goes through one task."""
+    rows = spark.createDataFrame([(i, [float(i % 7), 1.0], i % 2) for i in range(300)] + [(900, None, 0), (901, [1.0, float("inf")], 1), (902, [1.0], None)], "vec_id long, embedding array<float>, grp int").repartition(4)
+    plan = cosine_pairs(rows, "grp", 0.3)._jdf.queryExecution()
+    assert "cast(embedding#" not in plan.optimizedPlan().toString()
+    assert sum("Exchange hashpartitioning" in x for x in plan.executedPlan().toString().splitlines()) == 2  # of counts; of pairs of blocks
+    monkeypatch.setattr(topk, "PAIR_BLOCK", 40)
+    dealt = topk._tiles(rows, "grp").collect()
+    assert len(dealt) == 300 * 4 and len({(x.g, x.x, x.y) for x in dealt}) == 2 * 4 * 5 // 2
+    assert all(x.x <= x.y and x.own in (x.x, x.y) for x in dealt) and len({(x.vec_id, x.x, x.y) for x in dealt}) == len(dealt)
+    monkeypatch.setattr(topk, "PAIR_BLOCK", 8192)
+    monkeypatch.setattr(topk, "PAIR_LEAST", 10)  # small groups: up to four blocks
+    assert topk._tiles(rows, "grp").count() == 300 * 4
+    monkeypatch.setattr(topk, "PAIR_LEAST", 75)
+    assert topk._tiles(rows, "grp").count() == 300 * 3  # broken rows are counted for the number of blocks only
+
+
+@pytest.mark.parametrize("floor", [None, -1.0, 0.3, 0.95])
+@pytest.mark.parametrize("y", [0, 1])
+def test_pairs_come_in_bounded_batches(monkeypatch, floor, y):
+    """Pieces of a pair of blocks against all its pairs; ids that are given twice meet no equal id."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(6)
+    v = np.concatenate([r.normal(size=(180, 5)), [[0.0] * 5] * 2, [[1e-3] * 5, [2e3] * 5]]).astype(np.float32)
+    ids = np.append(r.permutation(183), 7)
+    own = ids % 2 * y
+    table = pa.table({"g": pa.array([3] * 184, pa.int32()), "own": pa.array(own, pa.int32()), "vec_id": ids, "v": v.tolist()})
+    monkeypatch.setattr(topk, "SCORES", 400)
+    key = pa.scalar(3, pa.int32()), pa.scalar(0), pa.scalar(y)
+    got = list(topk._tile(floor, None)(key, iter(table.to_batches(50))))
+    assert max(x.num_rows for x in got) <= 400 and {x.schema.field("g").type for x in got} == {pa.int32()}
+    w = v.astype(float)
+    size = np.sqrt((w * w).sum(1))
+    c = w @ w.T / np.where(size > 0, size, np.nan)[:, None] / np.where(size > 0, size, np.nan)[None]
+    met = (ids[:, None] < ids[None]) & ~np.isnan(c) & ((own[:, None] != own[None]) | (y == 0)) & (True if floor is None else c >= floor - 1e-12)
+    want = sorted((ids[a], ids[b], c[a, b]) for a, b in zip(*np.nonzero(met), strict=True))
+    found = sorted((x["i"], x["j"], x["score"]) for z in got for x in z.to_pylist())
+    assert len(found) == len(want) and np.allclose(found, want, rtol=0, atol=1e-12)
+
+
+def test_single_precision_loses_no_pair():
+    """Pairs at the floor and a few units of double beside it, which single precision cannot tell apart."""
+    angles = np.arccos(0.3 + np.arange(-40, 41) * 1e-9)
+    q, v = np.array([[1.0, 0.0]]), np.stack([np.cos(angles), np.sin(angles)], 1)
+    row, at, score = topk._products(q, v, v.astype(np.float32), 0.3)
+    assert at.tolist() == np.flatnonzero(v[:, 0] >= 0.3 - 1e-12).tolist() and row.tolist() == [0] * len(at)
+    assert np.array_equal(score, v[at, 0])
+
+
 def test_scores_at_once_are_bounded(spark, monkeypatch):
     """A block meets as many queries at once as the bound allows, with the same result."""
     r = np.random.default_rng(5)
