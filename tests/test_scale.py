@@ -136,3 +136,16 @@ def test_graphs_are_gathered_once(spark):
     assert got["g"].mermaid == 'graph TD\n    a["y"]\n    b["x <"]\n    a --> b\n    b --> a'
     assert got["g"].json_schema == '{"nodes": [{"$id":"a","title":"y"},{"$id":"c"},{"$id":"b","title":"x\\"<"}], "edges": [{"from":"a","to":"b"},{"from":"b","to":"a"}]}'
     assert got["h"].types == "class d: z\n" and got[None].types == "class e: w\n" and "b" in got["g"].xmi
+
+
+@pytest.mark.parametrize("name, most", [("b13_trade_score", 0.6)])
+def test_files_of_pairs_are_small(spark, sf, tmp_path, name, most):
+    """Bytes of a Parquet file for each pair: the same right rows come again for each left row."""
+    part, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "supplier"))
+    many = part.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(14)))).select(*(((F.col(c) + 200 * F.col("r")) * 47 % 3001).alias(c) if c == "p_partkey" else F.lit(7).alias(c) if c == "p_size" else c for c in part.columns))
+    many.write.parquet(f"{tmp_path}/part.parquet")
+    s = supplier.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(299))))
+    s.select(*((F.col(c) + 10 * F.col("r")).alias(c) if c == "s_suppkey" else F.lit(7).alias(c) if c == "s_nationkey" else c for c in supplier.columns)).write.parquet(f"{tmp_path}/supplier.parquet")
+    QUERIES[name](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    size = sum(f.stat().st_size for f in tmp_path.glob("out/*.parquet"))
+    assert size < most * spark.read.parquet(f"{tmp_path}/out").count()
