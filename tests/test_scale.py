@@ -138,7 +138,7 @@ def test_graphs_are_gathered_once(spark):
     assert got["h"].types == "class d: z\n" and got[None].types == "class e: w\n" and "b" in got["g"].xmi
 
 
-@pytest.mark.parametrize("name, most", [("b13_trade_score", 0.6), ("b19_template_message", 11.5)])
+@pytest.mark.parametrize("name, most", [("b13_trade_score", 0.6), ("b14_listing_score", 0.3), ("b19_template_message", 11.5)])
 def test_files_of_pairs_are_small(spark, sf, tmp_path, name, most):
     """Bytes of a Parquet file for each pair: the same right rows come again for each left row."""
     part, supplier = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("part", "supplier"))
