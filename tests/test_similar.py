@@ -4,6 +4,7 @@ import ast
 import difflib
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -106,3 +107,27 @@ def test_only_sets_that_meet_are_joined(spark, monkeypatch, most):
     out = similar.jaccard_pairs(rows, 0.8)
     assert (out._jdf.queryExecution().optimizedPlan().toString().count("strategy=broadcast") == 2) == (most > 1)
     assert {(r.a, r.b, r.jaccard) for r in out.collect()} == {(0, 50, 0.95), (0, 51, 1.0)}
+
+
+@pytest.mark.parametrize("query", ["pairs"])
+def test_whole_sets_are_not_shuffled(spark, query):
+    """Sets that meet no other are not shuffled whole, and a set in many pairs not once for each."""
+    from tessera.operators.aggregates import similar_pair_ratio
+
+    written = lambda: (time.sleep(1), spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite())[1]
+    apart = spark.range(3000).select("id", F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.xxhash64("id", k))).alias("tokens"))
+    dense = spark.range(5000, 5300).select("id", F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(399)), lambda k: F.when(k < 380, k.cast("bigint")).otherwise(F.col("id") * 1000 + k))).alias("tokens"))
+    rows = apart.union(dense).union(dense.filter("id < 5010").withColumn("id", F.col("id") + 1000))
+    before = written()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as in tables too large for it
+    try:
+        found = (M.jaccard_pairs if query == "pairs" else similar_pair_ratio)(rows, 0.8).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    if query == "pairs":
+        assert sorted((r.a, r.b) for r in found if r.a < 5300 and r.b < 6000) == [(a, b) for a in range(5000, 5300) for b in range(a + 1, 5300)]
+        assert {r.jaccard for r in found if r.b < 6000} == {380 / 420} and sorted((r.a, r.b, r.jaccard) for r in found if r.b >= 6000) == [(i, i + 1000, 1.0) for i in range(5000, 5010)]
+    else:
+        got = found[0]
+        assert (got.similar, got.pairs) == (310 * 309 // 2, 3310 * 3309 // 2)
+    assert written() - before < 2 * 3310 * 400 * 8
