@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .similar import jaccard_pairs
+from .similar import set_classes
 from .storage import checkpointed
 from .vectors import dot
 
@@ -89,13 +91,11 @@ def subtotals(rows: DataFrame, keys: list[str], **sums: Column) -> DataFrame:
     return rows.rollup(*keys).agg(level.alias("level"), *(v.alias(k) for k, v in sums.items())).select("level", *keys, *sums)
 
 
-def similar_pair_ratio(rows: DataFrame, least: float) -> DataFrame:
-    """similar, pairs and percent of rows (id, tokens); copies count by the sizes of their classes."""
-    sets = rows.select("id", F.col("tokens").alias("t")).filter(F.size("t") > 0)
-    digest = [F.xxhash64("t").alias("h1"), F.xxhash64(F.lit(7), "t").alias("h2")]
-    classes = checkpointed(sets.select("*", *digest).groupBy("h1", "h2").agg(F.min("id").alias("id"), F.count("*").alias("m"), F.first("t").alias("t")))
-    sizes = classes.select("id", "m")
-    pairs = jaccard_pairs(classes.select("id", F.col("t").alias("tokens")), least).join(sizes.toDF("a", "ma"), "a").join(sizes.toDF("b", "mb"), "b").agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("between"))
+def similar_pair_ratio(rows: DataFrame, least: float, sets: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+    """similar, pairs and percent of rows (see ``set_classes``); copies count by the sizes of their classes."""
+    classes, _, found = set_classes(rows, least, sets)
+    sizes = classes.select(F.col("key").alias("id"), F.col("copies").alias("m"))
+    pairs = found.join(sizes.toDF("a", "ma"), "a").join(sizes.toDF("b", "mb"), "b").agg(F.coalesce(F.sum(F.col("ma") * F.col("mb")), F.lit(0)).alias("between"))
     inside = sizes.agg(F.coalesce(F.sum(F.expr("m * (m - 1) div 2")), F.lit(0)).alias("inside"), F.sum("m").alias("n"))
     both = pairs.crossJoin(inside)
     similar, all_ = F.col("between") + F.col("inside"), F.expr("n * (n - 1) div 2")

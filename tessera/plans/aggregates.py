@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..operators import aggregates as A
+from ..operators import similar as M
 from .base import query, table
-from .joins import _SETS, shingled
+from .joins import _SETS, id_texts
 
 MAIL = """SELECT c_name AS sender, s_name AS recipient, count(*) AS n FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey GROUP BY 1, 2"""
 
@@ -120,7 +121,7 @@ def d12(spark, sf):
   round(100.0 * ((SELECT coalesce(n, 0) FROM p) + (SELECT CAST(coalesce(sum(m * (m - 1) // 2), 0) AS BIGINT) FROM g)) / ((SELECT count(*) FROM s) * ((SELECT count(*) FROM s) - 1) // 2), 2) AS percent""")
 def d13(spark, sf):
     """Similar pairs are counted from the classes of equal sets and their sizes."""
-    return A.similar_pair_ratio(shingled(spark, sf), 0.8)
+    return A.similar_pair_ratio(id_texts(spark, sf), 0.8, M.shingle_sets)
 
 
 @query("d14_label_majority", r"""SELECT doc_id, CASE WHEN CAST(regexp_matches(text, '[#$%&*]{3}') AS INTEGER) + CAST(regexp_matches(text, '[A-Z]{4,}') AS INTEGER) + CAST(n_chars < 300 AS INTEGER) >= 2 THEN 'bad' ELSE 'good' END AS label FROM documents""")

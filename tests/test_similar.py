@@ -109,7 +109,7 @@ def test_only_sets_that_meet_are_joined(spark, monkeypatch, most):
     assert {(r.a, r.b, r.jaccard) for r in out.collect()} == {(0, 50, 0.95), (0, 51, 1.0)}
 
 
-@pytest.mark.parametrize("query", ["pairs"])
+@pytest.mark.parametrize("query", ["pairs", "ratio"])
 def test_whole_sets_are_not_shuffled(spark, query):
     """Sets that meet no other are not shuffled whole, and a set in many pairs not once for each."""
     from tessera.operators.aggregates import similar_pair_ratio
