@@ -131,3 +131,17 @@ def test_whole_sets_are_not_shuffled(spark, query):
         got = found[0]
         assert (got.similar, got.pairs) == (310 * 309 // 2, 3310 * 3309 // 2)
     assert written() - before < 2 * 3310 * 400 * 8
+
+
+def test_chance_pairs_are_left_out_and_no_other(spark):
+    """Pairs of which no more is known than one shared token go, all that may be similar stay, also
+    where a part of the spread holds more tokens than a byte counts."""
+    r = random.Random(3)
+    base = [sorted(r.sample(range(10**9), n)) for n in (30, 400, 3000, 90_000)]
+    sets = [s[: int(len(s) * part)] for s in base for part in (1.0, 0.9, 0.79)] + [sorted({base[k][0], *r.sample(range(10**9), 400)}) for k in (0, 1)]
+    rows = spark.createDataFrame(list(enumerate(sets)), "key long, tokens array<bigint>").withColumn("n", F.size("tokens"))
+    held = M.with_prefix(rows, "tokens", 0.8, keep=["key", "n"])
+    every = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    kept = {(x.a, x.b) for x in M._near(spark.createDataFrame(every, "a long, b long"), held, 0.8 / 1.8).collect()}
+    similar = {(i, j) for i, j in every if len({*sets[i]} & {*sets[j]}) >= 0.8 * len({*sets[i]} | {*sets[j]})}
+    assert len(similar) == 8 and similar <= kept and not kept & {(0, 12), (1, 12), (3, 13), (4, 13), (12, 13)}
